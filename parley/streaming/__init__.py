@@ -1,0 +1 @@
+"""The combinable primitives on a stream of events."""
