@@ -112,6 +112,6 @@ def _(spark, sf):
 
 
 @add("d26_fingerprint", f"""WITH {EV} SELECT session_id, sha256(concat_ws('|', session_id, count(*), min(us), max(us),
-  arg_max(event_id, us * 1000000 + event_id % 1000000))) AS fingerprint FROM ev GROUP BY session_id""")
+  arg_max(event_id, CAST(us AS HUGEINT) * 10000000000 + event_id))) AS fingerprint FROM ev GROUP BY session_id""")
 def _(spark, sf):
     return eventlog.fingerprint(events(spark, sf))
