@@ -31,10 +31,13 @@ def has_text(text: Column, needle: str | Column) -> Column:
 
 
 def matches(text: Column, pattern: str | None) -> Column:
-    """Case-insensitive regex search; no pattern matches nothing."""
+    """Case-insensitive regex search; no pattern matches nothing.
+
+    Letters, digits and word boundaries are those of Unicode, not of ASCII.
+    """
     if not pattern:
         return F.lit(False)
-    return F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
+    return F.coalesce(text.rlike("(?iU)" + pattern), F.lit(False))
 
 
 def filled(c: Column) -> Column:
