@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parley.functions import events as E
 from parley.operators import primitives as P
+from parley.session import checkpoint
 from workload.binding import EV, cohort_of, events, price
 from workload.measures import AVG_TOOL, COST, OUTCOME, P95, P95_WIDE, PATH, TURN_COUNT, n_of
 
@@ -15,15 +16,19 @@ KEPT = ["session_id", "turn_count", "session_duration_ms", "session_outcome", "o
         "avg_tool_latency_ms", "main_stream_estimated_cost_usd", "traffic_split_variant", "opening_intent_class"]
 
 
-def features(spark, sf) -> DataFrame:
-    """Feature rows with their cohort; the intent class is the main model's."""
+def features(spark, sf, reuse: bool = False) -> DataFrame:
+    """Feature rows with their cohort; the intent class is the main model's.
+
+    A query that reads the frame more than once writes it first (``reuse``).
+    """
     ev = events(spark, sf)
     fv = P.primitives(ev, price(spark), None, None).select(*KEPT, "structured_hits")
     fv = fv.withColumns({
         "opening_intent_class": F.coalesce("main_stream_model", F.lit("unknown")),
         "traffic_split_variant": F.when(F.col("interruption_count") > 0, F.concat(F.lit("v"), (F.col("interruption_count") % 2).cast("string"))),
     })
-    return fv.join(cohort_of(ev), "session_id")
+    fv = fv.join(cohort_of(ev), "session_id")
+    return checkpoint(fv) if reuse else fv
 
 
 FV = f"""{EV}, {P95}, {P95_WIDE}, {PATH}, base AS (

@@ -22,11 +22,11 @@ def _(spark, sf):
                       field(raw, "user_id", "string", "props").alias("user_id"))
 
 
-def keep(name, where, column):
+def keep(name, where, column, reuse=False):
     """Register a filter over the feature frame: the kept session ids."""
     @add(name, f"WITH {FV} SELECT session_id FROM fv WHERE {where}")
     def run(spark, sf):
-        fv = features(spark, sf)
+        fv = features(spark, sf, reuse)
         test = column(fv) if callable(column) else column
         return fv.where(test).select("session_id")
 
@@ -75,7 +75,7 @@ keep("b3f_in", "interruption_count IN (1, 3)", tree({"op": "IN", "name": "interr
 keep("b3g_between", "main_stream_latency_p95 BETWEEN 5 AND 20.5", tree({"op": "BETWEEN", "name": "main_stream_latency_p95", "low": 5, "high": 20.5}))
 keep("b4_median_relative", "turn_count > (SELECT median(turn_count) FROM fv)",
      lambda fv: PR.predicate({"op": "CMP", "name": "turn_count", "cmp": ">", "value": "median(turn_count)"}, fv,
-                             {"turn_count": C.cohort_median(fv).scalar()}))
+                             {"turn_count": C.cohort_median(fv).scalar()}), reuse=True)
 keep("b5_traffic_split", "traffic_split_variant = 'v0'", lambda fv: PR.traffic_split("v0"))
 keep("b8_min_turns", "turn_count >= 2", lambda fv: PR.min_turns(2))
 

@@ -35,9 +35,13 @@ SCOPE_SQL = f"""v AS (SELECT {PUBLIC} AS session_id, start_time FROM s
   raw AS (SELECT session_id, 'before' AS study_cohort FROM v WHERE start_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-14 23:59:59'
     UNION ALL SELECT session_id, 'after' FROM v WHERE start_time BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-31')"""
 S_ONLY = S[len(EV) + 2:]
+# features over the log with one SESSION_END per session
+CLEAN_FV = EV.replace("ev AS (", "ev0 AS (", 1) + """, ev AS (SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY session_id, event_type ORDER BY us, event_id) AS rn FROM ev0)
+  WHERE event_type <> 'SESSION_END' OR rn = 1)""" + FV[len(EV):]
 
 
-@add("r1_build_cohorts", f"""WITH {FV}, {S_ONLY}, {SCOPE_SQL}
+@add("r1_build_cohorts", f"""WITH {CLEAN_FV}, {S_ONLY}, {SCOPE_SQL}
   SELECT fv.session_id, study_cohort AS cohort, turn_count, session_duration_ms,
     CASE WHEN transfer_completed THEN 'transferred' ELSE session_outcome END AS session_outcome, tool_error_count, agent_path
   FROM raw JOIN fv USING (session_id) WHERE turn_count >= 1 AND contains(agent_path, 'agent')""")
@@ -46,7 +50,7 @@ def _(spark, sf):
     return c.features.select("session_id", "cohort", "turn_count", "session_duration_ms", "session_outcome", "tool_error_count", "agent_path")
 
 
-@add("r1_cohort_stats", f"""WITH {FV}, {S_ONLY}, {SCOPE_SQL}
+@add("r1_cohort_stats", f"""WITH {CLEAN_FV}, {S_ONLY}, {SCOPE_SQL}
   SELECT coalesce(study_cohort, 'total') AS cohort, count(*) AS raw_count, count(*) FILTER (turn_count >= 1 AND contains(agent_path, 'agent')) AS filtered_count
   FROM raw JOIN fv USING (session_id) GROUP BY GROUPING SETS ((study_cohort), ())""")
 def _(spark, sf):

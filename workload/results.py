@@ -119,7 +119,7 @@ VERDICT = "CASE WHEN n1 >= 2 AND n2 >= 2 THEN 'mann_whitney' ELSE 'insufficient_
     coalesce(p < 0.05 AND n1 >= 2 AND n2 >= 2, false) AS significant, CASE WHEN n1 IS NULL THEN 'insufficient_data' ELSE {VERDICT} END AS test, 0.05::DOUBLE AS significance_level
   FROM m LEFT JOIN mw USING (id)""")
 def _(spark, sf):
-    a = C.aspect_results(features(spark, sf), ASPECTS, digits=False)
+    a = C.aspect_results(features(spark, sf, reuse=True), ASPECTS, digits=False)
     return a.withColumns({"before": r("before"), "after": r("after"), "delta_pct": r("delta_pct"), "p_value": r("p_value", 5)})
 
 
@@ -136,14 +136,14 @@ def _(spark, sf):
     round((v[j] * (20 - (19 * (count + 1) - 20 * j)) + v[j + 1] * (19 * (count + 1) - 20 * j)) / 20, 6) AS p95
   FROM (SELECT *, greatest(least(19 * (count + 1) // 20, count - 1), 1) AS j FROM v)""")
 def _(spark, sf):
-    p = C.aspect_profile(features(spark, sf), ASPECTS)
+    p = C.aspect_profile(features(spark, sf, reuse=True), ASPECTS)
     return p.withColumns({"sum": r("sum", 5), **{c: r(c) for c in ("mean", "rate", "p50", "p95")}})
 
 
 @add("e9_mann_whitney", f"""WITH {LONG}, {MWU} SELECT id, n1::BIGINT AS n1, n2::BIGINT AS n2, u1, round(p, 5) AS p_value,
   p < 0.05 AS significant, {VERDICT} AS test FROM mw""")
 def _(spark, sf):
-    long = C.unpivot(C.aspect_values(features(spark, sf), ASPECTS), IDS)
+    long = C.unpivot(C.aspect_values(features(spark, sf, reuse=True), ASPECTS), IDS)
     return mann_whitney(long, digits=None).withColumn("p_value", r("p_value", 5))
 
 
@@ -193,7 +193,7 @@ RATES = FLAGS + ", rates AS (" + " UNION ALL ".join(
 
 
 def flagged(spark, sf):
-    fv = features(spark, sf)
+    fv = features(spark, sf, reuse=True)
     med = {"turn_count": C.cohort_median(fv).scalar()}
     return hypothesis_flags(enrich(fv, med), HYPS, med)
 
@@ -203,7 +203,7 @@ def flagged(spark, sf):
   tool_error_count::DOUBLE AS llm_error_count, interruption_count::DOUBLE AS interruption_count, guardrail_triggered::INT::DOUBLE AS guardrail_triggered,
   (SELECT median(turn_count) FROM fv)::DOUBLE AS median_turn_count FROM fv""")
 def _(spark, sf):
-    fv = features(spark, sf)
+    fv = features(spark, sf, reuse=True)
     e = enrich(fv, {"turn_count": C.cohort_median(fv).scalar()})
     return e.select("session_id", "transfer_count", "payment_success", "payment_success_rate", "llm_error_count",
                     "interruption_count", "guardrail_triggered", "median_turn_count")
@@ -337,7 +337,7 @@ def _(spark, sf):
 
 @add("e14_cohort_median", f"WITH {FV} SELECT median(turn_count)::DOUBLE AS median_turn_count FROM fv")
 def _(spark, sf):
-    return C.cohort_median(features(spark, sf))
+    return C.cohort_median(features(spark, sf, reuse=True))
 
 
 @add("e19_timing_rollup", """SELECT event_type || ':' || (user_id % 5) AS component, round_even(sum(value::DECIMAL(18, 4))::DOUBLE, 2) AS duration_ms FROM events GROUP BY 1""")
@@ -350,7 +350,7 @@ def _(spark, sf):
 @add("e20_cohort_stats", f"""WITH {FV} SELECT coalesce(cohort, 'total') AS cohort, count(*) AS raw_count, count(*) FILTER (turn_count >= 3) AS filtered_count
   FROM fv GROUP BY GROUPING SETS ((cohort), ())""")
 def _(spark, sf):
-    fv = features(spark, sf)
+    fv = features(spark, sf, reuse=True)
     return C.cohort_stats(fv.select("session_id", "cohort"), fv.where("turn_count >= 3"))
 
 
@@ -366,7 +366,7 @@ def _(spark, sf):
   SELECT id AS aspect_id, {TITLE} AS name, round(b, 6) AS "before", round(a, 6) AS "after", round(CASE WHEN b = 0 THEN 0 ELSE (a - b) / b * 100 END, 6) AS delta_pct,
     round(coalesce(p, 1.0), 5) AS p_value, coalesce(p < 0.05 AND n1 >= 2 AND n2 >= 2, false) AS significant FROM m LEFT JOIN mw USING (id)""")
 def _(spark, sf):
-    t = A.aspect_table(C.aspect_results(features(spark, sf), ASPECTS, digits=False))
+    t = A.aspect_table(C.aspect_results(features(spark, sf, reuse=True), ASPECTS, digits=False))
     return t.withColumns({"before": r("before"), "after": r("after"), "delta_pct": r("delta_pct"), "p_value": r("p_value", 5)})
 
 
@@ -390,13 +390,13 @@ def _(spark, sf):
 @add("a15_histogram", f"""WITH {FV}, x AS (SELECT avg_tool_latency_ms AS v, min(avg_tool_latency_ms) OVER () AS lo, max(avg_tool_latency_ms) OVER () AS hi FROM fv)
   SELECT CAST(least(floor((v - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY 1""")
 def _(spark, sf):
-    return A.histogram(features(spark, sf), "avg_tool_latency_ms").select("bin", "n")
+    return A.histogram(features(spark, sf, reuse=True), "avg_tool_latency_ms").select("bin", "n")
 
 
 @add("a16_aspect_plot_data", f"""WITH {LONG}, m AS (SELECT id, coalesce(avg(value) FILTER (cohort = 'before'), 0) AS b, coalesce(avg(value) FILTER (cohort = 'after'), 0) AS a FROM long GROUP BY id)
   SELECT {TITLE} AS label, round(b, 6) AS "before", round(a, 6) AS "after", round(CASE WHEN b = 0 THEN 0 ELSE (a - b) / b * 100 END, 6) AS delta_pct FROM m""")
 def _(spark, sf):
-    d = A.aspect_plot_data(C.aspect_results(features(spark, sf), ASPECTS, digits=False))
+    d = A.aspect_plot_data(C.aspect_results(features(spark, sf, reuse=True), ASPECTS, digits=False))
     return d.withColumns({c: r(c) for c in ("before", "after", "delta_pct")})
 
 
