@@ -257,7 +257,7 @@ def test_intent(spark):
     assert _intent(spark, lex, "my bill", skills=["pay_bill"]) == ("pay", 1.0)
     assert _intent(spark, lex, "bill") == ("unknown", 1.0)          # 1.5 is below the limit
     assert _intent(spark, lex, "loan rate", opening_pad="x" * 900) == ("loan", 1.0)   # 2.0 without the opening bonus
-    assert _intent(spark, lex, "loan rate bill") == ("unknown", 0.5)
+    assert _intent(spark, lex, "loan rate bill") == ("unknown", 0.6)   # 1.5 of 1.5 + 1.0
     assert _intent(spark, lex, "agent_a here") == ("agent", 1.0)
     assert _intent(spark, lex, "nothing") == ("unknown", 0.0)
     assert _intent(spark, {"a": {"tools": ["x"]}, "b": {"tools": ["x"]}}, "", tools=["X"]) == ("a", 0.5)
