@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parley.functions import events as E
 from parley.functions.predicates import is_reconnect
 from parley.functions.text import filled
-from parley.operators.ordering import PART_ROWS, collect_parts, with_position
+from parley.operators.ordering import PART_ROWS, SLICE_ROWS, LargeKeys, collect_parts, with_position
 from parley.operators.scope import events_for, public_id
 
 
@@ -106,7 +106,7 @@ def session_detail(rows: DataFrame, s: DataFrame, part_rows: int = PART_ROWS) ->
     )
 
 
-def session_text(ev: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def session_text(ev: DataFrame, part_rows: int = PART_ROWS, large: LargeKeys | None = None) -> DataFrame:
     """(session_id, part, searchable_text): contents and JSON of all events.
 
     Lower case, newline between pieces, in event order. A session of up to
@@ -116,7 +116,8 @@ def session_text(ev: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     piece = F.lower(F.concat_ws("\n", filled(F.col("content")),
                                 F.nullif(F.col("event_value"), F.lit("{}"))))
     kept = ev.where(F.length(F.concat_ws("", "content", "event_value")) > 0)
-    parts = collect_parts(kept, ["session_id"], ["timestamp", "event_id"], piece, "_lines", part_rows)
+    parts = collect_parts(kept, ["session_id"], ["timestamp", "event_id"], piece, "_lines", part_rows,
+                          SLICE_ROWS, large)
     text = F.array_join(F.filter("_lines", lambda x: x != ""), "\n")
     return parts.select("session_id", "part", text.alias("searchable_text"))
 

@@ -54,11 +54,13 @@ def lexicon_terms(lexicon: Lexicon) -> list[tuple[int, int, str, str, float]]:
 
 
 def _found(terms: list[tuple[int, str]], test) -> Column:
-    """Numbers of the terms that pass ``test``, as an array."""
+    """Numbers of the terms that pass ``test``, as an array.
+
+    Written out term by term: compiled, and the searched text is prepared once.
+    """
     if not terms:
         return F.array().cast("array<int>")
-    listed = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("term")) for n, t in terms])
-    return F.transform(F.filter(listed, lambda x: test(x.term)), lambda x: x.n)
+    return F.array_compact(F.array(*[F.when(test(F.lit(t)), F.lit(n)) for n, t in terms]))
 
 
 def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "session_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from parley.functions.predicates import min_turns
 from parley.functions.vectors import cosine_distance
 from parley.operators.sampling import MIN_TURNS, N_EXPLORE, SEED, _ranked_picks, explore_sample, stratum
-from parley.session import checkpoint
+from parley.session import stage
 
 TURN_TOLERANCE = 3  # fixed value
 BROADCAST_PICKS = 5_000
@@ -41,7 +41,7 @@ def match_pairs(picks: DataFrame, after: DataFrame, tol: int = TURN_TOLERANCE, i
     b = picks.select(
         F.col("rank"), F.col(id_col).alias("before"), "stratum", "outcome_bucket",
         F.col("turn_count").alias("_bt"), F.col(vec).alias("_bv"))
-    b = checkpoint(b.withColumn("_need", F.row_number().over(place)))
+    b = stage(b.withColumn("_need", F.row_number().over(place)))
     m = b.count()
     a = after.where(min_turns(MIN_TURNS)).select(
         F.col(id_col).alias("after"), stratum().alias("_as"), F.col("outcome_bucket").alias("_ob"),

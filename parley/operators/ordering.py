@@ -11,10 +11,11 @@ carry the running state from slice to slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from parley.session import checkpoint
+from parley.session import stage
 
 SLICE_ROWS = 1_000_000   # rows one task sorts for one key
 PART_ROWS = 10_000       # rows one output array holds
@@ -30,42 +31,53 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bo
     return df.withColumn(_ONE, F.lit(1)), [_ONE], True
 
 
-def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, int, int]:
-    """Keys with more than ``limit`` rows, their number and their rows in all."""
+@dataclass(frozen=True)
+class LargeKeys:
+    """The keys of a table with more than ``limit`` rows."""
+
+    table: DataFrame
+    n: int
+    rows: int
+    limit: int
+
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of ordinary keys and rows of large ones."""
+        keys = self.table.columns
+        big = F.broadcast(self.table) if self.n <= BROADCAST_KEYS else self.table
+        return df.join(big, keys, "left_anti"), df.join(big, keys, "left_semi")
+
+
+def large_keys(df: DataFrame, keys: Sequence[str], limit: int = SLICE_ROWS) -> LargeKeys:
+    """One combining count over the key columns. A table that holds no more rows
+    per key, such as a filtered one, may reuse the answer."""
     big = df.groupBy(*keys).count().where(F.col("count") > limit)
     n, rows = big.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    big = big.select(*keys)
-    return (F.broadcast(big) if n <= BROADCAST_KEYS else big), n, rows
+    return LargeKeys(big.select(*keys), n, rows, limit)
 
 
-def slices(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-           limit: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
+def slices(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], limit: int = SLICE_ROWS,
+           large: LargeKeys | None = None) -> tuple[DataFrame, bool]:
     """Add ``_slice``: 0 for ordinary keys, 1.. in order within a large key."""
-    big, n, rows = large_keys(df, keys, limit)
-    if n == 0:
+    large = large or large_keys(df, keys, limit)
+    if large.n == 0:
         return df.withColumn("_slice", F.lit(0)), False
-    count = -(-rows // limit) + 1
-    hot = (
-        df.join(big, list(keys), "left_semi")
-        .repartitionByRange(count, *keys, *order)
-        .withColumn("_slice", F.spark_partition_id() + 1)
-    )
+    cold, hot = large.split(df)
+    count = -(-large.rows // large.limit) + 1
+    cut = hot.repartitionByRange(count, *keys, *order).withColumn("_slice", F.spark_partition_id() + 1)
     # range bounds are sampled: fix them before several branches read them
-    hot = checkpoint(hot)
-    cold = df.join(big, list(keys), "left_anti").withColumn("_slice", F.lit(0))
-    return cold.unionByName(hot), True
+    return cold.withColumn("_slice", F.lit(0)).unionByName(stage(cut)), True
 
 
 def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                       weight: Column | None = None, out: str = "pos",
-                       limit: int = SLICE_ROWS) -> DataFrame:
+                       weight: Column | None = None, out: str = "pos", limit: int = SLICE_ROWS,
+                       large: LargeKeys | None = None) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows of the key before this one.
 
     Without a weight it is the 0-based position in the key. ``order`` must be
     total; key columns must not be null.
     """
     df, keys, dummy = _keyed(df, keys)
-    cut, is_cut = slices(df, keys, order, limit)
+    cut, is_cut = slices(df, keys, order, limit, large)
     w = W.partitionBy(*keys, "_slice").orderBy(*order)
     if weight is None:
         local = F.row_number().over(w).cast("long") - 1
@@ -88,21 +100,30 @@ def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str |
     return res.drop(_ONE) if dummy else res
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                  out: str = "pos", limit: int = SLICE_ROWS) -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "pos",
+                  limit: int = SLICE_ROWS, large: LargeKeys | None = None) -> DataFrame:
     """Add the 0-based position of each row within its key."""
-    return with_running_total(df, keys, order, None, out, limit)
+    return with_running_total(df, keys, order, None, out, limit, large)
+
+
+def with_place(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bound: int,
+               out: str = "pos") -> DataFrame:
+    """As ``with_position`` where no key can hold more than ``bound`` rows."""
+    if bound > SLICE_ROWS:
+        return with_position(df, keys, order, out)
+    w = W.partitionBy(*(keys or [F.lit(1)])).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
 
 
 def collect_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                  item: Column, out: str, rows: int = PART_ROWS,
-                  limit: int = SLICE_ROWS) -> DataFrame:
+                  item: Column, out: str, rows: int = PART_ROWS, limit: int = SLICE_ROWS,
+                  large: LargeKeys | None = None) -> DataFrame:
     """(keys, part, out): items of each key in order, ``rows`` to an array.
 
     A key of ordinary size has the one part 0; a larger one has as many rows as
     it needs, so no array grows without bound and nothing is left out.
     """
-    placed = with_position(df.withColumn("_item", item), keys, order, "_pos", limit)
+    placed = with_position(df.withColumn("_item", item), keys, order, "_pos", limit, large)
     return (
         placed.groupBy(*keys, F.floor(F.col("_pos") / rows).alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_items"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parley.functions import events as E
 from parley.functions.numbers import exclusive_p95, rounded
 from parley.functions.text import filled, strip
-from parley.operators.ordering import large_keys, quantiles, with_position
+from parley.operators.ordering import PART_ROWS, LargeKeys, collect_parts, large_keys, quantiles, with_position
 from parley.operators.pricing import with_price
 
 SESSION_ROWS = 100_000
@@ -229,19 +229,21 @@ def _whole(ev: DataFrame, ms_digits: int | None, cost_digits: int | None) -> Dat
 
 
 def primitives(ev: DataFrame, price: DataFrame, ms_digits: int | None = 2,
-               cost_digits: int | None = 6, limit: int = SESSION_ROWS) -> DataFrame:
+               cost_digits: int | None = 6, limit: int = SESSION_ROWS,
+               large: LargeKeys | None = None) -> DataFrame:
     """The feature row of every session in ``ev``.
 
     Intent columns start as unknown; ``classify_intent`` and ``embed`` fill in
     theirs. The session text is its own table, see ``session_text``.
     """
+    if large is None:
+        large = large_keys(ev, ["session_id"], limit)
     ev = with_price(E.complete(ev), price)
-    big, n, _ = large_keys(ev, ["session_id"], limit)
-    if n == 0:
+    if large.n == 0:
         fv = _whole(ev, ms_digits, cost_digits)
     else:
-        fv = _whole(ev.join(big, "session_id", "left_anti"), ms_digits, cost_digits).unionByName(
-            _split(ev.join(big, "session_id", "left_semi"), ms_digits, cost_digits))
+        cold, hot = large.split(ev)
+        fv = _whole(cold, ms_digits, cost_digits).unionByName(_split(hot, ms_digits, cost_digits))
     return fv.withColumns({
         "outcome_bucket": outcome_bucket(F.col("session_outcome")),
         "length_bucket": length_bucket(F.col("turn_count")),
@@ -295,18 +297,16 @@ def session_rollup(ev: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def session_queries(ev: DataFrame, part_rows: int | None = None) -> DataFrame:
+def session_queries(ev: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(session_id, part, turn_count, has_tool_error, queries[]).
 
     A session has one part unless it holds more queries than one array should.
     """
-    from parley.operators.ordering import PART_ROWS, collect_parts
-
     base = ev.groupBy("session_id").agg(
         count_of(E.USER_QUERY).alias("turn_count"),
         any_of(E.of_type(E.TOOL_RESULT) & F.col("error").isNotNull()).alias("has_tool_error"))
     said = collect_parts(ev.where(E.of_type(E.USER_QUERY) & F.col("content").isNotNull()), ["session_id"],
-                         ["timestamp", "event_id"], F.col("content"), "queries", part_rows or PART_ROWS)
+                         ["timestamp", "event_id"], F.col("content"), "queries", part_rows)
     return base.join(said, "session_id", "left").withColumns({
         "part": F.coalesce("part", F.lit(0)),
         "queries": F.coalesce("queries", F.array().cast("array<string>")),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.predicates import min_turns
-from parley.operators.ordering import with_hash_position, with_position
+from parley.operators.ordering import SLICE_ROWS, with_hash_position, with_place, with_position
 from parley.operators.vectors import farthest_points
-from parley.session import checkpoint
+from parley.session import stage
 
 # Stratum columns with the value each takes when it is missing.
 STRATUM = {"opening_intent_class": "unknown", "outcome_bucket": "other", "length_bucket": "medium"}
@@ -41,6 +41,8 @@ def quotas(sizes: DataFrame, total: int, key: str = "stratum", size: str = "size
     Leftover units go to the largest fractions among strata not yet full, one
     unit each. With ``total`` above the sum of sizes a floor may exceed a size.
     """
+    # small, read several times here, and the end of a scan of the whole population
+    sizes = stage(sizes.select(key, size))
     grand = sizes.agg(F.sum(size)).scalar()
     raw = F.lit(total) * F.col(size) / grand
     rows = sizes.select(key, size, F.floor(raw).alias("_floor"), (raw - F.floor(raw)).alias("_frac"))
@@ -83,16 +85,18 @@ def stratified_sample(fv: DataFrame, n: int, by: str | Column = "stratum", id_co
 
 
 def diverse_pick(fv: DataFrame, wanted: DataFrame, key: str = "stratum", id_col: str = "session_id",
-                 vec: str = "embedding_opening", seed: str = SEED) -> DataFrame:
+                 vec: str = "embedding_opening", seed: str = SEED, bound: int = SLICE_ROWS + 1) -> DataFrame:
     """(key, id, pick) of each stratum by the quotas in ``wanted`` (key, size, quota).
 
+    ``bound`` is the largest quota where the caller knows it.
+
     A stratum no larger than its quota is taken whole. Otherwise the medoid and
     the points farthest from it, ceil(sqrt(size)) at most, and random others.
     """
     some = wanted.where(F.col("quota") > 0)
     pool = fv.select(key, id_col, vec).join(some, key)
     whole = pool.where(F.col("size") <= F.col("quota"))
-    whole = with_position(whole.select(key, id_col), [key], [id_col], "pick")
+    whole = with_place(whole.select(key, id_col), [key], [id_col], bound, "pick")
     larger = pool.where(F.col("size") > F.col("quota")).withColumn(
         "_spread", F.least("quota", F.ceil(F.sqrt("size"))).cast("int"))
     spread = farthest_points(larger, key, id_col, vec, "_spread")
@@ -109,9 +113,9 @@ def diverse_pick(fv: DataFrame, wanted: DataFrame, key: str = "stratum", id_col:
 def _ranked_picks(fv: DataFrame, n: int, id_col: str, vec: str, seed: str) -> DataFrame:
     """(id, stratum, rank): picks in order, rare strata first. At most ``n`` and small strata."""
     pool = fv.where(min_turns(MIN_TURNS)).withColumn("stratum", stratum())
-    wanted = checkpoint(quotas(stratum_sizes(pool), n))
-    picks = diverse_pick(pool, wanted, "stratum", id_col, vec, seed).join(wanted, "stratum")
-    return with_position(picks.select(id_col, "stratum", "size", "pick"), [], ["size", "stratum", "pick"], "rank")
+    wanted = stage(quotas(stratum_sizes(pool), n))
+    picks = diverse_pick(pool, wanted, "stratum", id_col, vec, seed, n + 1).join(wanted, "stratum")
+    return with_place(picks.select(id_col, "stratum", "size", "pick"), [], ["size", "stratum", "pick"], n + 1, "rank")
 
 
 def explore_sample(fv: DataFrame, n: int = N_EXPLORE, id_col: str = "session_id",

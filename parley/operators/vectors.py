@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.text import strip
 from parley.functions.vectors import cosine_distance, dot
-from parley.session import checkpoint
+from parley.session import stage
 
 # The prototype threshold and label without one.
 MIN_SIMILARITY, OTHER = 0.35, "other"
@@ -31,6 +31,7 @@ def medoid(df: DataFrame, key: str, id_col: str, vec: str = "embedding") -> Data
     The mean distance of v is ((n-1) - v.S + v.v) / (n-1) with S the group's sum,
     so one aggregation and one join replace all pairs.
     """
+    df = df.select(key, id_col, vec)
     total = Summarizer.sum(array_to_vector(F.col(vec)))
     sums = df.groupBy(key).agg(total.alias("_s"), F.count("*").alias("_n")).select(
         key, "_n", vector_to_array("_s").alias("_s"))
@@ -51,23 +52,23 @@ def farthest_points(df: DataFrame, key: str, id_col: str, vec: str = "embedding"
     advance together, a round each: one scan finds the next pick of every group
     with a combining aggregate. Rounds run over a table on executor disk that
     carries each row's distance to the picks before; the few newest picks ride
-    along and are folded in every ``PICKS_PER_PASS`` rounds by a checkpoint.
+    along and are folded in every ``PICKS_PER_PASS`` rounds by writing the table anew.
     """
     quota = F.lit(k) if isinstance(k, int) else F.col(k)
     base = df.select(key, F.col(id_col).alias("_id"), F.col(vec).alias("_v"), quota.alias("_k"))
     sizes = base.groupBy(key).agg(F.least(F.max("_k"), F.count("*")).alias("_k"), F.count("*").alias("_n"))
     rounds, groups = sizes.agg(F.max("_k"), F.count("*")).first()
-    start = medoid(df, key, id_col, vec) if seed is None else seed
-    start = start.select(key, F.col(id_col).alias("_id"))
-    picks = checkpoint(
-        base.drop("_k").join(start, [key, "_id"]).join(sizes, key).where(F.col("_k") > 0)
+    state = base.drop("_k").join(sizes, key).withColumn("_d", F.lit(float("inf")))
+    state = state.persist(StorageLevel.DISK_ONLY)
+    start = medoid(state, key, "_id", "_v") if seed is None else seed.withColumnRenamed(id_col, "_id")
+    picks = stage(
+        state.join(start.select(key, "_id"), [key, "_id"]).where(F.col("_k") > 0)
         .select(key, "_id", "_v", F.lit(0).alias("pick")))
     if not rounds or rounds <= 1:
+        state.unpersist()
         return picks.select(key, F.col("_id").alias(id_col), "pick")
     width = picks.agg(F.max(F.size("_v"))).first()[0] or 0
     small = groups * PICKS_PER_PASS * max(width, 1) <= BROADCAST_NUMBERS
-    state = base.drop("_k").join(sizes, key).withColumn("_d", F.lit(float("inf")))
-    state = state.persist(StorageLevel.DISK_ONLY)
     done, fresh = picks, picks
     for turn in range(1, rounds):
         near = fresh.groupBy(key).agg(F.collect_list(F.struct("_id", "_v")).alias("_p"))
@@ -82,11 +83,11 @@ def farthest_points(df: DataFrame, key: str, id_col: str, vec: str = "embedding"
         farthest_first = F.struct(-F.round("_d", 12), F.col("_id"))
         best = seen.where((F.col("_k") > turn) & (F.col("_d") >= 0)).groupBy(key).agg(
             F.min_by(F.struct("_id", "_v"), farthest_first).alias("_b"))
-        new = checkpoint(best.select(key, "_b._id", "_b._v", F.lit(turn).alias("pick")))
+        new = stage(best.select(key, "_b._id", "_b._v", F.lit(turn).alias("pick")))
         done = done.unionByName(new)
         fresh = fresh.unionByName(new)
         if turn % PICKS_PER_PASS == 0 and turn + 1 < rounds:
-            folded = checkpoint(seen)
+            folded = stage(seen)
             state.unpersist()
             state, fresh = folded, new
     state.unpersist()

@@ -9,17 +9,18 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parley.functions.events import DISPLAY_TYPES
+from parley.functions.events import DISPLAY_TYPES, complete
 from parley.functions.predicates import cohort_filter, traffic_split
 from parley.operators import artifacts, cohort as C, eventlog, sampling
 from parley.operators.digest import digests, label_samples
 from parley.operators.intent import Lexicon, with_intent
 from parley.operators.matching import TURN_TOLERANCE, exploration_manifest
-from parley.operators.primitives import primitives, session_rollup
+from parley.operators.ordering import large_keys
+from parley.operators.primitives import SESSION_ROWS, primitives, session_rollup
 from parley.operators.scope import cohorts, events_for, resolve_ids
 from parley.operators.signals import enrich, hypothesis_flags, with_signals
 from parley.operators.vectors import embed
-from parley.session import checkpoint
+from parley.session import stage
 
 
 @dataclass
@@ -62,9 +63,11 @@ def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon
     n = _n_eval(study)
     if n is not None:
         raw = sampling.cap_ids(raw, n, keys=["cohort"])
-    clean = eventlog.dedupe_session_end(events_for(ev, raw))
-    text = eventlog.session_text(clean)
-    fv = with_intent(primitives(clean, price), text, lexicon)
+    # the study's share of the log is read and cleaned once, then kept
+    clean = stage(eventlog.dedupe_session_end(events_for(complete(ev), raw)))
+    large = large_keys(clean, ["session_id"], SESSION_ROWS)
+    text = eventlog.session_text(clean, large=large)
+    fv = with_intent(primitives(clean, price, large=large), text, lexicon)
     rows = _fill(raw.join(fv, "session_id", "left"))
     split = (study.get("traffic_split") or {}).get("value")
     kept = rows.where(traffic_split(split) & cohort_filter(study.get("cohort_filters")))
@@ -74,14 +77,14 @@ def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon
             for label in _labels(study)])
     if vec_dim:
         kept = embed(kept, dim=vec_dim, encoder=encoder)
-    kept = checkpoint(kept)
+    kept = stage(kept)
     return StudyCohorts(kept, C.cohort_stats(raw, kept), clean, text)
 
 
 def explore(features: DataFrame, ev: DataFrame, lines: DataFrame, study: Mapping[str, Any],
             vec: str = "embedding_opening") -> dict[str, DataFrame]:
     """The sessions to look at, a digest of each, and the extreme ones among them."""
-    manifest = checkpoint(exploration_manifest(
+    manifest = stage(exploration_manifest(
         features, study.get("study_type", "single"), int(study.get("n_explore") or sampling.N_EXPLORE),
         int(study.get("pairing_turn_tolerance") or TURN_TOLERANCE), vec=vec))
     ids = manifest.select("session_id").distinct()
@@ -104,7 +107,7 @@ def evaluate(features: DataFrame, plan: Mapping[str, Any], study: Mapping[str, A
     medians = {"turn_count": C.cohort_median(features).scalar()}
     named = [a for a in aspects if (a.get("id") or a.get("name")) not in signalled.columns]
     values = signalled.withColumns({a.get("id") or a.get("name"): C.aspect_value(a, signalled) for a in named})
-    values = checkpoint(hypothesis_flags(enrich(values, medians), hypotheses, medians))
+    values = stage(hypothesis_flags(enrich(values, medians), hypotheses, medians))
     sizes = features.groupBy("cohort").agg(F.count("*").alias("size"))
     out: dict[str, DataFrame] = {"values": values, "sizes": sizes}
     if aspects:

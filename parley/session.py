@@ -1,8 +1,9 @@
-"""Session settings the operators rely on, and the lineage cut."""
+"""Session settings the operators rely on, and written intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,19 +16,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's place in the folder named by ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. A
-    machine-local folder is used only in local mode and only when none is set.
+    A machine-local folder is used only in local mode and only when none is set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="parley-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="parley-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    It cuts the lineage, outlives lost executors, is computed once however often
+    it is read, and later reads take only the columns they need. The planner
+    also knows its size, so it can broadcast a small one.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parley.functions import events as E
 from parley.operators import primitives as P
-from parley.session import checkpoint
+from parley.session import stage
 from workload.binding import EV, cohort_of, events, price
 from workload.measures import AVG_TOOL, COST, OUTCOME, P95, P95_WIDE, PATH, TURN_COUNT, n_of
 
@@ -28,7 +28,7 @@ def features(spark, sf, reuse: bool = False) -> DataFrame:
         "traffic_split_variant": F.when(F.col("interruption_count") > 0, F.concat(F.lit("v"), (F.col("interruption_count") % 2).cast("string"))),
     })
     fv = fv.join(cohort_of(ev), "session_id")
-    return checkpoint(fv) if reuse else fv
+    return stage(fv) if reuse else fv
 
 
 FV = f"""{EV}, {P95}, {P95_WIDE}, {PATH}, base AS (
