@@ -54,7 +54,7 @@ def ms_between(first: Column, last: Column) -> Column:
 
 def event_order() -> Column:
     """Chronological key; a missing time comes first, ties by event id."""
-    return F.struct(micros(F.col("timestamp")).alias("us"), F.col("event_id").alias("id"))
+    return F.expr("struct(unix_micros(cast(timestamp AS timestamp)) AS us, event_id AS id)")
 
 
 def field(df: DataFrame, key: str, kind: T.DataType | str, value: str = "event_value") -> Column:

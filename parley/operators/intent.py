@@ -76,13 +76,14 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
     def pick(*kinds: str) -> list[tuple[int, str]]:
         return [(n, t) for n, _, kind, t, _ in rows if kind in kinds]
 
-    low = F.lower(F.coalesce("searchable_text", F.lit("")))
-    opening = F.substring(low, 1, OPENING_CHARS)
+    low, opening = F.col("_low"), F.col("_opening")
     in_text = F.concat(
         _found(pick("keywords", "negative_keywords", "agent_names"), lambda t: F.contains(low, t)),
         F.when(F.col("part") == 0, _found(pick("opening"), lambda t: F.contains(opening, t)))
         .otherwise(F.array().cast("array<int>")),
     )
+    lowered = text.select(key, "part", F.lower(F.coalesce("searchable_text", F.lit(""))).alias("_low"))
+    lowered = lowered.withColumn("_opening", F.substring("_low", 1, OPENING_CHARS))
     fields = {f.name for f in hits.schema["structured_hits"].dataType.fields}
     named = [F.array().cast("array<int>")]
     for kind in NAME_WEIGHTS:
@@ -90,8 +91,10 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
         if field in fields and pick(kind):
             names = F.transform(F.coalesce(f"structured_hits.{field}", F.array().cast("array<string>")), normal_name)
             named.append(_found(pick(kind), lambda t, names=names: F.array_contains(names, t)))
-    long = text.select(key, F.explode(in_text).alias("n")).unionByName(
-        hits.select(key, F.explode_outer(F.concat(*named)).alias("n")))
+    # the arrays are built in their own projection, where shared parts are computed once
+    in_rows = lowered.select(key, in_text.alias("_n")).select(key, F.explode("_n").alias("n"))
+    in_hits = hits.select(key, F.concat(*named).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
+    long = in_rows.unionByName(in_hits)
     return long.groupBy(key).agg(F.collect_set("n").alias("terms"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from parley.functions import events as E
 from parley.operators import primitives as P
 from parley.session import stage
-from workload.binding import EV, cohort_of, events, price
+from workload.binding import EV, events, price
 from workload.measures import AVG_TOOL, COST, OUTCOME, P95, P95_WIDE, PATH, TURN_COUNT, n_of
 
 KEPT = ["session_id", "turn_count", "session_duration_ms", "session_outcome", "outcome_bucket", "length_bucket",
@@ -27,7 +27,9 @@ def features(spark, sf, reuse: bool = False) -> DataFrame:
         "opening_intent_class": F.coalesce("main_stream_model", F.lit("unknown")),
         "traffic_split_variant": F.when(F.col("interruption_count") > 0, F.concat(F.lit("v"), (F.col("interruption_count") % 2).cast("string"))),
     })
-    fv = fv.join(cohort_of(ev), "session_id")
+    # a session id ends in its week, which decides the cohort
+    week = F.substring_index("session_id", "-", -1)
+    fv = fv.withColumn("cohort", F.when(week < "20240115", "before").otherwise("after"))
     return stage(fv) if reuse else fv
 
 

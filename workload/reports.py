@@ -11,7 +11,7 @@ from workload.binding import CHAT, EV, S, chat_events, events, price, sessions,
 from workload.features import FV
 from workload.log import AUDIT, FIRST_END, SHOWN
 from workload.registry import add, r
-from workload.results import ASPECTS, E2, HYPS
+from workload.results import ASPECTS, CHI, E2, ERFC, HYPS, LONG, MWU, RATES, TITLE, WIDE
 from workload.measures import ROLLUP
 from workload.scans import PUBLIC, STUDY
 
@@ -27,7 +27,7 @@ LEXICON = {
 
 
 def _cohorts(spark, sf, **more):
-    return R.build_cohorts(sessions(spark, sf), events(spark, sf), {**REPORT_STUDY, **more}, LEXICON, price(spark), **({}))
+    return R.build_cohorts(sessions(spark, sf), events(spark, sf), {**REPORT_STUDY, **more}, LEXICON, price(spark))
 
 
 SCOPE_SQL = f"""v AS (SELECT {PUBLIC} AS session_id, start_time FROM s
@@ -67,13 +67,26 @@ def _(spark, sf):
     return got["digests"].select("session_id", "cohort_label", "opening_intent", "outcome", "turn_count", F.size("bullets").alias("bullets"))
 
 
-@add("r3_evaluate_aspects")
+STUDY_FV = f"""{CLEAN_FV}, {S_ONLY}, {SCOPE_SQL},
+  sfv AS (SELECT fv.* REPLACE (study_cohort AS cohort) FROM raw JOIN fv USING (session_id) WHERE turn_count >= 1 AND contains(agent_path, 'agent'))"""
+
+
+def _over_study(sql: str) -> str:
+    """CTEs written over all features, read over the study's instead."""
+    return STUDY_FV + sql[len(FV):].replace("FROM fv", "FROM sfv")
+
+
+@add("r3_evaluate_aspects", f"""WITH {_over_study(LONG)}, {MWU}, m AS (SELECT id, coalesce(avg(value) FILTER (cohort = 'before'), 0) AS b, coalesce(avg(value) FILTER (cohort = 'after'), 0) AS a FROM long GROUP BY id)
+  SELECT id AS aspect_id, {TITLE} AS name, round_even(b, 3) AS "before", round_even(a, 3) AS "after", round_even(CASE WHEN b = 0 THEN 0 ELSE (a - b) * 100 / b END, 1) AS delta_pct,
+    round_even(coalesce(p, 1.0), 4) AS p_value, coalesce(p < 0.05 AND n1 >= 2 AND n2 >= 2, false) AS significant FROM m LEFT JOIN mw USING (id)""")
 def _(spark, sf):
     c = _cohorts(spark, sf)
     return R.evaluate(c.features, {"aspects": ASPECTS, "hypotheses": HYPS}, REPORT_STUDY, c.text, c.events)["aspect_table"]
 
 
-@add("r3_evaluate_hypotheses")
+@add("r3_evaluate_hypotheses", f"""WITH {_over_study(RATES)}, {WIDE} SELECT id AS hypothesis_id, CASE id WHEN 'h_long' THEN 'Long' WHEN 'h_error' THEN 'Error' WHEN 'h_slow' THEN 'Slow' ELSE id END AS title,
+    b::BIGINT AS before_support, round_even(b / nb, 4) AS before_rate, a::BIGINT AS after_support, round_even(a / na, 4) AS after_rate, a + b < 5 AS rejected, round_even(coalesce({ERFC}, 1.0), 4) AS p_value
+  FROM (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS t FROM (SELECT *, sqrt(chi / 2) AS x FROM (SELECT *, {CHI} AS chi FROM w)))""")
 def _(spark, sf):
     c = _cohorts(spark, sf)
     return R.evaluate(c.features, {"aspects": ASPECTS, "hypotheses": HYPS}, REPORT_STUDY, c.text, c.events)["hypothesis_table"]

@@ -40,7 +40,23 @@ def _(spark, sf):
     return c.select("label", *[r(F.get("centroid", F.lit(i - 1)), 9).alias(f"c{i}") for i in (1, 2, 33, 64)])
 
 
-@add("h4_farthest_points")
+def farthest_sql(start: str, pool: str, rounds: int) -> str:
+    """CTEs picks0.. from a start (key, id): each round adds the farthest member per key."""
+    out = f"picks0 AS (SELECT s.key, s.id, 0 AS pick, p.v FROM ({start}) s JOIN {pool} p USING (key, id))"
+    for k in range(1, rounds):
+        out += f""", cand{k} AS (SELECT c.key, c.id, c.v, min(round(1 - list_dot_product(c.v, p.v), 12)) AS d FROM {pool} c JOIN picks{k - 1} p USING (key)
+    WHERE c.id NOT IN (SELECT id FROM picks{k - 1} q WHERE q.key = c.key) GROUP BY ALL),
+  picks{k} AS (SELECT * FROM picks{k - 1} UNION ALL SELECT key, id, {k}, v FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY d DESC, id) AS rn FROM cand{k}) WHERE rn = 1)"""
+    return out
+
+
+MEDOID_SQL = """SELECT key, id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, id) AS rn FROM (
+    SELECT a.key, a.id, round(avg(1 - list_dot_product(a.v, b.v)), 9) AS d FROM pool a JOIN pool b ON a.key = b.key AND a.id <> b.id GROUP BY ALL)) WHERE rn = 1"""
+
+
+@add("h4_farthest_points", f"""WITH {VEC}, pool AS (SELECT label AS key, vec_id AS id, embedding AS v FROM vec), {farthest_sql(MEDOID_SQL, 'pool', 5)}
+  SELECT key AS label, id AS vec_id, pick FROM picks4""")
 def _(spark, sf):
     return V.farthest_points(vectors(spark, sf), "label", "vec_id", k=5)
 
@@ -176,7 +192,9 @@ def _(spark, sf):
     return D.label_samples(per.where("n > 3").select("session_id", "cohort"), per.select("session_id"))
 
 
-@add("g11_counter_examples")
+@add("g11_counter_examples", f"""WITH {VEC}, pool AS (SELECT 'h' AS key, vec_id AS id, embedding AS v FROM vec WHERE vec_id % 11 <= 5),
+  {farthest_sql("SELECT key, id FROM pool ORDER BY " + SEEDED.format(id="id") + ", id LIMIT 1", 'pool', 3)}
+  SELECT key AS hypothesis_id, id AS session_id, pick FROM picks2""")
 def _(spark, sf):
     fv = _vec_features(spark, sf).withColumn("hyp_h", F.col("turn_count") > 5)
     return G.counter_examples(fv, "h", 3)
