@@ -43,7 +43,7 @@ def transcript_digest(lines: DataFrame) -> DataFrame:
     middle = part(telling, long & (F.col("_hit") < MIDDLE), 1)
     tail = part(lines, long & (F.col("idx") >= F.col("_n") - TAIL), 2)
     return head.unionByName(middle).unionByName(tail).groupBy("session_id").agg(
-        F.transform(F.array_sort(F.collect_list("_l")), lambda x: F.struct(
+        F.transform(F.sort_array(F.collect_list("_l")), lambda x: F.struct(
             x.speaker.alias("speaker"), x.text.alias("text"))).alias("transcript_digest"))
 
 
@@ -59,7 +59,7 @@ def anomaly_flags() -> Column:
         .when(E.of_type(E.LLM_ERROR), "llm_error")
         .when(E.of_type(E.TOOL_RESULT) & empty, "empty_tool_result")
     )
-    return F.array_sort(F.collect_set(found))
+    return F.sort_array(F.collect_set(found))
 
 
 def notable_events(tool_errors: Column, transfers: Column, interruptions: Column, model: Column,

@@ -91,8 +91,9 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
         if field in fields and pick(kind):
             names = F.transform(F.coalesce(f"structured_hits.{field}", F.array().cast("array<string>")), normal_name)
             named.append(_found(pick(kind), lambda t, names=names: F.array_contains(names, t)))
-    # the arrays are built in their own projection, where shared parts are computed once
-    in_rows = lowered.select(key, in_text.alias("_n")).select(key, F.explode("_n").alias("n"))
+    # the arrays are built in their own projection, where shared parts are computed once;
+    # an inner explode would add a filter that computes them a second time
+    in_rows = lowered.select(key, in_text.alias("_n")).select(key, F.explode_outer("_n").alias("n"))
     in_hits = hits.select(key, F.concat(*named).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
     long = in_rows.unionByName(in_hits)
     return long.groupBy(key).agg(F.collect_set("n").alias("terms"))

@@ -126,7 +126,7 @@ def collect_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     placed = with_position(df.withColumn("_item", item), keys, order, "_pos", limit, large)
     return (
         placed.groupBy(*keys, F.floor(F.col("_pos") / rows).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_items"))
+        .agg(F.sort_array(F.collect_list(F.struct("_pos", "_item"))).alias("_items"))
         .select(*keys, "part", F.col("_items._item").alias(out))
     )
 

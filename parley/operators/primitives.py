@@ -122,7 +122,7 @@ def traffic_split_variant() -> Column:
 def hits(keys: list[str]) -> Column:
     """Sorted distinct non-empty names under any of ``keys``."""
     names = F.flatten(F.collect_set(F.array_compact(F.array(*[filled(F.col(k)) for k in keys]))))
-    return F.array_sort(F.array_distinct(names))
+    return F.sort_array(F.array_distinct(names))
 
 
 def structured_hits() -> Column:
@@ -175,7 +175,7 @@ def _timed_call(purpose: str) -> Column:
 
 def _p95_collected(purpose: str) -> Column:
     got = F.collect_list(F.when(_timed_call(purpose), F.col("latency_ms")))
-    return F.coalesce(exclusive_p95(F.array_sort(got)), F.lit(0.0))
+    return F.coalesce(exclusive_p95(F.sort_array(got)), F.lit(0.0))
 
 
 def _named_response() -> Column:
@@ -184,7 +184,7 @@ def _named_response() -> Column:
 
 def _path_collected() -> Column:
     steps = F.collect_list(F.when(_named_response(), F.struct(E.event_order().alias("o"), F.col("agent_name"))))
-    names = F.transform(F.array_sort(steps), lambda s: s.agent_name)
+    names = F.transform(F.sort_array(steps), lambda s: s.agent_name)
     kept = F.filter(names, lambda x, i: (i == 0) | (x != F.get(names, i - 1)))
     return F.array_join(kept, "→")
 
@@ -215,7 +215,7 @@ def _split(ev: DataFrame, ms_digits: int | None, cost_digits: int | None) -> Dat
         out = out.join(p95, "session_id", "left").withColumn(
             f"{p}_latency_p95", rounded(F.coalesce("_p95", F.lit(0.0)), ms_digits)).drop("_p95")
     path = agent_changes(ev).groupBy("session_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "agent_name"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "agent_name"))),
                                  lambda s: s.agent_name), "→").alias("agent_path"))
     return out.join(path, "session_id", "left").withColumn("agent_path", F.coalesce("agent_path", F.lit("")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -49,20 +50,22 @@ def scope_sessions(s: DataFrame, tenant: str, origin_id: str, channel: str, star
 
 
 def cohorts(s: DataFrame, study: Mapping[str, Any]) -> DataFrame:
-    """(session_id, cohort): before and after of a comparative study, else all.
+    """(session_id, internal_id, cohort): before and after of a comparative study, else all.
 
-    Windows may overlap; a session in both counts in both.
+    One scan of the index. Windows may overlap; a session in both counts in both.
     """
-    common = (study["tenant"], study["assistant_origin_id"], study.get("channel") or "voice")
-
-    def window(span: Mapping[str, Any], label: str) -> DataFrame:
-        ids = scope_sessions(s, *common, span["start"], span["end"], study.get("assistant_id"))
-        return ids.withColumn("cohort", F.lit(label))
-
     if study.get("study_type") == "comparative":
-        return window(study["date_range_before"], "before").unionByName(
-            window(study["date_range_after"], "after"))
-    return window(study["date_range"], "all")
+        windows = {"before": study["date_range_before"], "after": study["date_range_after"]}
+    else:
+        windows = {"all": study["date_range"]}
+    tests = {
+        label: scope_filter(study["tenant"], study["assistant_origin_id"], study.get("channel") or "voice",
+                            span["start"], span["end"], study.get("assistant_id"))
+        for label, span in windows.items()}
+    labels = F.array_compact(F.array(*[F.when(test, F.lit(label)) for label, test in tests.items()]))
+    return s.where(reduce(Column.__or__, tests.values())).select(
+        public_id().alias("session_id"), F.col("_id").cast("string").alias("internal_id"),
+        F.explode(labels).alias("cohort"))
 
 
 def preview_count(s: DataFrame, **scope: Any) -> DataFrame:

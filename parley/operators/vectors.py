@@ -121,7 +121,7 @@ def nearest_labelled(df: DataFrame, protos: DataFrame, vec: str = "embedding",
 
     The table becomes one array read as a scalar subquery, so no join is needed.
     """
-    listed = protos.agg(F.array_sort(F.collect_list(F.struct("ord", "id", "vector")))).scalar()
+    listed = protos.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "vector")))).scalar()
     with_protos = df.withColumn("_protos", listed)
     scored = F.transform("_protos", lambda p: F.struct(
         (1 - cosine_distance(F.col(vec), p.vector)).alias("sim"), (-p.ord).alias("order"), p.id.alias("id")))

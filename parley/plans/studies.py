@@ -17,7 +17,7 @@ from parley.operators.intent import Lexicon, with_intent
 from parley.operators.matching import TURN_TOLERANCE, exploration_manifest
 from parley.operators.ordering import large_keys
 from parley.operators.primitives import SESSION_ROWS, primitives, session_rollup
-from parley.operators.scope import cohorts, events_for, resolve_ids
+from parley.operators.scope import cohorts, events_for
 from parley.operators.signals import enrich, hypothesis_flags, with_signals
 from parley.operators.vectors import embed
 from parley.session import stage
@@ -59,10 +59,11 @@ def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon
     it. Opening vectors are added after filtering, and only when ``vec_dim`` is
     given.
     """
-    raw = cohorts(s, study)
+    raw = cohorts(s, study).select("session_id", "cohort")
     n = _n_eval(study)
     if n is not None:
         raw = sampling.cap_ids(raw, n, keys=["cohort"])
+    raw = stage(raw)
     # the study's share of the log is read and cleaned once, then kept
     clean = stage(eventlog.dedupe_session_end(events_for(complete(ev), raw)))
     large = large_keys(clean, ["session_id"], SESSION_ROWS)
@@ -72,6 +73,7 @@ def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon
     split = (study.get("traffic_split") or {}).get("value")
     kept = rows.where(traffic_split(split) & cohort_filter(study.get("cohort_filters")))
     if n is not None:
+        kept = stage(kept)  # sampling reads it several times
         kept = reduce(DataFrame.unionByName, [
             sampling.stratified_sample(kept.where(F.col("cohort") == label), n, sampling.stratum())
             for label in _labels(study)])
@@ -124,10 +126,15 @@ def evaluate(features: DataFrame, plan: Mapping[str, Any], study: Mapping[str, A
 
 
 def quick_results(ev: DataFrame, s: DataFrame, study: Mapping[str, Any]) -> DataFrame:
-    """Four aspects before and after straight from the event log."""
-    ids = resolve_ids(cohorts(s, study), s).select("cohort", F.col("internal_id").alias("session_id")).distinct()
-    # measured once per session, then given to each cohort it belongs to
-    rollup = session_rollup(events_for(ev, ids)).join(ids, "session_id")
+    """Four aspects before and after straight from the event log.
+
+    The log carries the index's internal ids, which the scope scan reads along.
+    Each session is measured once and then counted in every cohort it is in.
+    """
+    ids = cohorts(s, study).groupBy(F.col("internal_id").alias("session_id")).agg(
+        F.sort_array(F.collect_set("cohort")).alias("cohorts"))
+    per_session = session_rollup(ev.join(ids, "session_id"), ["cohorts"])
+    rollup = per_session.withColumn("cohort", F.explode("cohorts"))
     return C.compare_cohorts(C.cohort_rollup(rollup, _labels(study)))
 
 

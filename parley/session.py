@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -13,9 +13,22 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # sessions a task aggregates in memory before it sorts instead
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     return spark
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small configured table as part of the plan, so that its size is known."""
+    cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame | None:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else None."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's place in the folder named by ``spark.checkpoint.dir``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parley.functions.events import complete
 from parley.schemas import PRICE
+from parley.session import literal_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -91,8 +92,8 @@ EV = """ev AS (
 
 
 def price(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [("m_small", 0.5, 1.5, False), ("m_large", 2.0, 8.0, False), ("m_zero", 9.0, 9.0, True)], PRICE)
+    return literal_table(
+        spark, [("m_small", 0.5, 1.5, False), ("m_large", 2.0, 8.0, False), ("m_zero", 9.0, 9.0, True)], PRICE)
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:

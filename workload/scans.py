@@ -43,7 +43,7 @@ def _(spark, sf):
   UNION ALL
   SELECT session_id, 'after' FROM v WHERE start_time BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-31'""")
 def _(spark, sf):
-    return scope.cohorts(sessions(spark, sf), STUDY)
+    return scope.cohorts(sessions(spark, sf), STUDY).select("session_id", "cohort")
 
 
 @add("a5_event_scan", """SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
