@@ -77,7 +77,8 @@ def field(df: DataFrame, key: str, kind: T.DataType | str, value: str = "event_v
 
 def complete(ev: DataFrame) -> DataFrame:
     """Add the event columns ``ev`` lacks as typed nulls."""
-    missing = {
-        n: F.lit(None).cast(t) for n, t in EVENT_FIELDS.items() if n not in ev.columns
-    }
-    return ev.withColumns(missing) if missing else ev
+    have = set(ev.columns)
+    missing = [
+        F.expr(f"CAST(NULL AS {t.simpleString()}) AS {n}") for n, t in EVENT_FIELDS.items() if n not in have
+    ]
+    return ev.select("*", *missing) if missing else ev

@@ -375,3 +375,80 @@ def test_vector_functions(spark):
 def test_price_rates(spark):
     r = one(with_price(spark.createDataFrame([("gpt-4o",)], "model_id string"), price_table(spark)))
     assert (r.input_rate, r.output_rate) == (2.5e-6, 1e-5)
+
+
+def test_single_cohort_tables(spark):
+    from parley.operators import artifacts as A
+
+    fv = spark.createDataFrame([("a", "all", 2), ("b", "all", 3)], "session_id string, cohort string, turn_count int")
+    aspects = [{"id": "turns", "name": "Turns", "components": [{"ref": {"kind": "turn_count"}}]}, {"id": "none", "components": [{"ref": {"kind": "x"}}]}]
+    res = C.aspect_results(fv, aspects, comparative=False)
+    rows = {r.id: r for r in res.collect()}
+    assert rows["turns"].value == 2.5 and not rows["turns"].no_data and rows["none"].value is None and rows["none"].no_data
+    assert rows["turns"].before is None and A.aspect_table(res, comparative=False).columns == ["aspect_id", "name", "value"]
+    flags = S.hypothesis_flags(fv, [{"id": "h", "predicate": cmp("turn_count", ">", 2)}])
+    hyp = C.hypothesis_results(fv.select("session_id", "cohort"), flags, [{"id": "h"}], comparative=False, min_support=1)
+    r = one(A.hypothesis_table(hyp, comparative=False))
+    assert (r.hypothesis_id, r.support, r.rate, r.rejected) == ("h", 1, 0.5, False)
+
+
+def test_empty_cohort_rolls_up_to_zeros(spark):
+    roll = P.session_rollup(ev(spark, [("s", "USER_QUERY", 1, {})]).withColumn("cohort", F.lit("before")), ["cohort"])
+    both = {r.cohort: r for r in C.cohort_rollup(roll, ["before", "after"]).collect()}
+    assert both["after"].n == 0 and both["after"].avg_turn_count == 0 and both["before"].avg_turn_count == 1
+    deltas = {r.name: r.delta_pct for r in C.compare_cohorts(C.cohort_rollup(roll, ["before", "after"])).collect()}
+    assert deltas["Conversation length"] == -100.0 and deltas["Tool error rate"] == 0.0
+
+
+def test_price_table_beyond_the_broadcast_bound(spark, monkeypatch):
+    from parley.operators import pricing
+
+    use = spark.createDataFrame([(1, "gpt-4o"), (2, None), (3, "who"), (4, "main_model")], "i int, model_id string")
+    small = sorted(map(tuple, with_price(use, price_table(spark)).collect()))
+    monkeypatch.setattr(pricing, "PRICE_ROWS", 3)
+    assert sorted(map(tuple, with_price(use, price_table(spark)).select("i", "model_id", "input_rate", "output_rate").collect())) == small
+
+
+def test_study_reports_on_handmade_sessions(spark):
+    """A small study from index and events to its tables, with an overlap and a cap."""
+    from parley.plans import studies as R
+
+    rows = []
+    for i in range(24):
+        sid = f"v{i:02d}"
+        rows += [(sid, "USER_QUERY", 86400 * i + t, {"content": f"pay bill {t}", "request_id": f"r{t}"}) for t in range(1 + i % 4)]
+        rows.append((sid, "TOOL_CALL_RESULT", 86400 * i + 9, {"latency": float(i), "error": "x" if i % 3 else None}))
+        rows += [(sid, "SESSION_END", 86400 * i + e, {"status": "completed" if e == 20 else "timeout"}) for e in (20, 30)]
+    log = ev(spark, rows, latency="double")
+    start = log.groupBy("session_id").agg(F.min("timestamp").alias("start_time"))
+    index = start.select(
+        F.md5("session_id").alias("_id"), F.col("session_id").alias("voice_session_id"), F.lit("t").alias("tenant"),
+        F.lit("o").alias("assistant_origin_id"), F.lit("a").alias("assistant_id"), "start_time",
+        F.lit(None).cast("string").alias("external_chat_session"), F.lit(None).cast("string").alias("chat_transport_provider"))
+    study = {"study_type": "comparative", "tenant": "t", "assistant_origin_id": "o",
+             "date_range_before": {"start": "1970-01-01", "end": "1970-01-13"}, "date_range_after": {"start": "1970-01-12", "end": "1970-01-24 23:59:59"},
+             "cohort_filters": [{"atom_id": "session_outcome_in", "value": ["completed"]}], "min_support": 1, "n_explore": 6}
+    lexicon = {"pay": {"keywords": ["pay", "bill"]}}
+    made = R.build_cohorts(index, log, study, lexicon, price_table(spark), vec_dim=8)
+    fv = made.features.collect()
+    assert {r.cohort for r in fv} == {"before", "after"} and len(fv) > len({r.session_id for r in fv})
+    assert all(r.session_outcome == "completed" and r.opening_intent_class == "pay" and len(r.embedding_opening) == 8 for r in fv)
+    stats = {r.cohort: (r.raw_count, r.filtered_count) for r in made.stats.collect()}
+    assert stats["total"] == (len(fv), len(fv)) and stats["before"] == (sum(r.cohort == "before" for r in fv),) * 2
+    capped = R.build_cohorts(index, log, {**study, "n_eval": 5}, lexicon, price_table(spark))
+    assert {r.cohort: r.n for r in capped.features.groupBy("cohort").agg(F.count("*").alias("n")).collect()} == {"before": 5, "after": 5}
+    lines = eventlog.transcript(eventlog.turns(made.events))
+    seen = R.explore(made.features, made.events, lines, study)
+    assert 0 < seen["digests"].count() <= 6 and 0 < seen["extremes"].count() <= 3
+    plan = {"aspects": [{"id": "turns", "components": [{"ref": {"kind": "turn_count"}}]}],
+            "hypotheses": [{"id": "h", "predicate": cmp("talks", "==", "match")}],
+            "signals_required": [{"name": "talks", "method": "rule_based", "spec": {"keywords": ["bill 2"]}}]}
+    out = R.evaluate(made.features, plan, study, made.text, made.events, lines, "embedding_opening")
+    h = one(out["hypotheses"])
+    assert h.before_support == sum(r.cohort == "before" and r.turn_count > 2 for r in fv) and h.before_size == stats["before"][0]
+    assert one(out["aspect_table"]).before == pytest.approx(sum(r.turn_count for r in fv if r.cohort == "before") / stats["before"][0], abs=5e-4)
+    assert out["counter_examples"].count() == 3 and out["hypothesis_table"].count() == 1 and out["values"].count() == len(fv)
+    quick = {r.name: r for r in R.quick_results(log.withColumn("session_id", F.md5("session_id")), index, study).collect()}
+    assert quick["Conversation length"].n_before == stats["before"][0]
+    audit = R.audit_events(log)
+    assert {r.event_type: r.n for r in audit["histogram"].collect()}["SESSION_END"] == 24

@@ -25,30 +25,32 @@ def _(spark, sf):
 
 
 def _evidence(spark, sf):
-    """Line items of an order as its evidence: part as finding, flag as summary."""
-    li = table(spark, sf, "lineitem")
-    item = F.struct(
-        F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
-        F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("f"))
-    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return rows.select(F.col("l_orderkey").cast("string").alias("id"), F.transform("items", lambda x: F.struct(
-        F.when(x.p % 2 == 0, F.concat(F.lit("f"), (x.p % 40).cast("string"))).alias("finding_id"),
-        F.concat(F.lit("return "), x.f).alias("summary"),
-        F.array(F.concat(F.lit("s"), (x.s % 7).cast("string")), F.concat(F.lit("q"), x.q.cast("int").cast("string"))).alias("session_ids"),
-    )).alias("evidence"))
-
-
-@add("l3_findings", "SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'f' || (l_partkey % 40) ELSE 'return ' || l_returnflag END AS finding FROM lineitem")
+    """A line item as a proposal with three pieces of evidence, the last one empty."""
+    s, q = F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")), F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string"))
+    finding = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("f"), (F.col("l_partkey") % 40).cast("string")))
+    none = F.lit(None).cast("string")
+
+    def piece(name, summary, ids):
+        return F.struct(name.alias("finding_id"), summary.alias("summary"), ids.alias("session_ids"))
+
+    return table(spark, sf, "lineitem").select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]).alias("id"),
+        F.array(piece(finding, F.concat(F.lit("return "), F.col("l_returnflag")), F.array(s, q)),
+                piece(none, F.concat(F.lit("status "), F.col("l_linestatus")), F.array(q, F.col("l_returnflag"), s, F.col("l_linestatus"))),
+                piece(none, none, F.lit(None).cast("array<string>")),
+                piece(F.lit(""), F.lit(""), F.array(F.lit("s0"), F.lit("t")))).alias("evidence"))
+
+
+@add("l3_findings", """SELECT CASE WHEN l_partkey % 2 = 0 THEN 'f' || (l_partkey % 40) ELSE 'return ' || l_returnflag END AS finding FROM lineitem
+  UNION SELECT 'status ' || l_linestatus FROM lineitem""")
 def _(spark, sf):
     return L.findings(_evidence(spark, sf))
 
 
-@add("l4_evidence_sessions", """WITH e AS (SELECT l_orderkey, row_number() OVER w AS rn, l_suppkey, l_quantity FROM lineitem
-    WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)),
-  x AS (SELECT l_orderkey, rn * 2 AS pos, 's' || (l_suppkey % 7) AS sid FROM e UNION ALL SELECT l_orderkey, rn * 2 + 1, 'q' || l_quantity::INT FROM e),
-  d AS (SELECT l_orderkey, sid, min(pos) AS pos FROM x GROUP BY ALL),
-  n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS k FROM d)
-  SELECT l_orderkey::VARCHAR AS id, string_agg(sid, '|' ORDER BY pos) AS session_ids FROM n WHERE k <= 5 GROUP BY l_orderkey""")
+@add("l4_evidence_sessions", """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id,
+    's' || (l_suppkey % 7) || '|q' || l_quantity::INT || '|' || l_returnflag || '|' || l_linestatus
+      || CASE WHEN l_suppkey % 7 = 0 THEN '|t' ELSE '|s0' END AS session_ids
+  FROM lineitem""")
 def _(spark, sf):
     return L.evidence_sessions(_evidence(spark, sf)).withColumn("session_ids", joined("session_ids"))
 
