@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions import events as E
 from parley.functions.text import filled, has_text
-from parley.operators.ordering import collect_parts, with_position
-from parley.operators.primitives import any_of, count_of
+from parley.operators.ordering import with_position
+from parley.operators.primitives import count_of
 
 # Digest sizes, the words that mark a telling line, the snapshot.
 SHORT_LINES, HEAD, MIDDLE, TAIL = 8, 3, 3, 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -29,7 +29,3 @@ def write_csv(table: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def read_materialized(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -452,3 +452,23 @@ def test_study_reports_on_handmade_sessions(spark):
     assert quick["Conversation length"].n_before == stats["before"][0]
     audit = R.audit_events(log)
     assert {r.event_type: r.n for r in audit["histogram"].collect()}["SESSION_END"] == 24
+
+
+def test_readers_use_declared_schemas(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"_id": "x", "voice_session_id": "v", "tenant": "t", "start_time": "2024-01-01T00:00:00Z", "voice_session": {"reconnects": 2}}\n')
+    s = SRC.read_sessions(spark, str(tmp_path / "s.json"), "json")
+    from parley.operators import scope
+
+    assert one(scope.reconnects(s)).is_reconnect and one(scope.tenants(s)).tenant == "t"
+    (tmp_path / "t.json").write_text('{"session_id": "v", "query": "hi", "created_at": "2024-01-01T00:00:01Z", "tool_call_list": [{"name": "n", "error": "e"}]}\n'
+                                     '{"session_id": "v", "final_response": "yo", "created_at": "2024-01-01T00:00:00Z"}\n')
+    d = one(eventlog.session_detail(SRC.read_turn_rows(spark, str(tmp_path / "t.json"), "json"), s))
+    assert d.turn_count == 2 and d.is_reconnect and [t.query for t in d.turns] == [None, "hi"] and d.turns[1].tool_call_list[0].error == "e"
+    (tmp_path / "p.json").write_text('{"seq": 1, "id": "p", "evidence": [{"summary": "s", "session_ids": ["a", "a"]}]}\n')
+    p = SRC.read_proposals(spark, str(tmp_path / "p.json"))
+    assert one(L.evidence_sessions(p)).session_ids == ["a"] and one(L.findings(p)).finding == "s"
+    sinks.write_json(p, str(tmp_path / "out"))
+    assert SRC.read_proposals(spark, str(tmp_path / "out")).count() == 1
+    csv = tmp_path / "e.csv"
+    csv.write_text('event_id,session_id,request_id,turn_id,event_type,timestamp,content,event_value,is_debug_event\n1,s,,,TOOL_CALL_RESULT,2024-01-01T00:00:00Z,,"{""latency"": 3}",false\n')
+    assert one(SRC.read_events(spark, str(csv), "csv")).latency == 3.0

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from parley.functions import events as E
 from parley.operators import primitives as P
 from parley.session import stage
 from workload.binding import EV, events, price

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from parley.functions import predicates as PR
 from parley.functions.events import field
 from parley.operators import cohort as C, primitives as P, sampling

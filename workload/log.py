@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.events import DISPLAY_TYPES, micros
+from parley.functions.events import DISPLAY_TYPES
 from parley.operators import eventlog
 from workload.binding import CHAT, EV, chat_events, events
-from workload.registry import add, joined
+from workload.registry import add
 
 SHOWN = ", ".join(f"'{t}'" for t in DISPLAY_TYPES)
 FIRST_END = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, event_type ORDER BY us, event_id) AS rn FROM ev)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.events import DISPLAY_TYPES
 from parley.operators import eventlog
 from parley.plans import studies as R
-from workload.binding import CHAT, EV, S, chat_events, events, price, sessions, table
+from workload.binding import EV, S, events, price, sessions
 from workload.features import FV
 from workload.log import AUDIT, FIRST_END, SHOWN
-from workload.registry import add, r
-from workload.results import ASPECTS, CHI, E2, ERFC, HYPS, LONG, MWU, RATES, TITLE, WIDE
+from workload.registry import add
+from workload.results import ASPECTS, CHI, E2, ERFC, HYPS, LONG, MWU, RATES, TITLE, WIDE, fisher_sql
 from workload.measures import ROLLUP
 from workload.scans import PUBLIC, STUDY
 
@@ -84,9 +83,10 @@ def _(spark, sf):
     return R.evaluate(c.features, {"aspects": ASPECTS, "hypotheses": HYPS}, REPORT_STUDY, c.text, c.events)["aspect_table"]
 
 
-@add("r3_evaluate_hypotheses", f"""WITH {_over_study(RATES)}, {WIDE} SELECT id AS hypothesis_id, CASE id WHEN 'h_long' THEN 'Long' WHEN 'h_error' THEN 'Error' WHEN 'h_slow' THEN 'Slow' ELSE id END AS title,
-    b::BIGINT AS before_support, round_even(b / nb, 4) AS before_rate, a::BIGINT AS after_support, round_even(a / na, 4) AS after_rate, a + b < 5 AS rejected, round_even(coalesce({ERFC}, 1.0), 4) AS p_value
-  FROM (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS t FROM (SELECT *, sqrt(chi / 2) AS x FROM (SELECT *, {CHI} AS chi FROM w)))""")
+@add("r3_evaluate_hypotheses", f"""WITH {_over_study(RATES)}, {WIDE}, {fisher_sql("w")}
+  SELECT id AS hypothesis_id, CASE id WHEN 'h_long' THEN 'Long' WHEN 'h_error' THEN 'Error' WHEN 'h_slow' THEN 'Slow' ELSE id END AS title,
+    b::BIGINT AS before_support, round_even(b / nb, 4) AS before_rate, a::BIGINT AS after_support, round_even(a / na, 4) AS after_rate, a + b < 5 AS rejected, round_even(coalesce(p, {ERFC}, 1.0), 4) AS p_value
+  FROM (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS t FROM (SELECT *, sqrt(chi / 2) AS x FROM (SELECT *, {CHI} AS chi FROM w LEFT JOIN fp USING (id))))""")
 def _(spark, sf):
     c = _cohorts(spark, sf)
     return R.evaluate(c.features, {"aspects": ASPECTS, "hypotheses": HYPS}, REPORT_STUDY, c.text, c.events)["hypothesis_table"]

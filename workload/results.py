@@ -9,7 +9,7 @@ from parley.operators import artifacts as A, cohort as C, primitives as P
 from parley.operators.ordering import quantiles
 from parley.operators.signals import enrich, hypothesis_flags
 from parley.operators.significance import average_ranks, mann_whitney
-from workload.binding import CHAT, EV, chat_events, events, table
+from workload.binding import EV, events, table
 from workload.features import FV, features
 from workload.measures import ROLLUP
 from workload.registry import add, r
@@ -269,25 +269,29 @@ def _(spark, sf):
     return t.select("id", r(chi_square(b, nb, a, na)).alias("p_value"))
 
 
-# customers with few orders on one side: binomial coefficients by gamma products
+def fisher_sql(t: str) -> str:
+    """CTEs up to fp (id, p): the exact test for rows of ``t`` with a side below 5."""
+    return f"""fk AS (SELECT *, unnest(range(0, nb::BIGINT + 1)) AS k, a + b AS m FROM {t} WHERE nb < 5 OR na < 5),
+  fw AS (SELECT id, b, k, exp(lgamma(nb + 1) - lgamma(k + 1) - lgamma(nb - k + 1) + lgamma(na + 1) - lgamma(m - k + 1) - lgamma(na - m + k + 1)
+      - lgamma(nb + na + 1) + lgamma(m + 1) + lgamma(nb + na - m + 1)) AS w FROM fk WHERE k <= m AND m - k <= na),
+  fp AS (SELECT id, least(1.0, sum(w) FILTER (w <= seen * (1 + 1e-7)) / sum(w)) AS p
+    FROM fw JOIN (SELECT id, w AS seen FROM fw WHERE k = b) USING (id) GROUP BY id)"""
+
+
+# customers, many with few orders on one side
 FISHER = """ft AS (SELECT o_custkey AS id, count(*) FILTER (o_totalprice > 250000 AND y) AS b, count(*) FILTER (y) AS nb,
     count(*) FILTER (o_totalprice > 250000 AND NOT y) AS a, count(*) FILTER (NOT y) AS na
-  FROM (SELECT *, year(o_orderdate) < 1996 AS y FROM orders) GROUP BY 1),
-  fk AS (SELECT *, unnest(range(0, nb + 1)) AS k, a + b AS m FROM ft WHERE nb < 5 OR na < 5),
-  fw AS (SELECT id, b, k, exp(lgamma(nb + 1) - lgamma(k + 1) - lgamma(nb - k + 1) + lgamma(na + 1) - lgamma(m - k + 1) - lgamma(na - m + k + 1)
-      - lgamma(nb + na + 1) + lgamma(m + 1) + lgamma(nb + na - m + 1)) AS w FROM fk WHERE k <= m AND m - k <= na)"""
+  FROM (SELECT *, year(o_orderdate) < 1996 AS y FROM orders) GROUP BY 1), """ + fisher_sql("ft")
 
 
-@add("e11_fisher", f"""WITH {FISHER}, o AS (SELECT id, w AS seen FROM fw WHERE k = b)
-  SELECT id, round(least(1.0, sum(w) FILTER (w <= seen * (1 + 1e-7)) / sum(w)), 6) AS p_value FROM fw JOIN o USING (id) GROUP BY id""")
+@add("e11_fisher", f"WITH {FISHER} SELECT id, round(p, 6) AS p_value FROM fp")
 def _(spark, sf):
     t = _tables(spark, sf, F.col("o_custkey").alias("id")).where("nb < 5 OR na < 5")
     b, nb, a, na = (F.col(c) for c in ("b", "nb", "a", "na"))
     return t.select("id", r(fisher(b, nb, a, na)).alias("p_value"))
 
 
-@add("e10_e11_rate_test", f"""WITH {FISHER}, o AS (SELECT id, w AS seen FROM fw WHERE k = b),
-  fp AS (SELECT id, least(1.0, sum(w) FILTER (w <= seen * (1 + 1e-7)) / sum(w)) AS p FROM fw JOIN o USING (id) GROUP BY id),
+@add("e10_e11_rate_test", f"""WITH {FISHER},
   cp AS (SELECT id, {ERFC} AS p FROM (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS t FROM (SELECT *, sqrt({CHI} / 2) AS x FROM
     (SELECT id, b::DOUBLE AS b, nb::DOUBLE AS nb, a::DOUBLE AS a, na::DOUBLE AS na, (nb + na)::DOUBLE AS n FROM ft WHERE nb >= 5 AND na >= 5))))
   SELECT id, round(p, 6) AS p_value, p < 0.05 AS significant, 'fisher' AS test FROM fp

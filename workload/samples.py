@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from parley.functions.vectors import cosine_distance, normalize
 from parley.operators import artifacts as A, digest as D, matching as M, sampling as G, vectors as V
 from workload.binding import EV, VEC, cohort_of, events, table, vectors
-from workload.features import FV, STRATUM, features
 from workload.registry import add, joined, r
 from workload.results import FLAGS, flagged
 

@@ -39,12 +39,12 @@ def _(spark, sf):
 
 
 @add("k7_time_difference", f"""WITH {EV} SELECT session_id, CAST(trunc((min(us) FILTER (event_type = 'USER_QUERY') - max(us)) / 1000.0) AS BIGINT) AS ms,
-  round((max(us) - min(us)) / 60000000.0, 6) AS minutes FROM ev GROUP BY session_id""")
+  round((max(us) - min(us)) / 60000000.0, 9) AS minutes FROM ev GROUP BY session_id""")
 def _(spark, sf):
     us = E.micros(F.col("timestamp"))
     return events(spark, sf).groupBy("session_id").agg(
         E.ms_between(F.max(us), F.min(F.when(E.of_type(E.USER_QUERY), us))).alias("ms"),
-        r((F.max(us) - F.min(us)) / 60_000_000.0).alias("minutes"))
+        r((F.max(us) - F.min(us)) / 60_000_000.0, 9).alias("minutes"))
 
 
 @add("k8_minutes_to_ms", "SELECT event_id, value * 60000.0 AS ms FROM events")

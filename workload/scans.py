@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions.events import micros
 from parley.operators import eventlog, scope
 from parley.sources.sinks import missing_only
-from workload.binding import CHAT, EV, S, chat_events, events, sessions, table
+from workload.binding import S, events, sessions, table
 from workload.registry import add, joined
 
 SCOPE = dict(tenant="t1", origin_id="o1", start="2024-01-03 00:00:00", end="2024-01-24 00:00:00")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import normal_name, slug
 from parley.operators import digest as D, eventlog, intent as I, primitives as P, sampling, signals as S
-from workload.binding import CHAT, EV, chat_events, events, price, table
+from workload.binding import EV, chat_events, events, price, table
 from workload.features import FV, features
 from workload.log import TURNS
-from workload.measures import OUTCOME, n_of
+from workload.measures import n_of
 from workload.registry import add, joined, r
 
 # ---- intent over documents: source as tool, language as purpose, text as text
@@ -43,11 +43,9 @@ INTENT_SCORES = """sc AS (SELECT doc_id, source, lang, low,
       + contains(low, 'und')::INT * 1.0 + contains(op, 'und')::INT * 0.5 - contains(low, 'the')::INT * 2.0 + (lang = 'de')::INT * 2.0 AS east,
     contains(low, 'ción')::INT * 1.0 + contains(op, 'ción')::INT * 0.5 + contains(low, 'que')::INT * 1.0 + contains(op, 'que')::INT * 0.5 + (source = 'src5')::INT * 3.0 AS west
   FROM (SELECT *, lower(text) AS low, substr(lower(text), 1, 800) AS op FROM documents))"""
-# src_1 and src_2 also stand among a document's tools, spelled as the lexicon spells src-2
-TOOLS_TOO = INTENT_SCORES
 
 
-@add("i1_classify_intent", f"""WITH {TOOLS_TOO}, p AS (SELECT *, greatest(north, 0) + greatest(south, 0) + greatest(east, 0) + greatest(west, 0) AS total,
+@add("i1_classify_intent", f"""WITH {INTENT_SCORES}, p AS (SELECT *, greatest(north, 0) + greatest(south, 0) + greatest(east, 0) + greatest(west, 0) AS total,
     greatest(north, south, east, west, 0) AS best FROM sc)
   SELECT doc_id, CASE WHEN best < 2 THEN 'unknown' WHEN north = best THEN 'north' WHEN south = best THEN 'south' WHEN east = best THEN 'east' ELSE 'west' END AS opening_intent_class,
     round(CASE WHEN total > 0 THEN best / total ELSE 0 END, 6) AS opening_intent_score FROM p""")
