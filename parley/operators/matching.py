@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.functions.predicates import min_turns
 from parley.functions.vectors import cosine_distance
-from parley.operators.sampling import MIN_TURNS, N_EXPLORE, SEED, _ranked_picks, explore_sample, stratum
+from parley.operators.sampling import MIN_TURNS, N_EXPLORE, SEED, explore_sample, ranked_picks, stratum
 from parley.session import stage
 
 TURN_TOLERANCE = 3  # fixed value
@@ -67,7 +67,7 @@ def explore_pairs(fv: DataFrame, n: int = N_EXPLORE, tol: int = TURN_TOLERANCE,
     """(pair_id, before, after, stratum): diverse before-sessions and their matches."""
     pairs = max(1, n // 2)
     before, after = fv.where(F.col("cohort") == "before"), fv.where(F.col("cohort") == "after")
-    ranked = _ranked_picks(before, pairs, id_col, vec, seed).where(F.col("rank") < pairs)
+    ranked = ranked_picks(before, pairs, id_col, vec, seed).where(F.col("rank") < pairs)
     picks = before.join(ranked.select(id_col, "stratum", "rank"), id_col)
     return match_pairs(picks, after, tol, id_col, vec).withColumnRenamed("rank", "pair_id")
 

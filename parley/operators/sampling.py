@@ -110,7 +110,8 @@ def diverse_pick(fv: DataFrame, wanted: DataFrame, key: str = "stratum", id_col:
     return picks
 
 
-def _ranked_picks(fv: DataFrame, n: int, id_col: str, vec: str, seed: str) -> DataFrame:
+def ranked_picks(fv: DataFrame, n: int, id_col: str = "session_id", vec: str = "embedding_opening",
+                 seed: str = SEED) -> DataFrame:
     """(id, stratum, rank): picks in order, rare strata first. At most ``n`` and small strata."""
     pool = fv.where(min_turns(MIN_TURNS)).withColumn("stratum", stratum())
     wanted = stage(quotas(stratum_sizes(pool), n))
@@ -121,7 +122,7 @@ def _ranked_picks(fv: DataFrame, n: int, id_col: str, vec: str, seed: str) -> Da
 def explore_sample(fv: DataFrame, n: int = N_EXPLORE, id_col: str = "session_id",
                    vec: str = "embedding_opening", seed: str = SEED) -> DataFrame:
     """(id, stratum, rank): a diverse sample of one cohort, rare strata first."""
-    return _ranked_picks(fv, n, id_col, vec, seed).where(F.col("rank") < n).select(id_col, "stratum", "rank")
+    return ranked_picks(fv, n, id_col, vec, seed).where(F.col("rank") < n).select(id_col, "stratum", "rank")
 
 
 def extreme_sessions(digests: DataFrame, id_col: str = "session_id") -> DataFrame:

@@ -131,8 +131,11 @@ def nearest_labelled(df: DataFrame, protos: DataFrame, vec: str = "embedding",
 
 
 def hashed_text(df: DataFrame, text: str, out: str, dim: int = 1536) -> DataFrame:
-    """Unit-length term-hash vector of a text column, computed in the JVM."""
-    tokens = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\W+").transform(df)
+    """Unit-length term-hash vector of a text column, computed in the JVM.
+
+    Words are runs of letters, digits and underscores of any script.
+    """
+    tokens = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="(?U)\\W+").transform(df)
     counts = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tokens)
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
     return unit.withColumn(out, vector_to_array("_unit")).drop("_tok", "_tf", "_unit")

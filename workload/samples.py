@@ -75,7 +75,7 @@ def _(spark, sf):
     return out.select("vec_id", "label_id", r("similarity").alias("similarity"))
 
 
-@add("h7_embed")
+@add("h7_embed", r"SELECT doc_id, 256 AS dim, regexp_matches(text, '[\p{L}\p{N}_]')::INT::DOUBLE AS norm FROM documents")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("opening_text"))
     v = V.embed(docs, dim=256)
@@ -144,7 +144,41 @@ def _(spark, sf):
     return events(spark, sf).select("cohort", "event_type", "purpose").distinct()
 
 
-# ---- diverse samples: vectors as sessions
+# ---- diverse samples
+
+# the vectors as sessions: a stratum per label, before and after by parity
+POOL = f"""{VEC}, pool AS (SELECT label || '|completed|short' AS key, vec_id AS id, embedding AS v, vec_id % 11 AS turns FROM vec WHERE {{where}}),
+  strata AS (SELECT key AS stratum FROM pool)"""
+ROUNDS = 10  # at least the largest quota below
+
+
+def diverse_sql(n: int, where: str) -> str:
+    """CTEs up to chosen (key, size, id, pick): quotas, farthest points, random rest."""
+    return f"""{POOL.format(where=where)}, {QUOTA.format(n=n)}, {farthest_sql(MEDOID_SQL, 'pool', ROUNDS)},
+  want AS (SELECT stratum AS key, size, quota, least(quota, ceil(sqrt(size)))::BIGINT AS k FROM quota WHERE quota > 0),
+  spread AS (SELECT key, size, id, pick FROM picks{ROUNDS - 1} JOIN want USING (key) WHERE size > quota AND pick < k),
+  fill AS (SELECT key, size, id, k + rn - 1 AS pick FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY {SEEDED.format(id="id")}, id) AS rn FROM pool JOIN want USING (key)
+    WHERE size > quota AND id NOT IN (SELECT id FROM spread)) WHERE rn <= quota - k),
+  whole AS (SELECT key, size, id, row_number() OVER (PARTITION BY key ORDER BY id) - 1 AS pick FROM pool JOIN want USING (key) WHERE size <= quota),
+  chosen AS (SELECT * FROM spread UNION ALL SELECT * FROM fill UNION ALL SELECT * FROM whole),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY size, key, pick) - 1 AS rank FROM chosen)"""
+
+
+def pairs_sql(n: int) -> str:
+    """CTEs up to pairs (rank, before, after, stratum): the greedy choice, one rank a step."""
+    return f"""RECURSIVE {diverse_sql(n, "vec_id % 11 >= 2 AND vec_id % 2 = 0")},
+  b AS (SELECT rank, id AS before, key, v AS bv, turns AS bt FROM ranked JOIN pool USING (key, id) WHERE rank < {n}),
+  a AS (SELECT vec_id AS after, label || '|completed|short' AS ak, embedding AS av, vec_id % 11 AS aturns FROM vec WHERE vec_id % 11 >= 2 AND vec_id % 2 = 1),
+  cand AS (SELECT rank, before, after, key AS stratum, row_number() OVER (PARTITION BY rank ORDER BY round(1 - list_dot_product(bv, av), 12), after) AS place
+    FROM b JOIN a ON (ak = key OR key NOT IN (SELECT ak FROM a)) AND abs(aturns - bt) <= 3),
+  g AS (SELECT -1::BIGINT AS rank, []::BIGINT[] AS used, NULL::BIGINT AS after
+    UNION ALL
+    SELECT g.rank + 1, CASE WHEN min(c.place) IS NULL THEN g.used ELSE list_append(g.used, arg_min(c.after, c.place)) END, arg_min(c.after, c.place)
+    FROM g LEFT JOIN cand c ON c.rank = g.rank + 1 AND NOT list_contains(g.used, c.after)
+    WHERE g.rank + 1 < (SELECT count(*) FROM b) GROUP BY g.rank, g.used),
+  pairs AS (SELECT g.rank, b.before, g.after, b.key AS stratum FROM g JOIN b USING (rank) WHERE g.after IS NOT NULL)"""
+
 
 def _vec_features(spark, sf):
     v = vectors(spark, sf)
@@ -154,32 +188,33 @@ def _vec_features(spark, sf):
         F.col("label").cast("string").alias("opening_intent_class"), F.col("embedding").alias("embedding_opening"))
 
 
-@add("g6_diverse_pick")
+@add("g6_diverse_pick", f"WITH {diverse_sql(60, 'true')} SELECT key AS stratum, id AS session_id, pick FROM chosen")
 def _(spark, sf):
     fv = _vec_features(spark, sf).withColumn("stratum", G.stratum())
     wanted = G.quotas(G.stratum_sizes(fv), 60)
     return G.diverse_pick(fv, wanted).select("stratum", "session_id", "pick")
 
 
-@add("g7_explore_sample")
+@add("g7_explore_sample", f"WITH {diverse_sql(40, 'vec_id % 11 >= 2')} SELECT id AS session_id, key AS stratum, rank FROM ranked WHERE rank < 40")
 def _(spark, sf):
     return G.explore_sample(_vec_features(spark, sf), 40)
 
 
-@add("c5_match_pairs")
+@add("c5_match_pairs", f"WITH {pairs_sql(30)} SELECT rank, before, after, stratum FROM pairs")
 def _(spark, sf):
     fv = _vec_features(spark, sf)
-    picks = G._ranked_picks(fv.where("cohort = 'before'"), 30, "session_id", "embedding_opening", G.SEED)
+    picks = G.ranked_picks(fv.where("cohort = 'before'"), 30).where(F.col("rank") < 30)
     rows = fv.join(picks.select("session_id", "stratum", "rank"), "session_id")
     return M.match_pairs(rows, fv.where("cohort = 'after'"))
 
 
-@add("g8_explore_pairs")
+@add("g8_explore_pairs", f"WITH {pairs_sql(20)} SELECT rank AS pair_id, before, after, stratum FROM pairs")
 def _(spark, sf):
     return M.explore_pairs(_vec_features(spark, sf), 40)
 
 
-@add("g9_exploration_manifest")
+@add("g9_exploration_manifest", f"""WITH {pairs_sql(20)} SELECT rank AS pair_id, 'before' AS cohort, before AS session_id, stratum FROM pairs
+  UNION ALL SELECT rank, 'after', after, stratum FROM pairs""")
 def _(spark, sf):
     return M.exploration_manifest(_vec_features(spark, sf), "comparative", 40)
 
