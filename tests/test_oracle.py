@@ -23,7 +23,8 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    # the smallest tables hold too few sessions in scope to pair any
+    assert QUERIES[name](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")).count() > 0
 
 
 def test_entry(spark):
