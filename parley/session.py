@@ -13,6 +13,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # split a skewed join even where an aggregate then needs its own small shuffle
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     # sessions a task aggregates in memory before it sorts instead
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     return spark
