@@ -32,7 +32,7 @@ MIN_ASSIGNED, MIN_ACCESS = 12, 18
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Runs that may hide a key: possessive, so a long run is read once.
-RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?:\r?\n[A-Za-z0-9+/_-]{4,}+)*+={0,2}")
+RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?:\r?\n[A-Za-z0-9+/]{2,}+(?=[=\r\n]|\Z))*+={0,2}")
 RUN16 = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}+")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]{16,}+)")
 
@@ -141,7 +141,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             found.append((kind, *m.span()))
     for m in RUN64.finditer(text):
         lines = m[0].split("\n")
-        for n in {len(lines), 1}:
+        for n in sorted({len(lines), len(lines) - 1, 1} - {0}, reverse=True):
             part = "\n".join(lines[:n])
             if kind := key_kind(_decode64(part)):
                 found.append((kind, m.start(), m.start() + len(part)))
@@ -185,14 +185,15 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> D
     A text without secrets stays as it is; null stays null.
     """
     prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
 
     def masked(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             texts = [redacted(t, mask) if t else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(masked, docs.schema)
+    return plain.mapInArrow(masked, plain.schema).toDF(*docs.columns)
 
 
 def recount(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
