@@ -34,9 +34,9 @@ BITS_PER_ENTRY = 8
 SMOOTHING = 200.0
 #: Bytes of text per segment of the hash range, tokens a task adds up before it sends counts, megabytes of filter in a pass.
 SEGMENT_BYTES = 4 << 20
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_500_000
 MAX_MB = 512
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 #: The end token, which also stands before a text's first word. No word holds a blank.
 END = b"\n"
@@ -107,11 +107,11 @@ class Filter:
         return out
 
 
-def filter_segment(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def filter_segment(hashes: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """The bytes of a segment that holds these n-grams."""
     level = levels(counts)
     entries = int(level.sum())
-    data = np.zeros(8 * max(1, -(-entries * BITS_PER_ENTRY // 64)), np.uint8)
+    data = np.zeros(8 * max(1, -(-entries * bits_per_entry // 64)), np.uint8)
     bits = np.array(8 * len(data), np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
         p = positions(hashes[level >= q], q, bits).ravel()
@@ -161,7 +161,7 @@ def _counting(shift: int):
         hasher, held, starts, n = Hasher(), [], [], 0
 
         def flush():
-            tokens = np.array([h for t in held for h in t], np.uint64)
+            tokens = np.concatenate(held)
             for order, h in ((1, tokens), (2, bigrams(tokens, np.array(starts), hasher.end))):
                 h, c = added(h)
                 seg = (h >> _U(shift)).astype(np.int32) if shift < 64 else np.zeros(len(h), np.int32)
@@ -173,7 +173,7 @@ def _counting(shift: int):
 
         for b in batches:
             for text in b.column("text").to_pylist():
-                tokens = hasher(text)
+                tokens = np.array(hasher(text), np.uint64)
                 held.append(tokens)
                 starts.append(n)
                 n += len(tokens)
@@ -185,24 +185,26 @@ def _counting(shift: int):
     return count
 
 
-def _building(batches):
+def _building(bits_per_entry: int):
     """Adds up each segment's counts and writes its filter; for unigrams the exact counts too."""
-    parts: dict[tuple[int, int], list] = {}
-    for b in batches:
-        n, seg = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "segment"))
-        h, c = b.column("hash").to_numpy(zero_copy_only=False).view(np.uint64), b.column("count").to_numpy(zero_copy_only=False)
-        both = n.astype(np.int64) << 32 | seg
-        order = np.argsort(both, kind="stable")
-        keys, at = np.unique(both[order], return_index=True)
-        for key, rows in zip(keys.tolist(), np.split(order, at[1:])):
-            parts.setdefault((key >> 32, key & 0xFFFFFFFF), []).append((h[rows].copy(), c[rows].copy()))
-    for (n, seg), pieces in parts.items():
-        h, c = added(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]).astype(np.int64))
-        exact = (h.tobytes(), c.tobytes()) if n == 1 else (None, None)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n], pa.int8()), pa.array([seg], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()),
-             pa.array([filter_segment(h, c).tobytes()], pa.binary()), pa.array([exact[0]], pa.binary()), pa.array([exact[1]], pa.binary())],
-            ["n", "segment", "distinct", "total", "filter", "hashes", "counts"])
+    def build(batches):
+        parts: dict[tuple[int, int], list] = {}
+        for b in batches:
+            n, seg = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "segment"))
+            h, c = b.column("hash").to_numpy(zero_copy_only=False).view(np.uint64), b.column("count").to_numpy(zero_copy_only=False)
+            both = n.astype(np.int64) << 32 | seg
+            order = np.argsort(both, kind="stable")
+            keys, at = np.unique(both[order], return_index=True)
+            for key, rows in zip(keys.tolist(), np.split(order, at[1:])):
+                parts.setdefault((key >> 32, key & 0xFFFFFFFF), []).append((h[rows].copy(), c[rows].copy()))
+        for (n, seg), pieces in parts.items():
+            h, c = added(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]).astype(np.int64))
+            exact = (h.tobytes(), c.tobytes()) if n == 1 else (None, None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int8()), pa.array([seg], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()),
+                 pa.array([filter_segment(h, c, bits_per_entry).tobytes()], pa.binary()), pa.array([exact[0]], pa.binary()), pa.array([exact[1]], pa.binary())],
+                ["n", "segment", "distinct", "total", "filter", "hashes", "counts"])
+    return build
 
 
 MODEL = "n tinyint, segment int, distinct bigint, total bigint, filter binary, hashes binary, counts binary"
@@ -217,7 +219,7 @@ class Model(NamedTuple):
     types: int
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Model:
+def train(texts: DataFrame, text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY) -> Model:
     """Counts all unigrams and bigrams of ``texts`` and builds the filter's segments."""
     prepare(texts.sparkSession)
     bare = picked(texts, text=text_col).withColumn("text", F.col("text").cast("binary"))
@@ -225,7 +227,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     segments = 1 << max(4, (size // SEGMENT_BYTES).bit_length())
     shift = 64 - (segments.bit_length() - 1)
     counted = bare.mapInArrow(_counting(shift), "n tinyint, segment int, hash bigint, count int")
-    made = stage(counted.repartition("n", "segment").mapInArrow(_building, MODEL))
+    made = stage(counted.repartition("n", "segment").mapInArrow(_building(bits_per_entry), MODEL))
     seen = made.filter("n = 1").agg(F.sum("total"), F.sum("distinct")).first()
     return Model(made, shift, seen[0] or 0, seen[1] or 0)
 
@@ -252,9 +254,9 @@ def _scoring(shared, share: int, of: int, shift: int, total: int, types: int, sm
         for b in batches:
             if not b.num_rows:
                 continue
-            per = [hasher(t) for t in b.column("text").to_pylist()]
+            per = [np.array(hasher(t), np.uint64) for t in b.column("text").to_pylist()]
             lengths = np.array([len(t) for t in per], np.int64)
-            tokens = np.array([h for t in per for h in t], np.uint64)
+            tokens = np.concatenate(per)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
             types_here, which = np.unique(tokens, return_inverse=True)
             at = np.minimum(np.searchsorted(known, types_here), max(len(known) - 1, 0))
