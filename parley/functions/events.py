@@ -75,6 +75,11 @@ def field(df: DataFrame, key: str, kind: T.DataType | str, value: str = "event_v
     return F.when(present, inside).otherwise(F.col(key).cast(name))
 
 
+def event_key(ev: DataFrame, key: str, kind: T.DataType | str = "string") -> Column:
+    """Any key of an event: its typed column if there is one, else from ``event_value``."""
+    return F.col(key) if key in ev.columns else field(ev, key, kind)
+
+
 def complete(ev: DataFrame) -> DataFrame:
     """Add the event columns ``ev`` lacks as typed nulls."""
     have = set(ev.columns)

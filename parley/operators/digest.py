@@ -51,7 +51,10 @@ def anomaly_flags() -> Column:
     """Sorted distinct anomalies among a session's events, at most five."""
     ended = F.coalesce(filled(F.col("status")), F.col("end_reason"))
     flagged = F.coalesce(F.col("would_block"), F.lit(False)) | F.coalesce(F.size("flagged_categories") > 0, F.lit(False))
-    empty = filled(F.col("result")).isNull() & filled(F.col("output")).isNull()
+    def nothing(c: str) -> Column:
+        return F.coalesce(filled(F.col(c)).isin("[]", "{}"), F.lit(False)) | filled(F.col(c)).isNull()
+
+    empty = nothing("result") & nothing("output")
     found = (
         F.when(E.of_type(E.TOOL_ERROR), "tool_call_error")
         .when(E.of_type(E.GUARDRAIL) & flagged, "guardrail_block")

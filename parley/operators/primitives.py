@@ -267,6 +267,9 @@ def primitive(ev: DataFrame, name: str, types: list[str], reducer: str,
         gap = E.ms_between(F.min(F.when(test, us)), F.max(F.when(E.of_type(*end_types), us)))
         return ev.groupBy("session_id").agg(gap.alias(name))
     rows = ev.where(test)
+    if field and field not in ev.columns:
+        number = reducer in ("sum", "mean", "max", "min", "p50", "p95")
+        rows = rows.withColumn(field, E.event_key(ev, field, "double" if number else "string"))
     if reducer in ("p50", "p95"):
         return quantiles(rows, ["session_id"], field).select("session_id", F.col(reducer).alias(name))
     value = F.col(field) if field else F.lit(1)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from parley.functions.text import filled, strip
 
-# Confidence order, and the sizes of a finding id and an id list.
+# The order of confidence, and how much of a summary is shown.
 CONFIDENCE = {"high": 0, "medium": 1, "low": 2}
 UNRANKED = 9
-SUMMARY_CHARS, SESSION_IDS = 120, 5
+SUMMARY_CHARS = 120
 
 
 def best_per_key(df: DataFrame, key: str = "target_key", rank: str = "confidence", seq: str = "seq",
@@ -35,19 +35,21 @@ def first_per_title(df: DataFrame, title: str = "title", seq: str = "seq") -> Da
     return named.where(F.col("_t") == "").select(*df.columns).unionByName(first)
 
 
-def findings(df: DataFrame) -> DataFrame:
-    """Distinct finding ids; a summary's first 120 characters where it has no id."""
-    name = F.coalesce(filled(F.col("e.finding_id")), F.substring(filled(F.col("e.summary")), 1, SUMMARY_CHARS))
+def findings(df: DataFrame, shown: int = SUMMARY_CHARS) -> DataFrame:
+    """Distinct findings: by id, else by the whole summary, of which ``shown`` characters are shown."""
+    key = F.struct(filled(F.col("e.finding_id")).alias("id"), F.when(filled(F.col("e.finding_id")).isNull(), filled(F.col("e.summary"))).alias("summary"))
     return (
-        df.select(F.explode_outer("evidence").alias("e")).select(name.alias("finding"))
-        .where(F.col("finding").isNotNull()).distinct().orderBy("finding")
+        df.select(F.explode_outer("evidence").alias("e")).select(key.alias("k")).distinct()
+        .withColumn("finding", F.coalesce("k.id", F.substring("k.summary", 1, shown)))
+        .where(F.col("finding").isNotNull()).orderBy("finding", "k.summary").select("finding")
     )
 
 
-def evidence_sessions(df: DataFrame, n: int = SESSION_IDS) -> DataFrame:
-    """(id, session_ids[]): distinct ids of a proposal's evidence in order, first ``n``."""
+def evidence_sessions(df: DataFrame, n: int | None = None) -> DataFrame:
+    """(id, session_ids[]): distinct ids of a proposal's evidence in order; all, or the first ``n``."""
     lists = F.transform(F.col("evidence"), lambda e: F.coalesce(e.session_ids, F.array().cast("array<string>")))
-    ids = F.slice(F.array_distinct(F.flatten(lists)), 1, n)
+    ids = F.array_distinct(F.flatten(lists))
+    ids = ids if n is None else F.slice(ids, 1, n)
     return df.select("id", F.coalesce(ids, F.array().cast("array<string>")).alias("session_ids"))
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parley.functions.predicates import is_reconnect
 from parley.functions.text import filled
 
-LIST_LIMIT = 200  # fixed value: length of the tenant and assistant lists
 
 
 def channel_is(channel: str) -> Column:
@@ -78,14 +77,15 @@ def tenants(s: DataFrame, limit: int | None = None) -> DataFrame:
     return names.limit(limit) if limit else names
 
 
-def assistants(s: DataFrame, tenant: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """Session count and last start per assistant, busiest first."""
-    return (
+def assistants(s: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:
+    """Session count and last start per assistant, busiest first; all, or the first ``limit``."""
+    listed = (
         s.where((F.col("tenant") == tenant) & F.col("assistant_origin_id").isNotNull())
         .groupBy("assistant_origin_id")
         .agg(F.count("*").alias("session_count"), F.max("start_time").alias("last_start"))
-        .orderBy(F.desc("session_count"), "assistant_origin_id").limit(limit)
+        .orderBy(F.desc("session_count"), "assistant_origin_id")
     )
+    return listed if limit is None else listed.limit(limit)
 
 
 def events_for(ev: DataFrame, ids: DataFrame, key: str = "session_id") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -50,7 +49,7 @@ def farthest_points(df: DataFrame, key: str, id_col: str, vec: str = "embedding"
 
     ``k`` is a number or the name of a column constant in a group. All groups
     advance together, a round each: one scan finds the next pick of every group
-    with a combining aggregate. Rounds run over a table on executor disk that
+    with a combining aggregate. Rounds run over a table in the shared folder that
     carries each row's distance to the picks before; the few newest picks ride
     along and are folded in every ``PICKS_PER_PASS`` rounds by writing the table anew.
     """
@@ -59,13 +58,12 @@ def farthest_points(df: DataFrame, key: str, id_col: str, vec: str = "embedding"
     sizes = base.groupBy(key).agg(F.least(F.max("_k"), F.count("*")).alias("_k"), F.count("*").alias("_n"))
     rounds, groups = sizes.agg(F.max("_k"), F.count("*")).first()
     state = base.drop("_k").join(sizes, key).withColumn("_d", F.lit(float("inf")))
-    state = state.persist(StorageLevel.DISK_ONLY)
+    state = stage(state)
     start = medoid(state, key, "_id", "_v") if seed is None else seed.withColumnRenamed(id_col, "_id")
     picks = stage(
         state.join(start.select(key, "_id"), [key, "_id"]).where(F.col("_k") > 0)
         .select(key, "_id", "_v", F.lit(0).alias("pick")))
     if not rounds or rounds <= 1:
-        state.unpersist()
         return picks.select(key, F.col("_id").alias(id_col), "pick")
     width = picks.agg(F.max(F.size("_v"))).first()[0] or 0
     small = groups * PICKS_PER_PASS * max(width, 1) <= BROADCAST_NUMBERS
@@ -87,10 +85,7 @@ def farthest_points(df: DataFrame, key: str, id_col: str, vec: str = "embedding"
         done = done.unionByName(new)
         fresh = fresh.unionByName(new)
         if turn % PICKS_PER_PASS == 0 and turn + 1 < rounds:
-            folded = stage(seen)
-            state.unpersist()
-            state, fresh = folded, new
-    state.unpersist()
+            state, fresh = stage(seen), new
     return done.select(key, F.col("_id").alias(id_col), "pick")
 
 

@@ -56,13 +56,11 @@ def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon
     """Scope, clean, measure, classify, filter and sample the sessions of a study.
 
     Intent is scored before filtering, so a filter and the sample's strata see
-    it. Opening vectors are added after filtering, and only when ``vec_dim`` is
-    given.
+    it. ``n_eval`` sessions per cohort are drawn from those that pass the filters.
+    Opening vectors are added after filtering, and only when ``vec_dim`` is given.
     """
     raw = cohorts(s, study).select("session_id", "cohort")
     n = _n_eval(study)
-    if n is not None:
-        raw = sampling.cap_ids(raw, n, keys=["cohort"])
     raw = stage(raw)
     # the study's share of the log is read and cleaned once, then kept
     clean = stage(eventlog.dedupe_session_end(events_for(complete(ev), raw)))
@@ -105,10 +103,10 @@ def evaluate(features: DataFrame, plan: Mapping[str, Any], study: Mapping[str, A
     alpha = float(study.get("significance_level") or C.ALPHA)
     aspects: Sequence[Mapping] = plan.get("aspects") or []
     hypotheses: Sequence[Mapping] = plan.get("hypotheses") or []
-    signalled = with_signals(features, plan, text, ev, lines)
+    # several results read the signals; the scans behind them run once
+    signalled = stage(with_signals(features, plan, text, ev, lines))
     medians = {"turn_count": C.cohort_median(features).scalar()}
-    named = [a for a in aspects if (a.get("id") or a.get("name")) not in signalled.columns]
-    values = signalled.withColumns({a.get("id") or a.get("name"): C.aspect_value(a, signalled) for a in named})
+    values = signalled.withColumns(C.aspect_columns(aspects, signalled))
     values = stage(hypothesis_flags(enrich(values, medians), hypotheses, medians))
     sizes = features.groupBy("cohort").agg(F.count("*").alias("size"))
     out: dict[str, DataFrame] = {"values": values, "sizes": sizes}
@@ -119,9 +117,7 @@ def evaluate(features: DataFrame, plan: Mapping[str, Any], study: Mapping[str, A
         out["hypotheses"] = C.hypothesis_results(
             features.select("session_id", "cohort"), values, hypotheses, comparative, min_support, alpha)
         out["hypothesis_table"] = artifacts.hypothesis_table(out["hypotheses"], comparative)
-        if vec:
-            out["counter_examples"] = reduce(DataFrame.unionByName, [
-                sampling.counter_examples(values, h["id"], vec=vec) for h in hypotheses])
+        out["counter_examples"] = sampling.all_counter_examples(values, [h["id"] for h in hypotheses], vec=vec)
     return out
 
 

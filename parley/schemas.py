@@ -25,8 +25,6 @@ RAW_EVENT = _struct(
     content=_S, event_value=T.VariantType(), is_debug_event=_B,
 )
 
-TRACE = _struct(session_id=_S, resolved_from=_S, events=T.ArrayType(RAW_EVENT))
-
 # keys of event_value the measures read, as typed columns of the flat event table
 EVENT_VALUE_FIELDS: dict[str, T.DataType] = {
     "purpose": _S, "latency_ms": _D, "model_id": _S, "final_model_id": _S,
@@ -37,8 +35,14 @@ EVENT_VALUE_FIELDS: dict[str, T.DataType] = {
     "skill_name": _S, "skill": _S, "skill_id": _S,
     "tool_name": _S, "tool": _S, "tool_id": _S,
     "node_name": _S, "node": _S, "dialog_node": _S,
+    "secs_since_session_start": _L,
 }
 
+# a logged event may carry those keys beside event_value, which goes first
+LOGGED_EVENT = T.StructType(RAW_EVENT.fields + [T.StructField(n, t, True) for n, t in EVENT_VALUE_FIELDS.items()])
+
+TRACE = _struct(session_id=_S, resolved_from=_S, events=T.ArrayType(LOGGED_EVENT))
+
 EVENT_FIELDS: dict[str, T.DataType] = {
     "event_id": _L, "session_id": _S, "request_id": _S, "turn_id": _S, "event_type": _S,
     "timestamp": _TS, "content": _S, "event_value": _S, "is_debug_event": _B,

@@ -32,7 +32,8 @@ def flatten_event_value(raw: DataFrame) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The event table in flat form from Parquet, JSON lines or CSV."""
-    schema = schemas.RAW_EVENT
+    # CSV columns go by position, so only the common ones are declared there
+    schema = schemas.RAW_EVENT if fmt == "csv" else schemas.LOGGED_EVENT
     if fmt != "json":
         schema = T.StructType([
             T.StructField(f.name, T.StringType() if f.name == "event_value" else f.dataType)

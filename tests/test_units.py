@@ -472,3 +472,55 @@ def test_readers_use_declared_schemas(spark, tmp_path):
     csv = tmp_path / "e.csv"
     csv.write_text('event_id,session_id,request_id,turn_id,event_type,timestamp,content,event_value,is_debug_event\n1,s,,,TOOL_CALL_RESULT,2024-01-01T00:00:00Z,,"{""latency"": 3}",false\n')
     assert one(SRC.read_events(spark, str(csv), "csv")).latency == 3.0
+
+
+def test_empty_cohorts_and_overriding_aspects(spark):
+    from parley.plans import studies as R
+
+    fv = spark.createDataFrame([("a", "before", 1), ("b", "after", 3), ("b", "before", 3)], "session_id string, cohort string, turn_count int")
+    full = fv.withColumns({c: F.lit(0) for c in ("tool_error_count", "interruption_count")}).withColumns(
+        {"session_outcome": F.lit("completed"), "transfer_completed": F.lit(False), "guardrail_triggered": F.lit(False), "latency": F.lit(6.0)})
+    plan = {"aspects": [{"id": "turn_count", "components": [{"ref": {"kind": "primitive", "name": "latency"}}]}],
+            "hypotheses": [{"id": "h", "predicate": cmp("turn_count", ">", 5)}, {"id": "g", "predicate": cmp("turn_count", ">", 9)}]}
+    study = {"study_type": "comparative", "min_support": 1}
+    out = R.evaluate(full, plan, study)
+    assert {r.turn_count for r in out["values"].collect()} == {6.0}
+    assert {r.id: r.before_support for r in out["hypotheses"].collect()} == {"h": 2, "g": 0}
+    # a session in both cohorts is picked once, and no vectors are needed
+    assert sorted((r.hypothesis_id, r.session_id) for r in out["counter_examples"].collect()) == [("g", "a"), ("g", "b")]
+    for kind in ("comparative", "single"):
+        none = R.evaluate(full.limit(0), plan, {**study, "study_type": kind})
+        assert none["aspects"].count() == 1 and none["hypotheses"].count() == 2
+    assert one(R.evaluate(full.limit(0), plan, {"study_type": "single"})["aspects"]).no_data
+
+
+def test_summaries_with_one_opening_are_two_findings(spark):
+    e = [(None, "long " * 40 + "a", None), (None, "long " * 40 + "b", None), (None, "long " * 40 + "b", None)]
+    df = spark.createDataFrame([(1, "p1", "k", "low", "t", "applied", e)], PROPOSAL)
+    assert L.findings(df).count() == 2
+
+
+def test_signals_of_sessions_without_text(spark):
+    fv = spark.createDataFrame([("a",), ("b",)], "session_id string")
+    text = spark.createDataFrame([("a", 0, "pay now")], "session_id string, part int, searchable_text string")
+    plan = {"signals_required": [{"name": "pays", "method": "rule_based", "spec": {"keywords": ["pay"], "labels": ["yes", "no"]}}],
+            "classical_signals_required": [{"name": "now", "kind": "regex_on_transcript", "pattern": "now"}]}
+    assert {r.session_id: (r.pays, r.now) for r in S.with_signals(fv, plan, text).collect()} == {"a": ("yes", True), "b": ("no", False)}
+    with pytest.raises(ValueError, match="text table"):
+        S.with_signals(fv, plan)
+
+
+def test_any_key_and_top_level_keys_of_logged_events(spark, tmp_path):
+    rows = ['{"event_id": 1, "session_id": "s", "event_type": "TOOL_CALL_RESULT", "timestamp": "2024-01-01T00:00:00Z", "agent_name": "top", "event_value": {"odd": 2.5, "result": [], "secs_since_session_start": 3}}',
+            '{"event_id": 2, "session_id": "s", "event_type": "TOOL_CALL_RESULT", "timestamp": "2024-01-01T00:00:01Z", "event_value": {"odd": 4, "agent_name": "in", "result": {}, "secs_since_session_start": 3}}']
+    (tmp_path / "e.json").write_text("\n".join(rows))
+    ev = SRC.read_events(spark, str(tmp_path / "e.json"), "json")
+    assert [r.agent_name for r in ev.orderBy("event_id").collect()] == ["top", "in"]
+    from parley.operators.digest import anomaly_flags
+    from parley.operators.primitives import primitive
+
+    assert one(primitive(ev, "x", ["TOOL_CALL_RESULT"], "sum", "odd")).x == 6.5
+    assert one(ev.groupBy("session_id").agg(anomaly_flags().alias("f"))).f == ["empty_tool_result"]
+    assert [r.event_id for r in eventlog.dedupe_by_field(ev).collect()] == [1]
+    sig = {"classical_signals_required": [{"name": "m", "kind": "conditional_metadata", "event_type": "TOOL_CALL_RESULT", "field": "odd"}]}
+    assert one(S.with_signals(spark.createDataFrame([("s",)], "session_id string"), sig, ev=ev)).m == "2.5"

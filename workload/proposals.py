@@ -52,7 +52,7 @@ def _(spark, sf):
       || CASE WHEN l_suppkey % 7 = 0 THEN '|t' ELSE '|s0' END AS session_ids
   FROM lineitem""")
 def _(spark, sf):
-    return L.evidence_sessions(_evidence(spark, sf)).withColumn("session_ids", joined("session_ids"))
+    return L.evidence_sessions(_evidence(spark, sf), 5).withColumn("session_ids", joined("session_ids"))
 
 
 @add("l5_conflicts", """SELECT o_orderkey, o_custkey::VARCHAR AS target_key FROM orders WHERE o_orderstatus = 'O'
