@@ -53,14 +53,25 @@ def lexicon_terms(lexicon: Lexicon) -> list[tuple[int, int, str, str, float]]:
     return rows
 
 
-def _found(terms: list[tuple[int, str]], test) -> Column:
-    """Numbers of the terms that pass ``test``, as an array.
+#: Between the items of a list held in one literal; no term or name has it.
+SEPARATOR = "\x01"
 
-    Written out term by term: compiled, and the searched text is prepared once.
+
+def _listed(items: list) -> Column:
+    """A list as one literal, which the planner folds once however long it is."""
+    return F.split(F.lit(SEPARATOR.join(map(str, items))), SEPARATOR)
+
+
+def _found(terms: list[tuple[int, str]], value: Column, test) -> Column:
+    """Numbers of the terms for which ``test(value, term)`` holds, as an array.
+
+    ``value`` is computed once a row.
     """
     if not terms:
         return F.array().cast("array<int>")
-    return F.array_compact(F.array(*[F.when(test(F.lit(t)), F.lit(n)) for n, t in terms]))
+    numbers, texts = _listed([n for n, _ in terms]).cast("array<int>"), _listed([t for _, t in terms])
+    hits = F.transform(F.array(value), lambda v: F.array_compact(F.zip_with(numbers, texts, lambda n, t: F.when(test(v, t), n))))
+    return F.get(hits, F.lit(0))
 
 
 def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "session_id") -> DataFrame:
@@ -76,24 +87,22 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
     def pick(*kinds: str) -> list[tuple[int, str]]:
         return [(n, t) for n, _, kind, t, _ in rows if kind in kinds]
 
-    low, opening = F.col("_low"), F.col("_opening")
+    low = F.lower(F.coalesce("searchable_text", F.lit("")))
     in_text = F.concat(
-        _found(pick("keywords", "negative_keywords", "agent_names"), lambda t: F.contains(low, t)),
-        F.when(F.col("part") == 0, _found(pick("opening"), lambda t: F.contains(opening, t)))
+        _found(pick("keywords", "negative_keywords", "agent_names"), low, F.contains),
+        F.when(F.col("part") == 0, _found(pick("opening"), F.substring(low, 1, OPENING_CHARS), F.contains))
         .otherwise(F.array().cast("array<int>")),
     )
-    lowered = text.select(key, "part", F.lower(F.coalesce("searchable_text", F.lit(""))).alias("_low"))
-    lowered = lowered.withColumn("_opening", F.substring("_low", 1, OPENING_CHARS))
     fields = {f.name for f in hits.schema["structured_hits"].dataType.fields}
     named = [F.array().cast("array<int>")]
     for kind in NAME_WEIGHTS:
         field = HIT_LIST.get(kind, kind)
         if field in fields and pick(kind):
             names = F.transform(F.coalesce(f"structured_hits.{field}", F.array().cast("array<string>")), normal_name)
-            named.append(_found(pick(kind), lambda t, names=names: F.array_contains(names, t)))
+            named.append(_found(pick(kind), names, F.array_contains))
     # the arrays are built in their own projection, where shared parts are computed once;
     # an inner explode would add a filter that computes them a second time
-    in_rows = lowered.select(key, in_text.alias("_n")).select(key, F.explode_outer("_n").alias("n"))
+    in_rows = text.select(key, in_text.alias("_n")).select(key, F.explode_outer("_n").alias("n"))
     in_hits = hits.select(key, F.concat(*named).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
     long = in_rows.unionByName(in_hits)
     return long.groupBy(key).agg(F.collect_set("n").alias("terms"))
@@ -114,23 +123,21 @@ def classify_intent(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str
         return found.select(key, F.lit(UNKNOWN).alias("opening_intent_class"),
                             F.lit(0.0).alias("opening_intent_score"))
 
-    def score(intent: int) -> Column:
-        weights = F.array(*[F.lit(w if i == intent else 0.0) for _, i, _, _, w in rows])
-        return F.aggregate("terms", F.lit(0.0), lambda s, n: s + F.get(weights, n))
-
-    scores = F.array(*[
-        F.struct(score(i).alias("score"), F.lit(-i).alias("order"), F.lit(names[i]).alias("name"))
-        for i in intents])
-    scored = found.select(key, scores.alias("_scores"))
-    positive = F.aggregate(
-        "_scores", F.lit(0.0), lambda s, x: s + F.greatest(x.score, F.lit(0.0)))
-    scored = scored.select(key, F.array_max("_scores").alias("_best"), positive.alias("_all"))
+    intent_of, weight_of = _listed([i for _, i, _, _, _ in rows]).cast("array<int>"), _listed([w for _, _, _, _, w in rows]).cast("array<double>")
+    # one row per term shown, one sum per intent; both groups stay where the key is
+    shown = found.select(key, F.explode_outer("terms").alias("n")).select(
+        key, F.get(intent_of, F.col("n")).alias("intent"), F.coalesce(F.get(weight_of, F.col("n")), F.lit(0.0)).alias("weight"))
+    per_intent = shown.groupBy(key, "intent").agg(F.sum("weight").alias("score"))
+    scored = per_intent.groupBy(key).agg(
+        F.max(F.struct("score", (-F.col("intent")).alias("order"))).alias("_best"),
+        F.sum(F.greatest(F.col("score"), F.lit(0.0))).alias("_all"))
+    scored = scored.withColumn("_name", F.get(_listed(names), -F.col("_best.order")))
     best = F.greatest(F.col("_best.score"), F.lit(0.0))
     known = best >= MIN_SCORE
     share = F.when(F.col("_all") > 0, best / F.col("_all")).otherwise(0.0)
     return scored.select(
         key,
-        F.when(known, F.col("_best.name")).otherwise(UNKNOWN).alias("opening_intent_class"),
+        F.when(known, F.col("_name")).otherwise(UNKNOWN).alias("opening_intent_class"),
         F.when(known, rounded(share, digits)).otherwise(share).alias("opening_intent_score"),
     )
 

@@ -524,3 +524,16 @@ def test_any_key_and_top_level_keys_of_logged_events(spark, tmp_path):
     assert [r.event_id for r in eventlog.dedupe_by_field(ev).collect()] == [1]
     sig = {"classical_signals_required": [{"name": "m", "kind": "conditional_metadata", "event_type": "TOOL_CALL_RESULT", "field": "odd"}]}
     assert one(S.with_signals(spark.createDataFrame([("s",)], "session_id string"), sig, ev=ev)).m == "2.5"
+
+
+def test_a_large_lexicon_is_planned_in_linear_time(spark):
+    import time
+
+    lexicon = {f"i{i}": {"keywords": [f"k{i}x{j}" for j in range(50)], "tools": [f"t {i} {j}" for j in range(5)]} for i in range(200)}
+    text = spark.createDataFrame([("a", 0, "K7x3 and k7x4 k9x1"), ("b", 0, None)], "session_id string, part int, searchable_text string")
+    hits = spark.createDataFrame([("a", (["T-9-2"],)), ("b", (["none"],)), ("c", None)], "session_id string, structured_hits struct<tools:array<string>>")
+    start = time.perf_counter()
+    out = intent.classify_intent(text, hits, lexicon)
+    assert time.perf_counter() - start < 2
+    got = {r.session_id: (r.opening_intent_class, r.opening_intent_score) for r in out.collect()}
+    assert got == {"a": ("i9", round(4.5 / 7.5, 4)), "b": ("unknown", 0.0), "c": ("unknown", 0.0)}
