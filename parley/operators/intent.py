@@ -53,6 +53,8 @@ def lexicon_terms(lexicon: Lexicon) -> list[tuple[int, int, str, str, float]]:
     return rows
 
 
+#: Terms of one test that are written out.
+WRITTEN_TERMS = 64
 #: Between the items of a list held in one literal; no term or name has it.
 SEPARATOR = "\x01"
 
@@ -65,10 +67,13 @@ def _listed(items: list) -> Column:
 def _found(terms: list[tuple[int, str]], value: Column, test) -> Column:
     """Numbers of the terms for which ``test(value, term)`` holds, as an array.
 
-    ``value`` is computed once a row.
+    A few terms are written out, which compiles; more go through one literal list,
+    with ``value`` computed once a row. Both give the same.
     """
     if not terms:
         return F.array().cast("array<int>")
+    if len(terms) <= WRITTEN_TERMS:
+        return F.array_compact(F.array(*[F.when(test(value, F.lit(t)), F.lit(n)) for n, t in terms]))
     numbers, texts = _listed([n for n, _ in terms]).cast("array<int>"), _listed([t for _, t in terms])
     hits = F.transform(F.array(value), lambda v: F.array_compact(F.zip_with(numbers, texts, lambda n, t: F.when(test(v, t), n))))
     return F.get(hits, F.lit(0))
@@ -87,12 +92,13 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
     def pick(*kinds: str) -> list[tuple[int, str]]:
         return [(n, t) for n, _, kind, t, _ in rows if kind in kinds]
 
-    low = F.lower(F.coalesce("searchable_text", F.lit("")))
     in_text = F.concat(
-        _found(pick("keywords", "negative_keywords", "agent_names"), low, F.contains),
-        F.when(F.col("part") == 0, _found(pick("opening"), F.substring(low, 1, OPENING_CHARS), F.contains))
+        _found(pick("keywords", "negative_keywords", "agent_names"), F.col("_low"), F.contains),
+        F.when(F.col("part") == 0, _found(pick("opening"), F.col("_opening"), F.contains))
         .otherwise(F.array().cast("array<int>")),
     )
+    lowered = text.select(key, "part", F.lower(F.coalesce("searchable_text", F.lit(""))).alias("_low"))
+    lowered = lowered.withColumn("_opening", F.substring("_low", 1, OPENING_CHARS))
     fields = {f.name for f in hits.schema["structured_hits"].dataType.fields}
     named = [F.array().cast("array<int>")]
     for kind in NAME_WEIGHTS:
@@ -102,7 +108,7 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
             named.append(_found(pick(kind), names, F.array_contains))
     # the arrays are built in their own projection, where shared parts are computed once;
     # an inner explode would add a filter that computes them a second time
-    in_rows = text.select(key, in_text.alias("_n")).select(key, F.explode_outer("_n").alias("n"))
+    in_rows = lowered.select(key, in_text.alias("_n")).select(key, F.explode_outer("_n").alias("n"))
     in_hits = hits.select(key, F.concat(*named).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
     long = in_rows.unionByName(in_hits)
     return long.groupBy(key).agg(F.collect_set("n").alias("terms"))
