@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import tiktoken
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
