@@ -5,8 +5,10 @@ point. A tree of vantage points, drawn from a bounded sample, cuts the points by
 Hamming distance into shards; a point lives in one shard, and visits every later shard
 whose boundary lies within the radius. In a shard a second tree over its points answers
 the visits exactly: a branch is left out only where the triangle inequality rules out
-a hit. Each shard returns a spanning forest of its links, never all pairs of a group, and
-components are joined across shards.
+a hit. A shard with many points or visits is cut into blocks, and each block of visits
+meets each block of points, so a task holds a bounded number of either. Each task returns
+a spanning forest of its links, never all pairs of a group, and components are joined
+across shards.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any
 other. Repeated rows and exact copies share a point. A null doc_id takes part; a
@@ -31,6 +33,10 @@ SEED = 42
 #: Points a shard is meant to hold, points a leaf holds, fingerprints the top tree is fitted on.
 SHARD_POINTS = 16_384
 LEAF_POINTS = 64
+#: Levels of the top tree at most; own points and visits one task holds, about.
+TOP_LEVELS = 11
+MEMBER_POINTS = 65_536
+VISIT_POINTS = 1 << 20
 SAMPLE_POINTS = 4_096
 #: Comparisons held in memory at once.
 BLOCK = 1 << 21
@@ -150,13 +156,16 @@ class Forest:
             self._flat()
 
 
-def forest(members: np.ndarray, visitors: np.ndarray, radius: int = RADIUS, leaf: int = LEAF_POINTS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within the radius among members and from visitors to members."""
+def forest(members: np.ndarray, visitors: np.ndarray, radius: int = RADIUS, leaf: int = LEAF_POINTS, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is within the radius among members and from visitors to members.
+
+    Without ``among`` only the visitors ask.
+    """
     queries = np.concatenate([members, visitors])
     sets = Forest(len(queries))
     tree = Tree(members, leaf)
     step = 1 << 13
-    for at in range(0, len(queries), step):
+    for at in range(0 if among else len(members), len(queries), step):
         for number, ask in reached(tree.root, queries, radius, np.arange(at, min(at + step, len(queries)))):
             inside = tree.leaves[number]
             rows = max(1, BLOCK // len(inside))
@@ -185,22 +194,43 @@ def _placed(root, radius: int):
     return place
 
 
-def links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
+def blocks(placed: DataFrame, member_points: int, visit_points: int) -> DataFrame:
+    """(shard, members, visits, fp, own): every point in its block of members beside each block of visits.
+
+    Visits, and points as visits to later blocks of their own shard, go to each block of
+    members. The table of shards has at most 2 ** TOP_LEVELS rows, so it is broadcast.
+    """
+    some = lambda n, size: F.greatest(F.lit(1), F.ceil(F.sum(n.cast("long")) / size)).cast("int")
+    cuts = placed.groupBy("shard").agg(some(F.col("own"), member_points).alias("m"), some(~F.col("own"), visit_points).alias("v"))
+    dealt = placed.join(F.broadcast(cuts), "shard").withColumns(
+        {"home": F.pmod(F.xxhash64("fp"), "m").cast("int"), "ask": F.pmod(F.xxhash64("fp", F.lit(1)), "v").cast("int")})
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda members, visits, own: F.struct(members.alias("members"), visits.alias("visits"), F.lit(own).alias("own"))
+    asked = F.when(F.col("own"), F.filter(every("m"), lambda x: x > F.col("home"))).otherwise(every("m"))
+    lives = F.when(F.col("own"), every("v")).otherwise(F.array().cast("array<int>"))
+    spots = F.concat(F.transform(lives, lambda x: place(F.col("home"), x, True)), F.transform(asked, lambda x: place(x, F.col("ask"), False)))
+    return dealt.select("shard", "fp", F.explode(spots).alias("at")).select("shard", "at.members", "at.visits", "fp", "at.own")
+
+
+def links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS,
+          member_points: int = MEMBER_POINTS, visit_points: int = VISIT_POINTS) -> DataFrame:
     """(a, b) links between the distinct ``fp`` of ``points`` that connect all within the radius."""
     n = points.count()
     drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_POINTS).collect()
     sample = np.array([r.fp for r in drawn], np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard_points)))) if n else 0
-    top = Tree(sample, 1, min(depth, 11))
-    placed = points.select("fp").mapInArrow(_placed(top.root, radius), "shard int, fp bigint, own boolean")
+    top = Tree(sample, 1, min(depth, TOP_LEVELS))
+    placed = stage(points.select("fp").mapInArrow(_placed(top.root, radius), "shard int, fp bigint, own boolean"))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         fp, own = group["fp"].to_numpy(np.int64).view(np.uint64), group["own"].to_numpy(bool)
         members, visitors = np.sort(fp[own]), np.sort(fp[~own])
-        a, b = forest(members, visitors, radius) if len(members) else (fp[:0], fp[:0])
+        first = group["visits"].iloc[0] == 0
+        a, b = forest(members, visitors, radius, among=bool(first)) if len(members) else (fp[:0], fp[:0])
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return placed.groupBy("shard").applyInPandas(search, "a bigint, b bigint")
+    dealt = blocks(placed, member_points, visit_points)
+    return dealt.groupBy("shard", "members", "visits").applyInPandas(search, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -186,11 +186,12 @@ def test_shard_forest_equals_brute_force(seed, leaf):
     assert sorted({tuple(sorted(s)) for s in root.values()}) == [tuple(g) for g in joined(points, 4)]
 
 
-def test_links_over_shards_equal_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"member_points": 20, "visit_points": 15}, {"member_points": 1_000, "visit_points": 7}])
+def test_links_over_shards_equal_brute_force(spark, sizes):
     points = cloud(np.random.default_rng(9), 120, 6)
     signed = [int(np.uint64(p).view(np.int64)) for p in points]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    root = {p: p for p in signed} | {r.a: r.b for r in graph.components(simhash.links(df, 4, shard_points=60)).collect()}
+    root = {p: p for p in signed} | {r.a: r.b for r in graph.components(simhash.links(df, 4, shard_points=60, **sizes)).collect()}
     groups = defaultdict(set)
     for p, r in root.items():
         groups[r].add(p % 2**64)
