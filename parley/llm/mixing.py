@@ -6,7 +6,8 @@ documents first, then documents in order of their exponential keys until the res
 the target is met; the document on the border is taken if that lands nearer.
 
 Keys are ``-ln(u) / quality`` with ``u`` drawn from the seed and the id, so reruns
-agree. Only sums per (source, slice of the key range) are shuffled; just the slice on
+agree. Only sums per (source, slice of the key range) are shuffled, first over coarse
+slices, then over the fine ones of the coarse slice on the border; just the fine slice on
 the border is sorted, so a source that holds a third of all rows is never sorted.
 
 Null and empty texts have size 0 and take nothing. A null source is the last source.
@@ -25,7 +26,8 @@ from parley.session import if_small, stage
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-SLICES = 4096
+#: The key range has that many slices, and each as many fine ones.
+SLICE_BITS = 12
 SEED = 20
 #: A table of that many sources (a few numbers each) may be broadcast.
 SOURCE_ROWS = 50_000
@@ -43,7 +45,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     made = carried(docs, id=ident, source=F.col(f"`{source_col}`"), size=n_words(text),
                    symbols=F.length(whole) - F.length(F.translate(whole, SYMBOLS, "")))
     made = made.withColumn("key", -F.log(uniform(seed, F.col("id"))) / quality_weight(F.col("size"), F.col("symbols"))).drop("symbols")
-    return made.withColumn("slice", F.floor(SLICES * (1.0 - F.exp(-F.col("key")))).cast("int"))
+    return made.withColumn("slice", F.floor((1 << 2 * SLICE_BITS) * (1.0 - F.exp(-F.col("key")))).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -68,28 +70,36 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     return filled.select("source", "source_size", F.when(full, F.col("most")).otherwise(first * F.col("weight")).alias("target"))
 
 
+def edges(per_slice: DataFrame, want: DataFrame) -> DataFrame:
+    """(of, edge, need): the slice in which the sum over the source's slices passes ``rest``, and what is missing before it.
+
+    ``per_slice`` has source, at, size; ``want`` has of (a source) and rest.
+    """
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    passed = per_slice.withColumn("upto", upto).join(want.select("of", "rest"), F.col("source").eqNullSafe(F.col("of"))).filter(F.col("upto") > F.col("rest"))
+    need = F.col("rest") - F.col("upto") + F.col("size")
+    return passed.groupBy("source").agg(F.min_by(F.struct(F.col("at").alias("edge"), need.alias("need")), "at").alias("e")).select(
+        F.col("source").alias("of"), "e.edge", "e.need")
+
+
 def plan(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Per source: size, target, whole ``epochs``, and the key slice on the border with what it still ``need``s."""
+    """Per source: size, target, whole ``epochs``, and the fine slice on the border with what it still ``need``s."""
     want = targets(sizes, weights, share, cap).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    want = want.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    per_slice = sizes.groupBy("source", "slice").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
-    border = (
-        per_slice.withColumn("upto", upto).join(want.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-        .filter(F.col("upto") > F.col("rest"))
-        .groupBy("source").agg(F.min_by(F.struct("slice", (F.col("rest") - F.col("upto") + F.col("size")).alias("need")), "slice").alias("edge"))
-        .select(F.col("source").alias("b"), "edge")
-    )
-    return want.join(border, F.col("source").eqNullSafe(F.col("b")), "left").select(
-        F.col("source").alias("of"), "source_size", "target", "epochs", "edge.slice", "edge.need")
+    want = stage(want.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "of"))
+    coarse = F.shiftright("slice", SLICE_BITS)
+    rough = stage(edges(sizes.groupBy("source", coarse.alias("at")).agg(F.sum("size").alias("size")), want))
+    few = if_small(rough, SOURCE_ROWS)
+    inside = sizes.join(rough if few is None else few, F.col("source").eqNullSafe(F.col("of")) & (coarse == F.col("edge")))
+    fine = edges(inside.groupBy("source", F.col("slice").alias("at")).agg(F.sum("size").alias("size")),
+                 rough.withColumnRenamed("need", "rest")).withColumnRenamed("of", "b")
+    return want.join(fine, F.col("of").eqNullSafe(F.col("b")), "left").select("of", "source_size", "target", "epochs", "edge", "need")
 
 
 def taken(made: DataFrame, chosen: DataFrame) -> DataFrame:
     """``made`` with source_size, target and ``copies``, the times each document is taken."""
     few = if_small(chosen, SOURCE_ROWS)
-    side = (chosen if few is None else few).withColumnRenamed("slice", "edge")
-    rows = made.join(side, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = made.join(chosen if few is None else few, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     inside, border = F.col("slice") < F.col("edge"), F.col("slice") == F.col("edge")
     plain = rows.filter(~F.coalesce(border, F.lit(False))).withColumn("copies", F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long"))
     line = Window.partitionBy("source").orderBy("key", "id", "size")
