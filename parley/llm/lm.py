@@ -302,7 +302,11 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
         known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for _, h, _ in exact)])
         times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64) for _, _, c in exact)])
         shared = spark.sparkContext.broadcast((unigram, bigram, known, times))
-        parts.append(rows.mapInArrow(_scoring(shared, share, of, model.shift, model.tokens, model.types, smoothing), schema))
+        part = rows.mapInArrow(_scoring(shared, share, of, model.shift, model.tokens, model.types, smoothing), schema)
+        if of > 1:  # written, so that just one pass's filter is held at a time
+            part = stage(part)
+            shared.destroy()
+        parts.append(part)
     out = parts[0]
     if of > 1:
         for part in parts[1:]:

@@ -150,7 +150,7 @@ def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def count_tokens(docs: DataFrame, edits=cleaning_edits, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per row: doc_id, n_pretokens, n_tokens, n_edits, n_recounted, n_tokens_after.
+    """Per row: doc_id, n_tokens, n_edits, n_recounted (pre-tokens), n_tokens_after.
 
     ``edits`` gives a text's edits (start, end, new text). The vocabulary file is read
     once, by the driver, and sent to the workers; it has a fixed size.
