@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLANKS = " \t\n\r\f\x0b"
 
@@ -43,3 +43,16 @@ def matches(text: Column, pattern: str | None) -> Column:
 def filled(c: Column) -> Column:
     """The text, or null when it is empty."""
     return F.nullif(c, F.lit(""))
+
+
+def following_too(text: DataFrame) -> Column:
+    """What a rule searches in a part of a session's text: the part, and the ``following`` lines if the table has them.
+
+    A part that is not the first begins with the line break before it, so that a pattern
+    tied to the start of the text does not match at a cut.
+    """
+    own = F.col("searchable_text")
+    if "following" not in text.columns:
+        return own
+    begun = F.when(F.col("part") > 0, F.concat(F.lit("\n"), own)).otherwise(own)
+    return F.when(F.col("following").isNull(), begun).otherwise(F.concat(begun, F.lit("\n"), "following"))

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.numbers import rounded
-from parley.functions.text import normal_name
+from parley.functions.text import following_too, normal_name
 
 # Weight of a lexicon entry by its list, and the scoring limits.
 NAME_WEIGHTS = {
@@ -97,8 +97,8 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
         F.when(F.col("part") == 0, _found(pick("opening"), F.col("_opening"), F.contains))
         .otherwise(F.array().cast("array<int>")),
     )
-    lowered = text.select(key, "part", F.lower(F.coalesce("searchable_text", F.lit(""))).alias("_low"))
-    lowered = lowered.withColumn("_opening", F.substring("_low", 1, OPENING_CHARS))
+    lowered = text.select(key, "part", F.lower(F.coalesce(following_too(text), F.lit(""))).alias("_low"),
+                         F.substring(F.lower(F.coalesce("searchable_text", F.lit(""))), 1, OPENING_CHARS).alias("_opening"))
     fields = {f.name for f in hits.schema["structured_hits"].dataType.fields}
     named = [F.array().cast("array<int>")]
     for kind in NAME_WEIGHTS:

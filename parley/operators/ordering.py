@@ -117,18 +117,26 @@ def with_place(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 def collect_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                   item: Column, out: str, rows: int = PART_ROWS, limit: int = SLICE_ROWS,
-                  large: LargeKeys | None = None) -> DataFrame:
+                  large: LargeKeys | None = None, ahead: int = 0) -> DataFrame:
     """(keys, part, out): items of each key in order, ``rows`` to an array.
 
     A key of ordinary size has the one part 0; a larger one has as many rows as
-    it needs, so no array grows without bound and nothing is left out.
+    it needs, so no array grows without bound and nothing is left out. With
+    ``ahead``, ``following`` holds as many first items of the next part.
     """
     placed = with_position(df.withColumn("_item", item), keys, order, "_pos", limit, large)
-    return (
-        placed.groupBy(*keys, F.floor(F.col("_pos") / rows).alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", "_item"))).alias("_items"))
-        .select(*keys, "part", F.col("_items._item").alias(out))
-    )
+    part = F.floor(F.col("_pos") / rows)
+    if ahead:
+        opens = (F.col("_pos") >= rows) & (F.col("_pos") - part * rows < ahead)
+        placed = placed.withColumn("_part", F.explode(F.when(opens, F.array(part, part - 1)).otherwise(F.array(part))))
+        part = F.col("_part")
+    made = placed.groupBy(*keys, part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("_pos", "_item"))).alias("_items"))
+    if not ahead:
+        return made.select(*keys, "part", F.col("_items._item").alias(out))
+    end = (F.col("part") + 1) * rows
+    own = F.filter("_items", lambda x: x["_pos"] < end)
+    after = F.filter("_items", lambda x: x["_pos"] >= end)
+    return made.select(*keys, "part", F.transform(own, lambda x: x["_item"]).alias(out), F.transform(after, lambda x: x["_item"]).alias("following"))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -169,6 +177,16 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return res.drop(_ONE) if dummy else res
 
 
+def _hashed(df: DataFrame, id_col: str, seed: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with their hash ``_h`` and its leading digits ``_b``, and how many rows come before each such group."""
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, 4))
+    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offset = hashed.groupBy(*keys, "_b").count().select(
+        *keys, "_b", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
+    return hashed, offset
+
+
 def with_hash_position(df: DataFrame, id_col: str, seed: str, keys: Sequence[str] = (),
                        out: str = "pos") -> DataFrame:
     """Add the 0-based place of each row in a random order fixed by ``seed``.
@@ -178,11 +196,7 @@ def with_hash_position(df: DataFrame, id_col: str, seed: str, keys: Sequence[str
     when ``keys`` has a single value.
     """
     df, keys, dummy = _keyed(df, keys)
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, 4))
-    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offset = hashed.groupBy(*keys, "_b").count().select(
-        *keys, "_b", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
+    hashed, offset = _hashed(df, id_col, seed, keys)
     w = W.partitionBy(*keys, "_b").orderBy("_h", id_col)
     res = (
         hashed.join(offset, [*keys, "_b"])
@@ -190,3 +204,27 @@ def with_hash_position(df: DataFrame, id_col: str, seed: str, keys: Sequence[str
         .drop("_h", "_b", "_offset")
     )
     return res.drop(_ONE) if dummy else res
+
+
+def first_by_hash(df: DataFrame, id_col: str, seed: str, n: int | Column, keys: Sequence[str] = (),
+                  wanted: DataFrame | None = None, out: str = "pos") -> DataFrame:
+    """The rows at the first ``n`` places of ``with_hash_position``, with their place.
+
+    ``n`` is a number, or a column of ``wanted``, a small table by ``keys``. Only groups
+    of hash digits that begin before the n-th place are read again, shuffled and sorted:
+    about n rows, not the population.
+    """
+    df, keys, dummy = _keyed(df, keys)
+    hashed, offset = _hashed(df, id_col, seed, keys)
+    limit = F.lit(n) if isinstance(n, int) else n
+    if wanted is not None:
+        offset = offset.join(wanted, keys)
+    # written, so that the planner knows that it is small
+    early = stage(offset.withColumn("_n", limit).where(F.col("_offset") < F.col("_n")).select(*keys, "_b", "_offset", "_n"))
+    w = W.partitionBy(*keys, "_b").orderBy("_h", id_col)
+    res = (
+        hashed.join(early, [*keys, "_b"])
+        .withColumn(out, F.col("_offset") + F.row_number().over(w) - 1)
+        .where(F.col(out) < F.col("_n")).drop("_h", "_b", "_offset", "_n")
+    )
+    return res.drop(_ONE) if dummy else res

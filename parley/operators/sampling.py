@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.functions.predicates import min_turns
-from parley.operators.ordering import SLICE_ROWS, with_hash_position, with_place, with_position
+from parley.operators.ordering import SLICE_ROWS, first_by_hash, with_hash_position, with_place, with_position
 from parley.operators.vectors import farthest_points
 from parley.session import stage
 
@@ -28,7 +28,7 @@ def cap_ids(df: DataFrame, n: int | None, id_col: str = "session_id", seed: str
     """``n`` random rows (per key); None keeps all."""
     if n is None:
         return df
-    return with_hash_position(df, id_col, seed, keys, "_pos").where(F.col("_pos") < n).drop("_pos")
+    return first_by_hash(df, id_col, seed, n, keys, out="_pos").drop("_pos")
 
 
 def pilot(df: DataFrame, n: int = PILOT, id_col: str = "session_id", seed: str = SEED) -> DataFrame:
@@ -65,8 +65,8 @@ def not_picked(df: DataFrame, picked: DataFrame, id_col: str = "session_id") ->
 def top_up(df: DataFrame, picked: DataFrame, n: int, id_col: str = "session_id", seed: str = SEED) -> DataFrame:
     """Ids of ``picked`` and random others of ``df`` up to ``n``."""
     missing = picked.agg(F.greatest(F.lit(n) - F.count("*"), F.lit(0))).scalar()
-    rest = with_hash_position(not_picked(df, picked, id_col).select(id_col), id_col, seed, (), "_pos")
-    return picked.select(id_col).unionByName(rest.where(F.col("_pos") < missing).select(id_col))
+    rest = first_by_hash(not_picked(df, picked, id_col).select(id_col), id_col, seed, missing, out="_pos")
+    return picked.select(id_col).unionByName(rest.select(id_col))
 
 
 def stratified_sample(fv: DataFrame, n: int, by: str | Column = "stratum", id_col: str = "session_id",
@@ -79,9 +79,8 @@ def stratified_sample(fv: DataFrame, n: int, by: str | Column = "stratum", id_co
     strata = fv.withColumn("_stratum", by if isinstance(by, Column) else F.col(by))
     sizes = strata.groupBy("_stratum").agg(F.count("*").alias("size"))
     wanted = quotas(sizes, n, "_stratum").select("_stratum", "quota")
-    placed = with_hash_position(strata, id_col, seed, ["_stratum"], "_pos")
     # quotas over the population are floors at or above each size: everything stays
-    return placed.join(wanted, "_stratum").where(F.col("_pos") < F.col("quota")).select(*fv.columns)
+    return first_by_hash(strata, id_col, seed, F.col("quota"), ["_stratum"], wanted, "_pos").select(*fv.columns)
 
 
 def diverse_pick(fv: DataFrame, wanted: DataFrame, key: str = "stratum", id_col: str = "session_id",

@@ -18,7 +18,7 @@ from parley.operators.matching import TURN_TOLERANCE, exploration_manifest
 from parley.operators.ordering import large_keys
 from parley.operators.primitives import SESSION_ROWS, primitives, session_rollup
 from parley.operators.scope import cohorts, events_for
-from parley.operators.signals import enrich, hypothesis_flags, with_signals
+from parley.operators.signals import Scorer, enrich, hypothesis_flags, with_signals
 from parley.operators.vectors import embed
 from parley.session import stage
 
@@ -31,6 +31,9 @@ class StudyCohorts:
     text: DataFrame       # (session_id, part, searchable_text)
 
 
+#: Events a text rule may span where the text of a very long session is cut.
+TEXT_AHEAD = 64
+
 # Measures of a session without events.
 NO_EVENTS = {
     "session_outcome": "unknown", "outcome_bucket": "other", "length_bucket": "short", "agent_path": "",
@@ -65,7 +68,7 @@ def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon
     # the study's share of the log is read and cleaned once, then kept
     clean = stage(eventlog.dedupe_session_end(events_for(complete(ev), raw)))
     large = large_keys(clean, ["session_id"], SESSION_ROWS)
-    text = eventlog.session_text(clean, large=large)
+    text = eventlog.session_text(clean, large=large, ahead=TEXT_AHEAD)
     fv = with_intent(primitives(clean, price, large=large), text, lexicon)
     rows = _fill(raw.join(fv, "session_id", "left"))
     split = (study.get("traffic_split") or {}).get("value")
@@ -96,7 +99,7 @@ def explore(features: DataFrame, ev: DataFrame, lines: DataFrame, study: Mapping
 
 def evaluate(features: DataFrame, plan: Mapping[str, Any], study: Mapping[str, Any],
              text: DataFrame | None = None, ev: DataFrame | None = None, lines: DataFrame | None = None,
-             vec: str | None = None) -> dict[str, DataFrame]:
+             vec: str | None = None, scorers: Mapping[str, Scorer] | None = None) -> dict[str, DataFrame]:
     """Aspects, hypotheses, per-session values, sizes and the two summary tables."""
     comparative = study.get("study_type") == "comparative"
     min_support = int(study.get("min_support") or C.MIN_SUPPORT)
@@ -104,7 +107,7 @@ def evaluate(features: DataFrame, plan: Mapping[str, Any], study: Mapping[str, A
     aspects: Sequence[Mapping] = plan.get("aspects") or []
     hypotheses: Sequence[Mapping] = plan.get("hypotheses") or []
     # several results read the signals; the scans behind them run once
-    signalled = stage(with_signals(features, plan, text, ev, lines))
+    signalled = stage(with_signals(features, plan, text, ev, lines, scorers))
     medians = {"turn_count": C.cohort_median(features).scalar()}
     values = signalled.withColumns(C.aspect_columns(aspects, signalled))
     values = stage(hypothesis_flags(enrich(values, medians), hypotheses, medians))

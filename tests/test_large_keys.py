@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions.events import complete
-from parley.operators import eventlog, ordering as O, primitives as P, significance
+from parley.operators import eventlog, ordering as O, primitives as P, signals, significance
 from workload.binding import price
 
 RNG = random.Random(7)
@@ -83,6 +83,19 @@ def test_hash_position_is_a_permutation_per_key(skewed):
         assert sorted(r.pos for r in got if r.k == k) == list(range(sum(1 for r in rows if r[0] == k)))
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 10_000])
+def test_first_by_hash_is_the_head_of_that_order(spark, skewed, n):
+    _, df = skewed
+    places = O.with_hash_position(df, "id", "s", ["k"])
+    want = sorted(map(tuple, places.where(F.col("pos") < n).collect()))
+    assert sorted(map(tuple, O.first_by_hash(df, "id", "s", n, ["k"]).collect())) == want
+    quota = df.select("k").distinct().withColumn("quota", F.lit(n) + F.length("k"))
+    got = O.first_by_hash(df, "id", "s", F.col("quota"), ["k"], quota).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, places.where(F.col("pos") < n + F.length("k")).collect()))
+    whole = O.with_hash_position(df, "id", "s").where(F.col("pos") < n).collect()
+    assert sorted(map(tuple, O.first_by_hash(df, "id", "s", n).collect())) == sorted(map(tuple, whole))
+
+
 def _session(spark, n=400):
     kinds = ["RESPONSE.FINAL", "LLM_INVOCATION_SUCCESS", "USER_QUERY", "TOOL_CALL_RESULT"]
     rows = []
@@ -114,6 +127,21 @@ def test_session_text_parts_join_to_the_whole(spark):
     assert {k: "\n".join(v) for k, v in parts.items()} == whole
 
 
+@pytest.mark.parametrize("part_rows", [2, 3, 10_000])
+def test_rules_match_over_a_cut(spark, part_rows):
+    said = ["hello", "please", "now", "pay the", "bill", "end"]
+    rows = [(i, sid, "USER_QUERY", 1000 + i, t) for sid in ("a", "b") for i, t in enumerate(said if sid == "a" else said[:3])]
+    ev = complete(spark.createDataFrame(rows, "event_id long, session_id string, event_type string, s long, content string")
+                  .withColumn("timestamp", F.timestamp_seconds("s")).drop("s"))
+    text = eventlog.session_text(ev, part_rows=part_rows, ahead=2)
+    patterns = {"over": r"please\s+now", "far": r"the\nbill\nend$", "cut": r"now$", "start": r"^please", "head": r"^hello\s", "tail": r"bill$"}
+    plan = {"signals_required": [{"name": "pays", "method": "rule_based", "spec": {"keywords": ["pay the\nbill"]}}],
+            "classical_signals_required": [{"name": n, "kind": "regex_on_transcript", "pattern": p} for n, p in patterns.items()]}
+    fv = spark.createDataFrame([("a",), ("b",)], "session_id string")
+    got = {r.session_id: [r.pays] + [r[n] for n in patterns] for r in signals.with_signals(fv, plan, text).collect()}
+    assert got == {"a": ["match", True, True, False, False, True, False], "b": ["other", True, False, True, False, True, False]}
+
+
 @pytest.mark.parametrize("limit", [20, 10_000])
 def test_mann_whitney_u_sums(spark, limit):
     rows = [(k, c, float(RNG.randrange(40))) for k in ("x", "y") for c, n in (("before", 60), ("after", 45)) for _ in range(n)]

@@ -510,6 +510,30 @@ def test_signals_of_sessions_without_text(spark):
         S.with_signals(fv, plan)
 
 
+def test_similarity_and_own_scorers(spark):
+    fv = spark.createDataFrame([("a", "pay", [1.0, 0.0]), ("b", "go", [0.0, 1.0]), ("c", "", [-1.0, 0.0])], "session_id string, opening_text string, embedding_opening array<double>")
+    near = {"name": "near", "method": "embedding_nearest_neighbor", "spec": {"prototypes": [
+        {"id": "x", "vectors": [[2.0, 0.0]]}, {"id": "y", "vectors": [[0.0, 3.0], [1.0, 1.0]]}, {"id": "none"}]}}
+    own = {"name": "own", "method": "length", "spec": {"prompt": "3"}}
+    scorers = {"length": lambda spec: F.length("opening_text") >= int(spec["prompt"])}
+    got = {r.session_id: (r.near, r.own) for r in S.with_signals(fv, {"signals_required": [near, own]}, scorers=scorers).collect()}
+    assert got == {"a": ("x", True), "b": ("y", False), "c": ("none", False)}
+    with pytest.raises(ValueError, match="length"):
+        S.with_signals(fv, {"signals_required": [own]})
+    assert S.with_signals(fv, {"signals_required": [{"name": "own", "method": "length"}]}).columns == fv.columns
+
+
+def test_component_sources():
+    columns = ["turn_count", "interruption_count", "x", "session_outcome"]
+    at = lambda kind, name="", agg="mean": C.component_source({"kind": kind, "name": name}, agg, columns)
+    assert at("turn_count", "x") == ("column", "turn_count") and at("odd", "x") == ("column", "x") and at("x") == ("column", "x")
+    assert at("turn_count", "interruption") == at("turn_count", "interruption_count") == ("column", "interruption_count")
+    assert at("primitive", "y") is None and at("primitive", "x") == ("column", "x") and at("odd") is None
+    assert at("guardrail_triggered", "", "rate") == at("guardrail_hits", "all", "rate") == ("flag", "guardrail")
+    assert at("session_outcome", "transfer") == at("any", "", "count_transfer") == ("flag", "transferred")
+    assert at("session_outcome", "Odd") == ("outcome", "odd") and at("session_outcome") is None
+
+
 def test_any_key_and_top_level_keys_of_logged_events(spark, tmp_path):
     rows = ['{"event_id": 1, "session_id": "s", "event_type": "TOOL_CALL_RESULT", "timestamp": "2024-01-01T00:00:00Z", "agent_name": "top", "event_value": {"odd": 2.5, "result": [], "secs_since_session_start": 3}}',
             '{"event_id": 2, "session_id": "s", "event_type": "TOOL_CALL_RESULT", "timestamp": "2024-01-01T00:00:01Z", "event_value": {"odd": 4, "agent_name": "in", "result": {}, "secs_since_session_start": 3}}']
