@@ -6,10 +6,12 @@ one is missing, so a count is never read too low and rarely too high. Probabilit
 bigrams smoothed by unigrams, both from probes.
 
 N-grams are counted over all training texts: tasks hash and pre-add them, one shuffle
-brings equal hashes together by segment of the hash range, and each segment's task adds
-the counts and writes its own part of the filter, sized to what it holds. Nothing is
-pruned. Filters are sent to workers in passes of at most ``max_mb``: the unigram filter,
-and one share of the segments; partial sums of the passes are added per text.
+brings equal hashes together by segment of the hash range, and a task, which meets its
+segments in order and holds one at a time, adds the counts and writes that part of the
+filter, sized to what it holds. Nothing is pruned. Filters are sent to workers in passes
+of at most ``max_mb``: a share of the bigrams, and the unigrams, or where those exceed
+half of it, one share of them for the word before and one for the word itself. Partial
+sums of the passes are added per text.
 
 Null and empty texts are one end token. A null id trains and is not held out. Repeated
 rows train and score each by itself. Tables without training texts score 0 per token.
@@ -18,6 +20,7 @@ Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from itertools import product
 from typing import NamedTuple
 
 import numpy as np
@@ -164,12 +167,11 @@ def _counting(shift: int):
             tokens = np.concatenate(held)
             for order, h in ((1, tokens), (2, bigrams(tokens, np.array(starts), hasher.end))):
                 h, c = added(h)
-                seg = (h >> _U(shift)).astype(np.int32) if shift < 64 else np.zeros(len(h), np.int32)
+                part = (h >> _U(shift)).astype(np.int64) | order << 32
                 for at in range(0, len(h), 100_000):
                     cut = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(h[cut]), order, np.int8)), pa.array(seg[cut]), pa.array(h[cut].view(np.int64)), pa.array(c[cut].astype(np.int32))],
-                        ["n", "segment", "hash", "count"])
+                        [pa.array(part[cut]), pa.array(h[cut].view(np.int64)), pa.array(c[cut].astype(np.int32))], ["part", "hash", "count"])
 
         for b in batches:
             for text in b.column("text").to_pylist():
@@ -186,24 +188,31 @@ def _counting(shift: int):
 
 
 def _building(bits_per_entry: int):
-    """Adds up each segment's counts and writes its filter; for unigrams the exact counts too."""
+    """Adds up each segment's counts and writes its filter; for unigrams the exact counts too. Rows come sorted by part."""
+    def built(part: int, pieces: list) -> pa.RecordBatch:
+        n, seg = part >> 32, part & 0xFFFFFFFF
+        h, c = added(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]).astype(np.int64))
+        exact = (h.tobytes(), c.tobytes()) if n == 1 else (None, None)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([n], pa.int8()), pa.array([seg], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()),
+             pa.array([filter_segment(h, c, bits_per_entry).tobytes()], pa.binary()), pa.array([exact[0]], pa.binary()), pa.array([exact[1]], pa.binary())],
+            ["n", "segment", "distinct", "total", "filter", "hashes", "counts"])
+
     def build(batches):
-        parts: dict[tuple[int, int], list] = {}
+        now, held = None, []
         for b in batches:
-            n, seg = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "segment"))
-            h, c = b.column("hash").to_numpy(zero_copy_only=False).view(np.uint64), b.column("count").to_numpy(zero_copy_only=False)
-            both = n.astype(np.int64) << 32 | seg
-            order = np.argsort(both, kind="stable")
-            keys, at = np.unique(both[order], return_index=True)
-            for key, rows in zip(keys.tolist(), np.split(order, at[1:])):
-                parts.setdefault((key >> 32, key & 0xFFFFFFFF), []).append((h[rows].copy(), c[rows].copy()))
-        for (n, seg), pieces in parts.items():
-            h, c = added(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]).astype(np.int64))
-            exact = (h.tobytes(), c.tobytes()) if n == 1 else (None, None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n], pa.int8()), pa.array([seg], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()),
-                 pa.array([filter_segment(h, c, bits_per_entry).tobytes()], pa.binary()), pa.array([exact[0]], pa.binary()), pa.array([exact[1]], pa.binary())],
-                ["n", "segment", "distinct", "total", "filter", "hashes", "counts"])
+            if not b.num_rows:
+                continue
+            part, h, c = (b.column(x).to_numpy(zero_copy_only=False) for x in ("part", "hash", "count"))
+            starts = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0].tolist()
+            for at, end in zip(starts, [*starts[1:], len(part)]):
+                if held and part[at] != now:
+                    yield built(now, held)
+                    held = []
+                now = int(part[at])
+                held.append((h[at:end].view(np.uint64).copy(), c[at:end].copy()))
+        if held:
+            yield built(now, held)
     return build
 
 
@@ -226,8 +235,8 @@ def train(texts: DataFrame, text_col: str = "text", bits_per_entry: int = BITS_P
     size = bare.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = 1 << max(4, (size // SEGMENT_BYTES).bit_length())
     shift = 64 - (segments.bit_length() - 1)
-    counted = bare.mapInArrow(_counting(shift), "n tinyint, segment int, hash bigint, count int")
-    made = stage(counted.repartition("n", "segment").mapInArrow(_building(bits_per_entry), MODEL))
+    counted = bare.mapInArrow(_counting(shift), "part bigint, hash bigint, count int")
+    made = stage(counted.repartition("part").sortWithinPartitions("part").mapInArrow(_building(bits_per_entry), MODEL))
     seen = made.filter("n = 1").agg(F.sum("total"), F.sum("distinct")).first()
     return Model(made, shift, seen[0] or 0, seen[1] or 0)
 
@@ -236,16 +245,28 @@ def _loaded(rows, shift: int) -> Filter:
     return Filter({r.segment: np.frombuffer(r.filter, np.uint8) for r in rows}, shift)
 
 
-def passes(model: Model, max_mb: int) -> int:
-    """Passes needed so that a share of all segments, with the exact counts, stays within ``max_mb``."""
-    size = model.segments.agg(F.sum(F.octet_length("filter") + F.coalesce(F.octet_length("hashes") + F.octet_length("counts"), F.lit(0)))).first()[0] or 0
-    return max(1, -(-size // (max_mb << 20)))
+def passes(model: Model, max_mb: int) -> tuple[int, int]:
+    """Shares into which bigrams with the exact counts, and unigrams, are cut so that a pass stays within ``max_mb``.
 
+    Either gets half of it; unigrams that exceed theirs are cut so that two shares fit.
+    """
+    exact = F.octet_length("hashes") + F.octet_length("counts")
+    sizes = model.segments.agg(
+        F.sum(F.when(F.col("n") == 1, F.octet_length("filter"))), F.sum(F.when(F.col("n") == 1, exact).otherwise(F.octet_length("filter")))).first()
+    unigrams, rest, half = sizes[0] or 0, sizes[1] or 0, max_mb << 19
+    return max(1, -(-rest // half)), 1 if unigrams <= half else -(-2 * unigrams // half)
+
+
+def _scoring(shared, share: int, of: int, before_in: int, own_in: int, cuts: int, shift: int, total: int, types: int, smoothing: float):
+    """Scores of whole texts, only with the tokens and bigrams of one pass.
+
+    A bigram belongs to the pass that has its share and both of its words' shares; an
+    exact count to the pass that has its share and the first of the others.
+    """
+    def within(h: np.ndarray, part: int, parts: int) -> np.ndarray:
+        return (h >> _U(shift)).astype(np.int64) % parts == part
 
-def _scoring(shared, share: int, of: int, shift: int, total: int, types: int, smoothing: float):
-    """Scores of whole texts, only with the tokens and bigrams of one pass."""
-    def in_pass(h: np.ndarray) -> np.ndarray:
-        return (h >> _U(shift)).astype(np.int64) % of == share
+    first = before_in == own_in == 0
 
     def score(batches):
         unigram, bigram, known, exact = shared.value
@@ -262,15 +283,16 @@ def _scoring(shared, share: int, of: int, shift: int, total: int, types: int, sm
             at = np.minimum(np.searchsorted(known, types_here), max(len(known) - 1, 0))
             hit = known[at] == types_here if len(known) else np.zeros(len(types_here), bool)
             c = np.where(hit, exact[at] if len(known) else 0, 0)
-            base = np.where(in_pass(types_here), np.log10(c + 1.0) - scale, 0.0)
+            base = np.where(within(types_here, share, of) & first, np.log10(c + 1.0) - scale, 0.0)
             rough = unigram.counts(types_here)
             pairs, pair_of = np.unique(bigrams(tokens, starts, hasher.end), return_inverse=True)
-            held, together = in_pass(pairs), bigram.counts(pairs)
+            held, together = within(pairs, share, of), bigram.counts(pairs)
             before = np.concatenate([[0], which[:-1]])
             before[starts] = np.searchsorted(types_here, _U(hasher.end))
+            mine = held[pair_of] & within(types_here, before_in, cuts)[before] & within(types_here, own_in, cuts)[which]
             context, own = rough[before], (rough[which] + 1.0) / (total + types + 1.0)
             p = (np.minimum(together[pair_of], context) + smoothing * own) / (context + smoothing)
-            part = np.where(held[pair_of], np.log10(np.minimum(p, 1.0)), 0.0)
+            part = np.where(mine, np.log10(np.minimum(p, 1.0)), 0.0)
             sums = [np.add.reduceat(x, starts) for x in ((c > 0)[which].astype(np.int64), base[which], part)]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(x) for x in ("doc_id", "held_out", "k1", "k2")), pa.array(lengths), *map(pa.array, sums)],
@@ -292,28 +314,31 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
     rows = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("second"), "text", "doc_id"), "text": F.col("text").cast("binary")})
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, k1 bigint, k2 bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    of = passes(model, max_mb)
-    unigram = _loaded(model.segments.filter("n = 1").select("segment", "filter").toLocalIterator(), model.shift)
-    parts = []
-    for share in range(of):
+    of, cuts = passes(model, max_mb)
+    n_passes, parts = of * cuts * cuts, []
+    for before_in, own_in, share in product(range(cuts), range(cuts), range(of)):
+        if share == 0:
+            words = model.segments.filter((F.col("n") == 1) & (F.col("segment") % cuts).isin(before_in, own_in))
+            unigram = _loaded(words.select("segment", "filter").toLocalIterator(), model.shift)
         mine = model.segments.filter(F.col("segment") % of == share)
         bigram = _loaded(mine.filter("n = 2").select("segment", "filter").toLocalIterator(), model.shift)
-        exact = sorted(((r.segment, r.hashes, r.counts) for r in mine.filter("n = 1").select("segment", "hashes", "counts").toLocalIterator()))
+        counted = mine.filter("n = 1").filter(F.lit(before_in == own_in == 0)).select("segment", "hashes", "counts")
+        exact = sorted((r.segment, r.hashes, r.counts) for r in counted.toLocalIterator())
         known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for _, h, _ in exact)])
         times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64) for _, _, c in exact)])
         shared = spark.sparkContext.broadcast((unigram, bigram, known, times))
-        part = rows.mapInArrow(_scoring(shared, share, of, model.shift, model.tokens, model.types, smoothing), schema)
-        if of > 1:  # written, so that just one pass's filter is held at a time
+        part = rows.mapInArrow(_scoring(shared, share, of, before_in, own_in, cuts, model.shift, model.tokens, model.types, smoothing), schema)
+        if n_passes > 1:  # written, so that just one pass's filter is held at a time
             part = stage(part)
             shared.destroy()
         parts.append(part)
     out = parts[0]
-    if of > 1:
+    if n_passes > 1:
         for part in parts[1:]:
             out = out.unionAll(part)
         # a row comes once from every pass; equal rows come with equal parts
         out = out.groupBy("k1", "k2", "doc_id", "held_out", "n_tokens").agg(
-            (F.count("*") / of).cast("int").alias("copies"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+            (F.count("*") / n_passes).cast("int").alias("copies"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
         out = out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
                          *[(F.col(c) / F.col("copies")).alias(c) for c in ("base_score", "score")],
                          F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"))

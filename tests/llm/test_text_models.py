@@ -163,8 +163,19 @@ def test_passes_change_nothing(docs, monkeypatch):
     model = lm.train(docs)
     key = lambda d: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in d.collect())
     one = key(lm.score(docs, model))
-    monkeypatch.setattr(lm, "passes", lambda m, mb: 3)
-    assert key(lm.score(docs, model)) == one
+    for cut in ((3, 1), (1, 2), (2, 3)):
+        monkeypatch.setattr(lm, "passes", lambda m, mb: cut)
+        assert key(lm.score(docs, model)) == one
+
+
+def test_passes_follow_the_size_of_the_model(docs):
+    model = lm.train(docs)
+    assert lm.passes(model, 512) == (1, 1)
+    size = lambda n, *cols: model.segments.filter(f"n = {n}").agg(sum(F.sum(F.octet_length(c)) for c in cols)).first()[0]
+    unigrams, rest = size(1, "filter"), size(2, "filter") + size(1, "hashes", "counts")
+    many = model._replace(segments=model.segments.crossJoin(model.segments.sparkSession.range(300)))
+    of, cuts = lm.passes(many, 1)
+    assert 300 * rest / of <= 1 << 19 and (cuts == 1 or 2 * 300 * unigrams / cuts <= 1 << 19) and cuts > 1
 
 
 def test_no_training_texts(docs, none):
