@@ -37,6 +37,8 @@ BITS_PER_ENTRY = 8
 SMOOTHING = 200.0
 #: Bytes of text per segment of the hash range, tokens a task adds up before it sends counts, megabytes of filter in a pass.
 SEGMENT_BYTES = 4 << 20
+#: Segments a task sorts, about; beyond that many tasks each gets more, and sorts them on disk.
+TASK_SEGMENTS, MOST_TASKS = 4, 100_000
 FLUSH_TOKENS = 1_500_000
 MAX_MB = 512
 REMEMBERED = 300_000
@@ -236,7 +238,8 @@ def train(texts: DataFrame, text_col: str = "text", bits_per_entry: int = BITS_P
     segments = 1 << max(4, (size // SEGMENT_BYTES).bit_length())
     shift = 64 - (segments.bit_length() - 1)
     counted = bare.mapInArrow(_counting(shift), "part bigint, hash bigint, count int")
-    made = stage(counted.repartition("part").sortWithinPartitions("part").mapInArrow(_building(bits_per_entry), MODEL))
+    tasks = min(MOST_TASKS, max(1, 2 * segments // TASK_SEGMENTS))
+    made = stage(counted.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_building(bits_per_entry), MODEL))
     seen = made.filter("n = 1").agg(F.sum("total"), F.sum("distinct")).first()
     return Model(made, shift, seen[0] or 0, seen[1] or 0)
 
