@@ -10,11 +10,13 @@ as a multiple of the mean share, reaches a threshold and exceeds its trust.
 Pages of a null url, or one without "://", have an empty host and path; no rule fits, and
 the empty host is allowed. Null html has no links. Repeated rows count as often as they
 occur. An empty table gives no rows. All of it is built-in column functions and joins; the
-iteration runs over hosts, not pages, and each round is written to the shared folder.
+iteration runs over hosts, not pages, every few rounds are written to the shared folder, and
+it goes on until the ranks have settled.
 """
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,7 +25,10 @@ from parley.llm.common import carried, prepare
 from parley.session import stage
 
 DAMPING = 0.85
+#: Rounds where a fixed number is asked for, as in the SQL twin; too few to settle.
 ROUNDS = 8
+#: How far a settled rank is from its limit at most, in multiples of an equal share.
+TOLERANCE = 1e-3
 #: Rounds between two written tables.
 WRITTEN = 4
 #: Distrust, in multiples of an equal share, that blocks a host.
@@ -103,36 +108,51 @@ def host_graph(pages: DataFrame, url_col: str = "url", html_col: str = "html", r
     return stage(hosts.join(own, "host", "left").fillna(0, ["allowed", "blocked"])), stage(edges)
 
 
-def spread(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): personalised PageRank from the ``seed`` counts; ranks sum to one at most.
+def spread(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust and distrust: personalised PageRank from allowed along and from blocked against the edges.
 
-    What a host without edges holds goes back to the seeds only through the restart.
+    Both are multiples of an equal share, and one table holds both, so a round is one join
+    and one sum. What a host without edges holds goes back to the seeds only through the
+    restart. Without ``rounds`` it goes on until no rank can move by more than ``tolerance``:
+    a round's change is at most ``damping`` times the last one's, so all later rounds
+    together move at most the last change times damping / (1 - damping).
     """
-    total = hosts.agg(F.sum(seed)).first()[0] or 0
-    start = hosts.select("host", (F.col(seed) / float(max(total, 1))).alias("restart"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
-    share = stage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
-    rank = start.select("host", F.col("restart").alias("rank"))
-    for k in range(1, rounds + 1):
-        given = share.join(rank, share["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        rank = start.join(given, start["host"] == given["dst"], "left").select(
-            "host", ((1.0 - damping) * F.col("restart") + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if k % WRITTEN == 0 or k == rounds:
+    n, allowed, blocked = hosts.agg(F.count("*"), F.sum("allowed"), F.sum("blocked")).first()
+    seeds = lambda seed, total, against: F.struct(F.lit(against).alias("against"), (F.col(seed) * float(n) / float(max(total or 0, 1))).alias("restart"))
+    start = stage(hosts.select("host", F.inline(F.array(seeds("allowed", allowed, False), seeds("blocked", blocked, True)))))
+    ways = edges.select(F.inline(F.array(
+        F.struct(F.lit(False).alias("against"), "src", "dst", "weight"),
+        F.struct(F.lit(True).alias("against"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))))
+    out = ways.groupBy("against", "src").agg(F.sum("weight").alias("all"))
+    share = stage(ways.join(out, ["against", "src"]).select("against", "src", "dst", (damping * F.col("weight") / F.col("all")).alias("share")))
+    nothing = F.lit(0.0).alias("last")
+    restart = start.select("against", "host", ((1.0 - damping) * F.col("restart")).alias("part"), nothing)
+    rank = start.select("against", F.col("host").alias("src"), F.col("restart").alias("rank"))
+    for k in count(1) if rounds is None else range(1, rounds + 1):
+        given = share.join(rank, ["against", "src"]).select("against", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("part"), nothing)
+        written = k % WRITTEN == 0 or k == rounds
+        parts = given.union(restart)
+        if written:
+            parts = parts.union(rank.select("against", "src", F.lit(0.0), "rank"))
+        rank = parts.groupBy("against", F.col("host").alias("src")).agg(F.sum("part").alias("rank"), F.sum("last").alias("last"))
+        if written:
             rank = stage(rank)
-    return rank
+            moved = rank.agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0 if rounds is None else None
+            if moved is not None and moved * damping <= tolerance * (1.0 - damping):
+                break
+        rank = rank.drop("last")
+    of = lambda against: F.sum(F.when(F.col("against") == against, F.col("rank")).otherwise(0.0))
+    return rank.groupBy(F.col("src").alias("host")).agg(of(False).alias("trust"), of(True).alias("distrust"))
 
 
-def standing(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def standing(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """host, trust, distrust (multiples of an equal share) and whether the host is blocked."""
-    n = float(hosts.count())
-    trust = spread(hosts, edges, "allowed", damping, rounds).select("host", (F.col("rank") * n).alias("trust"))
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = spread(hosts, against, "blocked", damping, rounds).select("host", (F.col("rank") * n).alias("distrust"))
-    return trust.join(distrust, "host").withColumn("bad", (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")))
+    ranks = spread(hosts, edges, damping, rounds)
+    return ranks.withColumn("bad", (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES,
-                damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+                damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row."""
     prepare(pages.sparkSession)
     hosts, edges = host_graph(pages, url_col, html_col, rules)

@@ -196,6 +196,24 @@ def test_standing_equals_power_iteration(spark):
     assert verdicts[8] == "block" and verdicts[13] == "allow" and verdicts[5] == "allow"
 
 
+def test_ranks_are_settled(spark):
+    """A chain of links longer than any few rounds, blocked and allowed at either end."""
+    rows = [(0, "http://h0.a/x", '<a href="http://h1.a/">')]
+    rows += [(k, f"http://h{k}.a/x", f'<a href="http://h{k + 1}.a/"> <a href="http://h{k - 1}.a/">') for k in range(1, 20)]
+    rows += [(20, "http://h20.a/x", '<a href="http://bad.net/">'), (21, "http://bad.net/x", '<a href="http://h20.a/">'), (22, "http://h0.org/fr/", '<a href="http://h0.a/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts, edges = url_filter.host_graph(pages)
+    e = {(r.src, r.dst): r.weight for r in edges.collect()}
+    h = {r.host: r for r in hosts.collect()}
+    trust = ranks(h, e, {k: r.allowed for k, r in h.items()}, 400, url_filter.DAMPING)
+    back = ranks(h, {(b, a): w for (a, b), w in e.items()}, {k: r.blocked for k, r in h.items()}, 400, url_filter.DAMPING)
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.trust - trust[r.host] * len(h)) <= url_filter.TOLERANCE and abs(r.distrust - back[r.host] * len(h)) <= url_filter.TOLERANCE
+    assert min(r.distrust for r in got if r.host == "h5.a") > 0  # sixteen links from the blocked host
+
+
 def test_urls_with_clashing_columns_and_no_rows(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     odd = pages.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "row", "known", "trust")})
