@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.predicates import min_turns
 from parley.operators.ordering import SLICE_ROWS, first_by_hash, with_hash_position, with_place, with_position
@@ -155,13 +155,12 @@ def all_counter_examples(values: DataFrame, hypotheses: list[str], k: int = 3, i
     missed = F.array_compact(F.array(*[
         F.when(~F.coalesce(F.col(prefix + h), F.lit(False)), F.lit(h)) for h in hypotheses]))
     rows = values.select(F.explode(missed).alias("hypothesis_id"), id_col, *[vec] * bool(vec))
-    order = F.struct(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))), F.col(id_col))
     if vec:
+        order = F.struct(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))), F.col(id_col))
         each = rows.groupBy("hypothesis_id", id_col).agg(F.min(vec).alias(vec))
         start = each.groupBy("hypothesis_id").agg(F.min_by(id_col, order).alias(id_col))
         return farthest_points(each, "hypothesis_id", id_col, vec, k, start)
-    place = F.row_number().over(W.partitionBy("hypothesis_id").orderBy(order))
-    return rows.distinct().withColumn("pick", place - 1).where(F.col("pick") < k)
+    return first_by_hash(stage(rows.distinct()), id_col, seed, k, ["hypothesis_id"], out="pick").withColumn("pick", F.col("pick").cast("int"))
 
 
 def sample_transcripts(lines: DataFrame, ids: DataFrame, n: int, id_col: str = "session_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Samples, picks and matches against brute force."""
 
+import hashlib
 import math
 import random
 
@@ -162,6 +163,19 @@ def test_counter_examples(spark):
     assert G.counter_examples(flagged.withColumn("hyp_h", F.lit(True)), "h", 3).count() == 0
 
 
+def test_random_counter_examples_sort_only_their_head(spark):
+    rows = [(f"s{i:05d}", c, i % 3 == 0) for i in range(20_000) for c in ("before", "after")[: 1 + i % 2]]
+    values = spark.createDataFrame(rows, "session_id string, cohort string, hyp_a boolean").withColumn("hyp_b", F.lit(None).cast("boolean"))
+    df = G.all_counter_examples(values, ["a", "b"], 3)
+    got = sorted((r.hypothesis_id, r.pick, r.session_id) for r in df.collect())
+    order = lambda ids: sorted(ids, key=lambda s: (hashlib.md5(f"{G.SEED}{s}".encode()).hexdigest(), s))[:3]
+    want = {"a": order({r[0] for r in rows if not r[2]}), "b": order({r[0] for r in rows})}
+    assert got == [(h, p, s) for h in "ab" for p, s in enumerate(want[h])]
+    # no window may have a whole hypothesis in one task
+    windows = [x for x in df._jdf.queryExecution().analyzed().toString().splitlines() if "windowspecdefinition" in x]
+    assert windows and all("_b#" in x.split("windowspecdefinition", 1)[1] for x in windows)
+
+
 def brute_far_names(vecs, k, first):
     chosen = [first]
     while len(chosen) < k:
