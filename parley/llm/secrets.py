@@ -31,8 +31,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGNED, MIN_ACCESS = 12, 18
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Runs that may hide a key: possessive, so a long run is read once.
-RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?:\r?\n[A-Za-z0-9+/]{2,}+(?=[=\r\n]|\Z))*+={0,2}")
+#: Between two lines of a key: a line break, bare or written as an escape, and blanks around it.
+BREAK = r"[\x20\t]*+(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*+"
+BREAKS = re.compile(BREAK)
+#: Runs that may hide a key: possessive, so a long run is read once. The letter of an escape is not part of one.
+RUN64 = re.compile(
+    r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{24,}+(?:" + BREAK + r"[A-Za-z0-9+/]{2,}+(?![_-]))*+={0,2}")
 RUN16 = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}+")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]{16,}+)")
 
@@ -128,6 +132,70 @@ def key_kind(b: bytes) -> str | None:
     return "der" if is_der_key(b) else "ssh" if is_ssh_key(b) else None
 
 
+def der_length(b: bytes) -> int:
+    """The bytes of the value that ``b`` begins, if it may be a key's SEQUENCE, else 0."""
+    k = b[1] & 0x7F if len(b) > 2 and b[1] >= 0x80 else 0
+    if b[:1] != b"\x30" or k > 4 or len(b) < 3 + k or b[2 + k] not in (INTEGER, SEQUENCE):
+        return 0
+    return 2 + k + (int.from_bytes(b[2 : 2 + k], "big") if b[1] >= 0x80 else b[1])
+
+
+def ssh_length(b: bytes) -> int:
+    """The bytes of the OpenSSH key that ``b`` begins: its count says how many keys follow; else 0."""
+    at, fields, last = len(SSH_MAGIC), 0, 5
+    while fields < last:
+        if at + 4 > len(b):
+            return 0
+        n = int.from_bytes(b[at : at + 4], "big")
+        if fields == 3:
+            last, n = n + 5, 0
+        at, fields = at + 4 + n, fields + 1
+    return at
+
+
+def keys64(run: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in lines of base64 that begin and end with a line.
+
+    A key says how long it is, so whatever lines stand before and after it do not matter.
+    """
+    gaps = [m.span() for m in BREAKS.finditer(run)]
+    stop = len(run.rstrip("="))
+    lines = list(zip([0, *(e for _, e in gaps)], [*(s for s, _ in gaps), stop]))
+    bare = "".join(run[s:e] for s, e in lines)
+    ends, n = {}, 0  # where a line ends among the bare characters, and in the run
+    starts = []
+    for s, e in lines:
+        starts.append(n)
+        n += e - s
+        ends[n] = e
+    out, free = [], 0
+    for at, (s, _) in zip(starts, lines):
+        if at < free:
+            continue
+        if bare.startswith("M", at):
+            size = der_length(_decode64(bare[at : at + 12]))
+        elif bare.startswith("b3BlbnNzaC1rZXktdjEA", at):
+            size = ssh_length(_decode64(bare[at : at + (len(bare) - at) // 4 * 4]))
+        else:
+            continue
+        end = at + (4 * size + 2) // 3
+        if size and end in ends and (kind := key_kind(_decode64(bare[at:end]))):
+            out.append((kind, s, len(run) if ends[end] == stop else ends[end]))
+            free = end
+    return out
+
+
+def signed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """Spans of signed tokens; after segments that are none, the search goes on with the second of them."""
+    out, at = [], 0
+    while m := TOKEN.search(text, at):
+        signed = is_signed_token(*m.groups())
+        if signed:
+            out.append(("jwt", *m.span()))
+        at = m.end() if signed else m.end(1) + 1
+    return out
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind; code points, end exclusive."""
     found = []
@@ -140,14 +208,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         if kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             found.append((kind, *m.span()))
     for m in RUN64.finditer(text):
-        lines = m[0].split("\n")
-        for n in sorted({len(lines), len(lines) - 1, 1} - {0}, reverse=True):
-            part = "\n".join(lines[:n])
-            if kind := key_kind(_decode64(part)):
-                found.append((kind, m.start(), m.start() + len(part)))
-                break
+        found += [(kind, m.start() + s, m.start() + e) for kind, s, e in keys64(m[0])]
     if "." in text:
-        found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(*m.groups())]
+        found += signed_tokens(text)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -50,6 +50,26 @@ def test_keys_are_found_in_any_encoding(blob, kind):
         assert found in (plain, blob.hex(), blob.hex().upper())
 
 
+@pytest.mark.parametrize("blob,kind", [(RSA, "der"), (PUBLIC, "none"), (EC, "der"), (PKCS8, "der"), (SSH, "ssh")])
+def test_keys_are_found_between_other_lines(blob, kind):
+    plain = base64.b64encode(blob).decode()
+    rows = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+    for gap in ("\n", "\n    ", " \r\n\t", "\\n", "\\r\\n", "\\\\n"):
+        key, bare = gap.join(rows), gap.join(rows).rstrip("=")
+        for text, want in ((f"key: |{gap}{key}{gap}-----END", key), (f'"-----BEGIN KEY-----{gap}{key}{gap}-----END KEY-----{gap}"', key), (f"{gap}{bare}{gap}two{gap}words", bare),
+                           (f"a_name_of_more_than_24_letters{gap}{key}", key), (f"{'x' * 30}{gap}word{gap}{bare}{gap}one{gap}more{gap}line", bare)):
+            hits = [s for s in secrets.scan(text) if s[0] not in secrets.BASE]
+            assert [(s[0], text[s[1] : s[2]]) for s in hits] == ([(kind, want)] if kind != "none" else []), text
+
+
+def test_tokens_after_other_segments():
+    for before in ("session_token.", "a_long_segment.another_segment.", "x."):
+        text = f"{before}{JWT} and {JWT}"
+        want = [("jwt", len(before), len(before) + len(JWT)), ("jwt", len(text) - len(JWT), len(text))]
+        assert [s for s in secrets.scan(text) if s[0] == "jwt"] == want
+    assert [s for s in secrets.scan("abcdefghijklmnop." * 20_000) if s[0] == "jwt"] == []
+
+
 def test_only_what_parses_is_reported():
     cut = base64.b64encode(RSA[:-1]).decode()
     longer = base64.b64encode(RSA + b"\0\0").decode()
