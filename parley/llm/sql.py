@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import mixing, quality, url_filter
+from parley.llm import decontaminate, divergence, hard_negatives, mixing, quality, url_filter
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -110,4 +110,65 @@ SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN d.rank * c
 FROM j LEFT JOIN trust_{n} t ON t.host = j.host LEFT JOIN distrust_{n} d ON d.host = j.host CROSS JOIN (SELECT count(*) AS n FROM hosts) c"""
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _divergence() -> str:
+    share = f"1 + ({divergence.UNIT}::HUGEINT * (coalesce({{n}}, 0) + {divergence.SMOOTH})) // ({{total}} + {divergence.SMOOTH} * v)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{divergence.TERM}') AS ts FROM documents),
+w AS (SELECT rid, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= {divergence.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(t.total, 0) AS total, coalesce(k.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source) t USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) k USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share.format(n="c.n", total="total")} AS p
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT lang, term, {share.format(n="n", total="total")} AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term)
+  JOIN (SELECT lang, sum(total)::HUGEINT AS total, max(v) AS v FROM g GROUP BY lang) USING (lang)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source) x ON x.lang = a.lang AND x.source = a.source AND x.other = b.source),
+more AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - l.q)::BIGINT AS value FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE p.n > 0 AND p.p > l.q)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM more))
+WHERE part = 'pair' OR rank <= 50"""
+
+
+def _decontaminate() -> str:
+    word, size = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'", decontaminate.WINDOW
+    gram = "array_to_string(ws[i:i + {n} - 1], ' ')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {word}) AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {word}) AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, n, {gram.format(n="n")} AS k FROM (
+    SELECT item, ws, least(len(ws), {size}) AS n, unnest(range(1, greatest(len(ws) - {size}, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT rid, n, i, {gram.format(n="n")} AS k FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens WHERE len(ws) >= n)),
+hit AS (SELECT rid, n, i, item FROM pos JOIN win USING (n, k)),
+cov AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT rid, i, unnest(range(n)) AS j FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)"""
+
+
+def _negatives() -> str:
+    h = hard_negatives
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(x::DOUBLE * {h.SCALE})) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.k, a.vec_id AS anchor_id, b.k AS o, b.vec_id AS other, a.label = b.label AS same, CASE WHEN len(a.v) = 0 THEN 0 ELSE list_dot_product(a.v, b.v) END::BIGINT AS score
+  FROM e a JOIN e b ON a.k <> b.k AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, other, o) AS place FROM s WHERE same) WHERE place <= {h.POSITIVES}),
+n AS (SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    (row_number() OVER (PARTITION BY p.k, p.place ORDER BY s.score DESC, s.other, s.o))::INTEGER AS rank
+  FROM p JOIN s ON s.k = p.k AND NOT s.same AND {h.LEAST} * p.score <= 100 * s.score AND 100 * s.score <= {h.MOST} * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {h.NEGATIVES}"""
+
+
 QUALITY_SQL, MIXING_SQL, URL_SQL = _quality(), _mixing(), _urls()
+DIVERGENCE_SQL, DECONTAMINATE_SQL, NEGATIVES_SQL = _divergence(), _decontaminate(), _negatives()
