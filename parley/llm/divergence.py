@@ -1,15 +1,17 @@
 """Source divergence audit: how the sources of a language differ in their terms (operator 11).
 
-Chunk factorization. Texts are cut at ASCII white space, and chunks are counted per document;
-a task adds the counts of its documents up before anything is shuffled. Each globally distinct
-chunk is tokenized once, its terms are joined back to the counts, and distinct documents and
-occurrences are summed per term. White space is part of no term, so nothing is lost.
+Chunk factorization. Texts are cut at ASCII white space, and the documents of each chunk are
+counted per language; a task adds its documents up before anything is shuffled. Each globally
+distinct chunk is tokenized once, and its terms are joined back: to the document counts, and then
+to the occurrences per source, of which only chunks of kept terms are shuffled. White space is part
+of no term, so nothing is lost.
 
 A language keeps the terms that occur in at least ``min_docs`` of its documents. A document
 may hold a term in several chunks ("The", "the,"), so the documents of a term number at least
 those of its most frequent chunk and at most the sum over its chunks. Where these two bounds
-leave doubt, and only there, documents are told apart: their rows (language, chunk, document)
-are read in a second scan through a bit filter of fixed size and an exact join.
+leave doubt, and only there, documents are told apart by rows (language, chunk, document).
+These rows, and the occurrences, come from scans behind a bit filter of fixed size in front of
+an exact join.
 
 Null text, lang and source count as "". Every row is a document, repeated rows and null ids too.
 Texts without terms, empty ones too, make their (lang, source) group occur. Very long texts are
@@ -20,12 +22,12 @@ columns are not read. Counts and smoothed shares are exact integers of any size.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.llm.common import picked, prepare
@@ -36,16 +38,14 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SMOOTH, UNIT = 30, 5, 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct chunks a task holds before it hands its counts on.
-HELD_CHUNKS = 300_000
+HELD_CHUNKS = 1_000_000
 #: Bits of the filter in front of the exact join, as a power of two: 4 MB whatever the input.
 FILTER_BITS = 25
 #: Terms a task compares at a time, and sources in a block of them.
 TERMS_AT_ONCE, SOURCE_BLOCK = 4_096, 256
 #: Rows (language, source, term) meant for one task.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 50_000
 
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-_PLACES = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("doc", pa.int64())])
 _SUMS = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("excess", pa.int64())])
 
 
@@ -54,92 +54,116 @@ def _read(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
     return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each chunk in the rows of a task; a chunk "" marks the group itself."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+def _strings(items: Iterable[bytes]) -> pa.Array:
+    return pa.array(items, pa.binary()).cast(pa.string())
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, chunk, docs): documents of each chunk among the rows of a task."""
+    held: dict[str, Counter] = defaultdict(Counter)
 
     def hand_on():
-        for (lang, source), (n, docs) in held.items():
-            keys = [b"", *n]
-            yield pa.record_batch([
-                pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.string()),
-                pa.array(keys, pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()),
-                pa.array([0, *map(docs.__getitem__, n)], pa.int64())], schema=_COUNTS)
+        for lang, docs in held.items():
+            yield pa.record_batch([pa.array([lang] * len(docs), pa.string()), _strings(docs), pa.array(docs.values(), pa.int64())], names=["lang", "chunk", "docs"])
         held.clear()
 
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            chunks = text.encode().split()
-            n, docs = held[lang, source]
-            n.update(chunks)
-            docs.update(set(chunks))
-        if sum(len(n) for n, _ in held.values()) > HELD_CHUNKS:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            held[lang].update(set(text.encode().split()))
+        if sum(map(len, held.values())) > HELD_CHUNKS:
             yield from hand_on()
     yield from hand_on()
 
 
-def chunk_counts(rows: DataFrame) -> DataFrame:
-    """(lang, source, chunk, n, docs): occurrences and documents of each chunk in a group."""
-    made = rows.mapInArrow(_count, "lang string, source string, chunk string, n long, docs long")
-    return made.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def chunk_terms(rows: DataFrame) -> DataFrame:
+    """(chunk, langs, terms): every distinct chunk once, its documents per language and its terms with repeats."""
+    made = rows.mapInArrow(_documents, "lang string, chunk string, docs long")
+    # rows of a chunk meet in one task, where languages and then the chunk are summed up without another exchange
+    per_lang = made.repartition("chunk").groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
+    found = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
+    return per_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs")).select("chunk", "langs", found.alias("terms")).filter(F.size("terms") > 0)
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, k): every distinct chunk tokenized once, with the occurrences of a term in it."""
-    found = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    each = chunks.select("chunk").distinct().select("chunk", F.explode(found).alias("term"))
-    return each.groupBy("chunk", "term").agg(F.count("*").alias("k"))
+class BitFilter:
+    """A set of chunks as bits of their hashes: may hold more, never less, in memory of fixed size."""
+
+    def __init__(self, chunks: DataFrame) -> None:
+        h = F.crc32("chunk").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1  # bits are numbered from 1
+        blocks = chunks.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits"))
+        # at most 2^FILTER_BITS / 8 bytes, whatever the number of chunks
+        self.bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+        for bucket, block in blocks.collect():
+            self.bits[(bucket - 1) * len(block):bucket * len(block)] = np.frombuffer(bytes(block), np.uint8)
 
+    def passing(self, chunks: list[bytes]) -> np.ndarray:
+        h = np.fromiter(map(crc32, chunks), np.int64, len(chunks)) & ((1 << FILTER_BITS) - 1)
+        return np.flatnonzero(self.bits[h >> 3] >> (h & 7) & 1)
 
-def _in_filter(bits: dict[int, bytes]):
-    """Rows (lang, chunk, document) whose chunk's hash is in the filter."""
+
+def _places(kept: Broadcast):
+    """(lang, chunk, doc) of the chunks in the filter; ``doc`` numbers the rows of this scan."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-        for bucket, block in bits.value.items():
-            at = (bucket - 1) * len(block)
-            filled[at:at + len(block)] = np.frombuffer(block, np.uint8)
-        mask, digest = (1 << FILTER_BITS) - 1, xxhash.xxh64_intdigest
-        doc = TaskContext.get().partitionId() << 40  # a number of the row within this scan
+        doc = TaskContext.get().partitionId() << 40
         for batch in batches:
             langs, chunks, docs = [], [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 doc += 1
                 own = list(set(text.encode().split()))
-                h = np.fromiter((digest(c, 42) & mask for c in own), np.int64, len(own))
-                hits = np.flatnonzero(filled[h >> 3] >> (h & 7) & 1)
+                hits = kept.value.passing(own)
                 chunks += [own[i] for i in hits]
                 langs += [lang] * len(hits)
                 docs += [doc] * len(hits)
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64())], schema=_PLACES)
+            yield pa.record_batch([pa.array(langs, pa.string()), _strings(chunks), pa.array(docs, pa.int64())], names=["lang", "chunk", "doc"])
     return scan
 
 
+def _occurrences(kept: Broadcast):
+    """(lang, source, chunk, n) of the chunks in the filter, added up in a task."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+        def hand_on():
+            for (lang, source), counts in held.items():
+                chunks, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                hits = kept.value.passing(chunks)
+                yield pa.record_batch(
+                    [pa.array([lang] * len(hits), pa.string()), pa.array([source] * len(hits), pa.string()), _strings([chunks[i] for i in hits]), pa.array(n[hits])],
+                    names=["lang", "source", "chunk", "n"])
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                held[lang, source].update(text.encode().split())
+            if sum(map(len, held.values())) > HELD_CHUNKS:
+                yield from hand_on()
+        yield from hand_on()
+    return scan
+
+
+def _filter(chunks: DataFrame) -> Broadcast:
+    return chunks.sparkSession.sparkContext.broadcast(BitFilter(chunks))
+
+
 def _document_counts(rows: DataFrame, doubtful: DataFrame) -> DataFrame:
     """(lang, term, docs) of doubtful (lang, chunk, term) rows: their documents, told apart."""
-    h = F.xxhash64("chunk").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1  # bits are numbered from 1
-    blocks = doubtful.select("chunk").distinct().groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits"))
-    # at most 2^FILTER_BITS / 8 bytes, whatever the number of chunks
-    bits = {r["bucket"]: bytes(r["bits"]) for r in blocks.collect()}
-    if not bits:
-        return doubtful.select("lang", "term", F.lit(0).cast("long").alias("docs")).limit(0)
-    places = rows.mapInArrow(_in_filter(rows.sparkSession.sparkContext.broadcast(bits)), "lang string, chunk string, doc long")
-    return places.join(doubtful, ["lang", "chunk"]).select("lang", "term", "doc").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
-
-
-def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Kept terms (lang, source, term, n) and all groups (lang, source)."""
+    places = rows.select("lang", "text").mapInArrow(_places(_filter(doubtful)), "lang string, chunk string, doc long")
+    met = places.join(doubtful.hint("shuffle_hash"), ["lang", "chunk"])
+    return met.select("lang", "term", "doc").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
+
+
+def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(lang, source, term, n): occurrences of the terms each language keeps."""
     rows = _read(docs, text_col, lang_col, source_col)
-    counted = stage(chunk_counts(rows))
-    groups = counted.filter("chunk = ''").select("lang", "source")
-    seen = counted.filter("chunk <> ''")
-    found = stage(seen.join(chunk_terms(seen), "chunk").select("lang", "source", "chunk", "term", (F.col("n") * F.col("k")).alias("n"), "docs"))
-    per_chunk = found.groupBy("lang", "term", "chunk").agg(F.sum("docs").alias("docs"))
-    bounds = stage(per_chunk.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).filter(F.col("most") >= min_docs))
-    doubt = bounds.filter(F.col("least") < min_docs).select("lang", "term")
-    doubtful = stage(found.select("lang", "chunk", "term").join(doubt, ["lang", "term"], "left_semi").distinct())
-    told = _document_counts(rows, doubtful).filter(F.col("docs") >= min_docs).select("lang", "term")
-    kept = bounds.filter(F.col("least") >= min_docs).select("lang", "term").union(told)
-    return stage(found.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))), groups
+    chunks = stage(chunk_terms(rows.select("lang", "text")))
+    each = chunks.select("chunk", "terms", F.inline("langs")).select("chunk", "terms", "lang", "docs", F.explode(F.array_distinct("terms")).alias("term"))
+    bounds = each.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).filter(F.col("most") >= min_docs)
+    k = F.size(F.filter("terms", lambda t: t == F.col("term")))
+    likely = stage(each.join(bounds, ["lang", "term"]).select("lang", "chunk", "term", k.alias("k"), (F.col("least") < min_docs).alias("doubtful")))
+    told = _document_counts(rows, likely.filter("doubtful").drop("k", "doubtful")).filter(F.col("docs") >= min_docs).select("lang", "term")
+    kept = stage(likely.filter("NOT doubtful").drop("doubtful").unionByName(likely.filter("doubtful").drop("doubtful").join(told, ["lang", "term"], "left_semi")))
+    seen = rows.mapInArrow(_occurrences(_filter(kept)), "lang string, source string, chunk string, n long")
+    met = seen.join(kept.hint("shuffle_hash"), ["lang", "chunk"])
+    return stage(met.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")))
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
@@ -192,14 +216,15 @@ def source_distances(shares: DataFrame, sizes: DataFrame, task_rows: int = TASK_
     Sources come in blocks, and a task takes two blocks and a part of the terms, so it holds bounded
     rows at any number of sources. ``shares`` has (lang, source, term, p) of the terms that occur.
     """
-    tasks = max(1, -(-shares.count() // task_rows))
-    in_lang = sizes.groupBy("lang").agg(F.count("*").alias("sources"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sources") / float(source_block))).cast("long")
-    named = sizes.join(in_lang, "lang").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("source"), "blocks"))
-    heads = named.select("lang", "source", "block", "blocks", F.lit(None).cast("string").alias("term"), F.col("nothing").alias("p"),
-                         F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"))
-    terms = shares.join(named.select("lang", "source", "block", "blocks"), ["lang", "source"]).select(
-        "lang", "source", "block", "blocks", "term", "p", F.pmod(F.xxhash64("term"), F.lit(tasks)).cast("int").alias("part"))
+    rows = shares.groupBy("lang").agg(F.count("*").alias("rows"))
+    in_lang = sizes.groupBy("lang").agg(F.count("*").alias("sources")).join(rows, "lang", "left").select(
+        "lang", F.ceil(F.col("sources") / float(source_block)).cast("long").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.coalesce("rows", F.lit(0)) / float(task_rows))).cast("long").alias("parts"))
+    named = sizes.join(in_lang, "lang").withColumn("block", F.pmod(F.xxhash64("source"), "blocks"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    heads = named.select("lang", "source", "block", "blocks", F.lit(None).cast("string").alias("term"), F.col("nothing").alias("p"), part)
+    terms = shares.join(named.select("lang", "source", "block", "blocks", "parts"), ["lang", "source"]).select(
+        "lang", "source", "block", "blocks", "term", "p", F.pmod(F.xxhash64("term"), "parts").alias("part"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(
         F.least("block", other).alias("first"), F.greatest("block", other).alias("second")))
     meet = heads.unionByName(terms).select("lang", "source", "block", "term", "p", "part", F.inline(pairs))
@@ -216,7 +241,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = 50, text_col: st
     """(lang, source, part, item, value, rank): per group its distance to the other sources of its language
     (part ``pair``) and the ``top`` terms it uses more than its language does (part ``term``)."""
     prepare(docs.sparkSession)
-    counts, groups = term_counts(docs, min_docs, text_col, lang_col, source_col)
+    counts = term_counts(docs, min_docs, text_col, lang_col, source_col)
+    groups = _read(docs, text_col, lang_col, source_col).select("lang", "source").distinct()
     sizes = stage(group_sizes(counts, groups))
     shares = counts.join(sizes, ["lang", "source"]).select("lang", "source", "term", "n", _share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
     pair = source_distances(shares, sizes).select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")

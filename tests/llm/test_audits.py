@@ -65,7 +65,7 @@ def test_documents_are_told_apart_only_in_doubt(spark, monkeypatch):
     asked = []
     inner = dv._document_counts
     monkeypatch.setattr(dv, "_document_counts", lambda rows, doubtful: asked.extend(r.term for r in doubtful.select("term").distinct().collect()) or inner(rows, doubtful))
-    counts, _ = dv.term_counts(df, 5)
+    counts = dv.term_counts(df, 5)
     assert {r.term for r in counts.collect()} == {"word", "plenty"} and sorted(asked) == ["rare", "word"]
 
 
@@ -73,21 +73,21 @@ def test_counts_of_a_task_are_handed_on_whole(spark, monkeypatch):
     monkeypatch.setattr(dv, "HELD_CHUNKS", 3)
     import pyarrow as pa
 
-    batch = lambda *texts: pa.record_batch([["en"] * len(texts), ["s"] * len(texts), list(texts)], names=["lang", "source", "text"])
-    made = list(dv._count(iter([batch("a b c d", "a a"), batch("a"), batch()])))
+    batch = lambda *texts: pa.record_batch([["en"] * len(texts), list(texts)], names=["lang", "text"])
+    made = list(dv._documents(iter([batch("a b c d", "a a"), batch("a"), pa.record_batch([pa.array([], pa.string())] * 2, names=["lang", "text"])])))
     n = Counter()
     for b in made:
-        for chunk, k in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist()):
+        for chunk, k in zip(b.column("chunk").to_pylist(), b.column("docs").to_pylist()):
             n[chunk] += k
-    assert len(made) >= 2 and n == {"": 0, "a": 4, "b": 1, "c": 1, "d": 1}
+    assert len(made) >= 2 and n == {"a": 3, "b": 1, "c": 1, "d": 1}
 
 
 def test_distances_in_blocks_equal_one_block(spark):
     rng = np.random.default_rng(2)
     rows = [("en", f"s{i % 23}", " ".join(rng.choice([f"t{chr(97 + k)}" for k in range(15)], 6))) for i in range(200)]
     df = spark.createDataFrame(rows, "lang string, source string, text string")
-    counts, groups = dv.term_counts(df, 2)
-    sizes = dv.group_sizes(counts, groups)
+    counts = dv.term_counts(df, 2)
+    sizes = dv.group_sizes(counts, df.select("lang", "source").distinct())
     shares = counts.join(sizes, ["lang", "source"]).select("lang", "source", "term", dv._share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
     one = sorted(map(tuple, dv.source_distances(shares, sizes).collect()))
     assert sorted(map(tuple, dv.source_distances(shares, sizes, task_rows=40, source_block=5).collect())) == one and len(one) == 23 * 22
