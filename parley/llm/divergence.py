@@ -38,7 +38,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SMOOTH, UNIT = 30, 5, 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct chunks a task holds before it hands its counts on.
-HELD_CHUNKS = 1_000_000
+HELD_CHUNKS = 1_500_000
 #: Bits of the filter in front of the exact join, as a power of two: 4 MB whatever the input.
 FILTER_BITS = 25
 #: Terms a task compares at a time, and sources in a block of them.
@@ -58,6 +58,11 @@ def _strings(items: Iterable[bytes]) -> pa.Array:
     return pa.array(items, pa.binary()).cast(pa.string())
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The chunks of each text; bytes split at ASCII white space alone."""
+    return map(bytes.split, batch.column("text").cast(pa.binary()).to_pylist())
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, chunk, docs): documents of each chunk among the rows of a task."""
     held: dict[str, Counter] = defaultdict(Counter)
@@ -68,8 +73,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            held[lang].update(set(text.encode().split()))
+        for lang, chunks in zip(batch.column("lang").to_pylist(), _chunks(batch)):
+            held[lang].update(set(chunks))
         if sum(map(len, held.values())) > HELD_CHUNKS:
             yield from hand_on()
     yield from hand_on()
@@ -106,9 +111,9 @@ def _places(kept: Broadcast):
         doc = TaskContext.get().partitionId() << 40
         for batch in batches:
             langs, chunks, docs = [], [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, own in zip(batch.column("lang").to_pylist(), _chunks(batch)):
                 doc += 1
-                own = list(set(text.encode().split()))
+                own = list(set(own))
                 hits = kept.value.passing(own)
                 chunks += [own[i] for i in hits]
                 langs += [lang] * len(hits)
@@ -132,8 +137,8 @@ def _occurrences(kept: Broadcast):
             held.clear()
 
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                held[lang, source].update(text.encode().split())
+            for lang, source, chunks in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), _chunks(batch)):
+                held[lang, source].update(chunks)
             if sum(map(len, held.values())) > HELD_CHUNKS:
                 yield from hand_on()
         yield from hand_on()
@@ -167,18 +172,20 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
-    """The smoothed share of a term in units of ``UNIT``; decimals, as the products pass 64 bits."""
-    wide = lambda c: c.cast("decimal(20,0)")
-    over = wide(total) + wide(kept) * F.lit(SMOOTH).cast("decimal(3,0)")
-    part = wide(n) + F.lit(SMOOTH).cast("decimal(3,0)")
-    return F.when(kept > 0, F.call_function("div", part * F.lit(UNIT).cast("decimal(10,0)"), over) + 1)
-
-
-def group_sizes(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, source, total, kept, nothing): occurrences and kept terms of a group, and the share of a term it lacks."""
-    kept = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("kept"))
-    total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    sizes = groups.join(total, ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["total", "kept"])
+    """The smoothed share of a term in units of ``UNIT``: 64-bit where the products fit, decimals beyond."""
+    def part(kind: str) -> Column:
+        wide = lambda c: c.cast(kind)
+        return F.call_function("div", (wide(n) + wide(F.lit(SMOOTH))) * wide(F.lit(UNIT)), wide(total) + wide(kept) * wide(F.lit(SMOOTH)))
+
+    fits = total + kept * SMOOTH < (1 << 63) // UNIT
+    return F.when(kept > 0, F.when(fits, part("long")).otherwise(part("decimal(19,0)")) + 1)
+
+
+def group_sizes(counts: DataFrame, in_lang: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, total, terms, kept, nothing): occurrences and terms of a group, kept terms of its language, the share of a term it lacks."""
+    kept = in_lang.groupBy("lang").agg(F.count("*").alias("kept"))
+    total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
+    sizes = groups.join(total, ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["total", "terms", "kept"])
     return sizes.withColumn("nothing", _share(F.lit(0), F.col("total"), F.col("kept")))
 
 
@@ -216,10 +223,9 @@ def source_distances(shares: DataFrame, sizes: DataFrame, task_rows: int = TASK_
     Sources come in blocks, and a task takes two blocks and a part of the terms, so it holds bounded
     rows at any number of sources. ``shares`` has (lang, source, term, p) of the terms that occur.
     """
-    rows = shares.groupBy("lang").agg(F.count("*").alias("rows"))
-    in_lang = sizes.groupBy("lang").agg(F.count("*").alias("sources")).join(rows, "lang", "left").select(
-        "lang", F.ceil(F.col("sources") / float(source_block)).cast("long").alias("blocks"),
-        F.greatest(F.lit(1), F.ceil(F.coalesce("rows", F.lit(0)) / float(task_rows))).cast("long").alias("parts"))
+    in_lang = sizes.groupBy("lang").agg(
+        F.ceil(F.count("*") / float(source_block)).cast("long").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.sum("terms") / float(task_rows))).cast("long").alias("parts"))
     named = sizes.join(in_lang, "lang").withColumn("block", F.pmod(F.xxhash64("source"), "blocks"))
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     heads = named.select("lang", "source", "block", "blocks", F.lit(None).cast("string").alias("term"), F.col("nothing").alias("p"), part)
@@ -243,10 +249,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = 50, text_col: st
     prepare(docs.sparkSession)
     counts = term_counts(docs, min_docs, text_col, lang_col, source_col)
     groups = _read(docs, text_col, lang_col, source_col).select("lang", "source").distinct()
-    sizes = stage(group_sizes(counts, groups))
+    in_lang = stage(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")))
+    sizes = stage(group_sizes(counts, in_lang, groups))
     shares = counts.join(sizes, ["lang", "source"]).select("lang", "source", "term", "n", _share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
     pair = source_distances(shares, sizes).select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
-    in_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     all_lang = sizes.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kept").alias("kept"))
     usual = in_lang.join(all_lang, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("kept")).alias("q"))
     more = shares.join(usual, ["lang", "term"]).filter("p > q").select(

@@ -87,16 +87,17 @@ def test_distances_in_blocks_equal_one_block(spark):
     rows = [("en", f"s{i % 23}", " ".join(rng.choice([f"t{chr(97 + k)}" for k in range(15)], 6))) for i in range(200)]
     df = spark.createDataFrame(rows, "lang string, source string, text string")
     counts = dv.term_counts(df, 2)
-    sizes = dv.group_sizes(counts, df.select("lang", "source").distinct())
+    in_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    sizes = dv.group_sizes(counts, in_lang, df.select("lang", "source").distinct())
     shares = counts.join(sizes, ["lang", "source"]).select("lang", "source", "term", dv._share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
     one = sorted(map(tuple, dv.source_distances(shares, sizes).collect()))
     assert sorted(map(tuple, dv.source_distances(shares, sizes, task_rows=40, source_block=5).collect())) == one and len(one) == 23 * 22
 
 
 def test_shares_beyond_64_bits(spark):
-    n = 10**15
-    got = spark.range(1).select(dv._share(F.lit(n), F.lit(3 * n), F.lit(7)).alias("p")).first().p
-    assert got == 1 + 10**9 * (n + 5) // (3 * n + 35)
+    for n in (0, 2, 3 * 10**9, 4 * 10**9, 10**15):
+        got = spark.range(1).select(dv._share(F.lit(n), F.lit(3 * n), F.lit(7)).alias("p")).first().p
+        assert got == 1 + 10**9 * (n + 5) // (3 * n + 35)
 
 
 # ---- decontamination ------------------------------------------------------------------
