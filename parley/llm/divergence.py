@@ -21,12 +21,12 @@ columns are not read. Counts and smoothed shares are exact integers of any size.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -37,8 +37,8 @@ from parley.session import stage
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SMOOTH, UNIT = 30, 5, 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Distinct chunks a task holds before it hands its counts on.
-HELD_CHUNKS = 1_500_000
+#: Counts a task holds before it adds them up and hands them on.
+HELD_ROWS = 2_000_000
 #: Bits of the filter in front of the exact join, as a power of two: 4 MB whatever the input.
 FILTER_BITS = 25
 #: Terms a task compares at a time, and sources in a block of them.
@@ -54,30 +54,46 @@ def _read(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
     return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def _strings(items: Iterable[bytes]) -> pa.Array:
-    return pa.array(items, pa.binary()).cast(pa.string())
+def _encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and chunk number of every chunk of a batch, and the distinct chunks."""
+    lists = pc.ascii_split_whitespace(batch.column("text"))
+    words = pc.list_flatten(lists).dictionary_encode()
+    row, code = pc.list_parent_indices(lists).to_numpy(), words.indices.to_numpy()
+    blank = pc.index(words.dictionary, "").as_py()  # beside white space at either end
+    full = code != blank
+    return row[full].astype(np.int64), code[full].astype(np.int64), words.dictionary
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    """The chunks of each text; bytes split at ASCII white space alone."""
-    return map(bytes.split, batch.column("text").cast(pa.binary()).to_pylist())
+def _added(parts: Iterable[pa.RecordBatch], value: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a task with ``value`` summed over equal keys."""
+    held, rows = [], 0
 
+    def total() -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        keys = [c for c in table.column_names if c != value]
+        return table.group_by(keys).aggregate([(value, "sum")]).rename_columns([*keys, value]).to_batches()
+
+    for part in parts:
+        held.append(part)
+        rows += len(part)
+        if rows > HELD_ROWS:
+            yield from total()
+            held, rows = [], 0
+    if held:
+        yield from total()
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, chunk, docs): documents of each chunk among the rows of a task."""
-    held: dict[str, Counter] = defaultdict(Counter)
 
-    def hand_on():
-        for lang, docs in held.items():
-            yield pa.record_batch([pa.array([lang] * len(docs), pa.string()), _strings(docs), pa.array(docs.values(), pa.int64())], names=["lang", "chunk", "docs"])
-        held.clear()
+def _document_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, chunk, docs): documents of each chunk among the rows of a batch."""
+    row, code, chunks = _encoded(batch)
+    lang, n = batch.column("lang").dictionary_encode(), max(len(chunks), 1)
+    once = np.unique(row * n + code)
+    key, docs = np.unique(lang.indices.to_numpy().astype(np.int64)[once // n] * n + once % n, return_counts=True)
+    return pa.record_batch([lang.dictionary.take(pa.array(key // n)), chunks.take(pa.array(key % n)), pa.array(docs, pa.int64())], names=["lang", "chunk", "docs"])
 
-    for batch in batches:
-        for lang, chunks in zip(batch.column("lang").to_pylist(), _chunks(batch)):
-            held[lang].update(set(chunks))
-        if sum(map(len, held.values())) > HELD_CHUNKS:
-            yield from hand_on()
-    yield from hand_on()
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _added(map(_document_batch, batches), "docs")
 
 
 def chunk_terms(rows: DataFrame) -> DataFrame:
@@ -100,49 +116,40 @@ class BitFilter:
         for bucket, block in blocks.collect():
             self.bits[(bucket - 1) * len(block):bucket * len(block)] = np.frombuffer(bytes(block), np.uint8)
 
-    def passing(self, chunks: list[bytes]) -> np.ndarray:
-        h = np.fromiter(map(crc32, chunks), np.int64, len(chunks)) & ((1 << FILTER_BITS) - 1)
-        return np.flatnonzero(self.bits[h >> 3] >> (h & 7) & 1)
+    def passing(self, chunks: pa.Array) -> np.ndarray:
+        """Whether each chunk is in the filter."""
+        h = np.fromiter(map(crc32, chunks.cast(pa.binary()).to_pylist()), np.int64, len(chunks)) & ((1 << FILTER_BITS) - 1)
+        return self.bits[h >> 3] >> (h & 7) & 1 == 1
 
 
 def _places(kept: Broadcast):
     """(lang, chunk, doc) of the chunks in the filter; ``doc`` numbers the rows of this scan."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc = TaskContext.get().partitionId() << 40
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            langs, chunks, docs = [], [], []
-            for lang, own in zip(batch.column("lang").to_pylist(), _chunks(batch)):
-                doc += 1
-                own = list(set(own))
-                hits = kept.value.passing(own)
-                chunks += [own[i] for i in hits]
-                langs += [lang] * len(hits)
-                docs += [doc] * len(hits)
-            yield pa.record_batch([pa.array(langs, pa.string()), _strings(chunks), pa.array(docs, pa.int64())], names=["lang", "chunk", "doc"])
+            row, code, chunks = _encoded(batch)
+            own, n = kept.value.passing(chunks)[code], max(len(chunks), 1)
+            once = np.unique(row[own] * n + code[own])
+            at = pa.array(once // n)
+            yield pa.record_batch([batch.column("lang").take(at), chunks.take(pa.array(once % n)), pa.array(first + once // n)], names=["lang", "chunk", "doc"])
+            first += len(batch)
     return scan
 
 
 def _occurrences(kept: Broadcast):
     """(lang, source, chunk, n) of the chunks in the filter, added up in a task."""
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def hand_on():
-            for (lang, source), counts in held.items():
-                chunks, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-                hits = kept.value.passing(chunks)
-                yield pa.record_batch(
-                    [pa.array([lang] * len(hits), pa.string()), pa.array([source] * len(hits), pa.string()), _strings([chunks[i] for i in hits]), pa.array(n[hits])],
-                    names=["lang", "source", "chunk", "n"])
-            held.clear()
-
-        for batch in batches:
-            for lang, source, chunks in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), _chunks(batch)):
-                held[lang, source].update(chunks)
-            if sum(map(len, held.values())) > HELD_CHUNKS:
-                yield from hand_on()
-        yield from hand_on()
-    return scan
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, code, chunks = _encoded(batch)
+        own, n = kept.value.passing(chunks)[code], max(len(chunks), 1)
+        lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        m = max(len(source.dictionary), 1)
+        group = lang.indices.to_numpy().astype(np.int64) * m + source.indices.to_numpy()
+        key, counts = np.unique(group[row[own]] * n + code[own], return_counts=True)
+        return pa.record_batch(
+            [lang.dictionary.take(pa.array(key // n // m)), source.dictionary.take(pa.array(key // n % m)), chunks.take(pa.array(key % n)), pa.array(counts, pa.int64())],
+            names=["lang", "source", "chunk", "n"])
+
+    return lambda batches: _added(map(count, batches), "n")
 
 
 def _filter(chunks: DataFrame) -> Broadcast:

@@ -70,16 +70,16 @@ def test_documents_are_told_apart_only_in_doubt(spark, monkeypatch):
 
 
 def test_counts_of_a_task_are_handed_on_whole(spark, monkeypatch):
-    monkeypatch.setattr(dv, "HELD_CHUNKS", 3)
+    monkeypatch.setattr(dv, "HELD_ROWS", 3)
     import pyarrow as pa
 
     batch = lambda *texts: pa.record_batch([["en"] * len(texts), list(texts)], names=["lang", "text"])
-    made = list(dv._documents(iter([batch("a b c d", "a a"), batch("a"), pa.record_batch([pa.array([], pa.string())] * 2, names=["lang", "text"])])))
+    made = list(dv._documents(iter([batch("a b  c\x0bd ", "\ta a"), batch("a"), batch(""), batch("a\u00a0 a\u2003\x1cb"), pa.record_batch([pa.array([], pa.string())] * 2, names=["lang", "text"])])))
     n = Counter()
     for b in made:
         for chunk, k in zip(b.column("chunk").to_pylist(), b.column("docs").to_pylist()):
             n[chunk] += k
-    assert len(made) >= 2 and n == {"a": 3, "b": 1, "c": 1, "d": 1}
+    assert len(made) >= 2 and n == {"a": 3, "b": 1, "c": 1, "d": 1, "a\u00a0": 1, "a\u2003\x1cb": 1}
 
 
 def test_distances_in_blocks_equal_one_block(spark):
