@@ -64,6 +64,12 @@ def _encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return row[full].astype(np.int64), code[full].astype(np.int64), words.dictionary
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+
+
 def _added(parts: Iterable[pa.RecordBatch], value: str) -> Iterator[pa.RecordBatch]:
     """The rows of a task with ``value`` summed over equal keys."""
     held, rows = [], 0
@@ -87,7 +93,7 @@ def _document_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     """(lang, chunk, docs): documents of each chunk among the rows of a batch."""
     row, code, chunks = _encoded(batch)
     lang, n = batch.column("lang").dictionary_encode(), max(len(chunks), 1)
-    once = np.unique(row * n + code)
+    once = _distinct(row * n + code)
     key, docs = np.unique(lang.indices.to_numpy().astype(np.int64)[once // n] * n + once % n, return_counts=True)
     return pa.record_batch([lang.dictionary.take(pa.array(key // n)), chunks.take(pa.array(key % n)), pa.array(docs, pa.int64())], names=["lang", "chunk", "docs"])
 
@@ -129,7 +135,7 @@ def _places(kept: Broadcast):
         for batch in batches:
             row, code, chunks = _encoded(batch)
             own, n = kept.value.passing(chunks)[code], max(len(chunks), 1)
-            once = np.unique(row[own] * n + code[own])
+            once = _distinct(row[own] * n + code[own])
             at = pa.array(once // n)
             yield pa.record_batch([batch.column("lang").take(at), chunks.take(pa.array(once % n)), pa.array(first + once // n)], names=["lang", "chunk", "doc"])
             first += len(batch)
