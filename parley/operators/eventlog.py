@@ -106,24 +106,20 @@ def session_detail(rows: DataFrame, s: DataFrame, part_rows: int = PART_ROWS) ->
     )
 
 
-def session_text(ev: DataFrame, part_rows: int = PART_ROWS, large: LargeKeys | None = None, ahead: int = 0) -> DataFrame:
-    """(session_id, part, searchable_text): contents and JSON of all events.
-
-    Lower case, newline between pieces, in event order. A session of up to
-    ``part_rows`` events has the one part 0; no session's text has to fit in one
-    row. With ``ahead``, ``following`` holds the text of as many next events, else
-    null, so that a rule may match over a cut (see ``following_too``). Where the text
-    goes on after those, two line breaks keep a pattern from ending there.
+def session_text(ev: DataFrame, part_rows: int = PART_ROWS, large: LargeKeys | None = None) -> DataFrame:
+    """(session_id, part, last, searchable_text, pieces): contents and JSON of all events.
+
+    Lower case, newline between pieces, in event order; ``pieces`` holds them one by one.
+    A session of up to ``part_rows`` events has the one part 0; no session's text has to fit
+    in one row. Rules search the parts as one text, see ``functions.spans``.
     """
     piece = F.lower(F.concat_ws("\n", filled(F.col("content")),
                                 F.nullif(F.col("event_value"), F.lit("{}"))))
-    kept = ev.where(F.length(F.concat_ws("", "content", "event_value")) > 0)
-    parts = collect_parts(kept, ["session_id"], ["timestamp", "event_id"], piece, "_lines", part_rows,
-                          SLICE_ROWS, large, ahead + 1 if ahead else 0)
-    text = lambda lines: F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-    goes_on = F.when(F.size("following") > ahead, F.lit("\n\n")).otherwise("")
-    after = [F.when(F.size("following") > 0, F.concat(text(F.slice("following", 1, ahead)), goes_on)).alias("following")] if ahead else []
-    return parts.select("session_id", "part", text("_lines").alias("searchable_text"), *after)
+    kept = ev.withColumn("_piece", piece).where("_piece <> ''")
+    parts = collect_parts(kept, ["session_id"], ["timestamp", "event_id"], F.col("_piece"), "pieces", part_rows,
+                          SLICE_ROWS, large, ahead=1)
+    return parts.select("session_id", "part", (F.size("following") == 0).alias("last"),
+                        F.array_join("pieces", "\n").alias("searchable_text"), "pieces")
 
 
 def event_counts(ev: DataFrame, include_debug: bool = True, dedup: bool = False,

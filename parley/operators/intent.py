@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.numbers import rounded
-from parley.functions.text import following_too, normal_name
+from parley.functions.spans import opening_of, parts_of, text_found
+from parley.functions.text import normal_name
 
 # Weight of a lexicon entry by its list, and the scoring limits.
 NAME_WEIGHTS = {
@@ -79,11 +82,46 @@ def _found(terms: list[tuple[int, str]], value: Column, test) -> Column:
     return F.get(hits, F.lit(0))
 
 
+#: Characters of a gram, terms from which on they are looked up by gram, and terms sent to every executor at most.
+GRAM, INDEXED_TERMS, BROADCAST_TERMS = 3, 256, 1_000_000
+
+
+def term_index(terms: list[tuple[int, str]]) -> list[tuple[str, int, str]]:
+    """(gram, number, term): each term under the one of its grams that the fewest terms have."""
+    grams = {t: sorted({t[i:i + GRAM] for i in range(len(t) - GRAM + 1)}) for _, t in terms}
+    common = Counter(g for own in grams.values() for g in own)
+    return [(min(grams[t], key=lambda g: (common[g], g)), n, t) for n, t in terms]
+
+
+def _grams(text: Column) -> Column:
+    """The distinct grams of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _in_text(rows: DataFrame, key: str, value: str, terms: list[tuple[int, str]]) -> DataFrame:
+    """(key, n): terms that the text ``value`` of a row holds.
+
+    Of many terms only those are compared that share their rarest gram with the text, so the
+    work grows with the text and with what it shares, not with the number of terms.
+    """
+    indexed = [(n, t) for n, t in terms if len(t) >= GRAM] if len(terms) > INDEXED_TERMS else []
+    plain = [(n, t) for n, t in terms if len(t) < GRAM] if indexed else terms
+    # the arrays are built in their own projection, where shared parts are computed once;
+    # an inner explode would add a filter that computes them a second time
+    out = rows.select(key, _found(plain, F.col(value), F.contains).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
+    if indexed:
+        index = rows.sparkSession.createDataFrame(term_index(indexed), "gram string, n int, term string")
+        index = F.broadcast(index) if len(indexed) <= BROADCAST_TERMS else index
+        shared = rows.select(key, value, F.explode(_grams(F.col(value))).alias("gram")).join(index, "gram")
+        out = out.unionByName(shared.where(F.contains(value, "term")).select(key, "n"))
+    return out
+
+
 def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "session_id") -> DataFrame:
     """(key, terms): which lexicon terms a session shows, each once.
 
-    ``text`` has (key, part, searchable_text), any number of parts; ``hits`` one
-    row per key with ``structured_hits``. Rows are matched where they are and
+    ``text`` has (key, part, searchable_text), any number of parts, see ``functions.spans``;
+    ``hits`` one row per key with ``structured_hits``. Rows are matched where they are and
     only term numbers are shuffled, combined on the map side; the set per
     session is no larger than the lexicon.
     """
@@ -92,13 +130,17 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
     def pick(*kinds: str) -> list[tuple[int, str]]:
         return [(n, t) for n, _, kind, t, _ in rows if kind in kinds]
 
-    in_text = F.concat(
-        _found(pick("keywords", "negative_keywords", "agent_names"), F.col("_low"), F.contains),
-        F.when(F.col("part") == 0, _found(pick("opening"), F.col("_opening"), F.contains))
-        .otherwise(F.array().cast("array<int>")),
-    )
-    lowered = text.select(key, "part", F.lower(F.coalesce(following_too(text), F.lit(""))).alias("_low"),
-                         F.substring(F.lower(F.coalesce("searchable_text", F.lit(""))), 1, OPENING_CHARS).alias("_opening"))
+    parts = parts_of(text, key).select(key, "part", "last", F.lower("searchable_text").alias("_low"))
+    alone = (F.col("part") == 0) & F.col("last")
+    head = lambda t: F.substring(t, 1, OPENING_CHARS)
+    # the opening of a text in one part is at hand; of others the first parts make it up
+    openings = parts.where(alone).select(key, head(F.col("_low")).alias("_opening")).unionByName(
+        parts.where(~alone).groupBy(key).agg(opening_of(F.col("_low"), OPENING_CHARS).alias("_opening")))
+    found = [_in_text(openings, key, "_opening", pick("opening")), _in_text(parts, key, "_low", pick("keywords", "negative_keywords", "agent_names"))]
+    broken = [(n, t) for n, t in pick("keywords", "negative_keywords") if "\n" in t]
+    if broken:  # terms that hold line breaks may lie over parts
+        over = parts.where(~alone).groupBy(key).agg(F.array_compact(F.array(*[F.when(text_found(t, F.col("_low")), F.lit(n)) for n, t in broken])).alias("_n"))
+        found.append(over.select(key, F.explode("_n").alias("n")))
     fields = {f.name for f in hits.schema["structured_hits"].dataType.fields}
     named = [F.array().cast("array<int>")]
     for kind in NAME_WEIGHTS:
@@ -106,12 +148,8 @@ def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "se
         if field in fields and pick(kind):
             names = F.transform(F.coalesce(f"structured_hits.{field}", F.array().cast("array<string>")), normal_name)
             named.append(_found(pick(kind), names, F.array_contains))
-    # the arrays are built in their own projection, where shared parts are computed once;
-    # an inner explode would add a filter that computes them a second time
-    in_rows = lowered.select(key, in_text.alias("_n")).select(key, F.explode_outer("_n").alias("n"))
-    in_hits = hits.select(key, F.concat(*named).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
-    long = in_rows.unionByName(in_hits)
-    return long.groupBy(key).agg(F.collect_set("n").alias("terms"))
+    found.append(hits.select(key, F.concat(*named).alias("_n")).select(key, F.explode_outer("_n").alias("n")))
+    return reduce(DataFrame.unionByName, found).groupBy(key).agg(F.collect_set("n").alias("terms"))
 
 
 def classify_intent(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "session_id",

@@ -28,12 +28,9 @@ class StudyCohorts:
     features: DataFrame   # one row per session and cohort
     stats: DataFrame      # raw and filtered counts per cohort
     events: DataFrame     # cleaned events of the sessions in scope
-    text: DataFrame       # (session_id, part, searchable_text)
+    text: DataFrame       # (session_id, part, last, searchable_text, pieces)
 
 
-#: Events a text rule may span where the text of a very long session is cut.
-TEXT_AHEAD = 64
-
 # Measures of a session without events.
 NO_EVENTS = {
     "session_outcome": "unknown", "outcome_bucket": "other", "length_bucket": "short", "agent_path": "",
@@ -68,7 +65,7 @@ def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon
     # the study's share of the log is read and cleaned once, then kept
     clean = stage(eventlog.dedupe_session_end(events_for(complete(ev), raw)))
     large = large_keys(clean, ["session_id"], SESSION_ROWS)
-    text = eventlog.session_text(clean, large=large, ahead=TEXT_AHEAD)
+    text = eventlog.session_text(clean, large=large)
     fv = with_intent(primitives(clean, price, large=large), text, lexicon)
     rows = _fill(raw.join(fv, "session_id", "left"))
     split = (study.get("traffic_split") or {}).get("value")

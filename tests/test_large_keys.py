@@ -1,12 +1,14 @@
 """Keys far above the size limits give the same results as small ones."""
 
 import random
+import re
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from parley.functions.events import complete
+from parley.functions.spans import chains_of, opening_of, parts_of, pattern_found, text_found
 from parley.operators import eventlog, ordering as O, primitives as P, signals, significance
 from workload.binding import price
 
@@ -133,7 +135,7 @@ def test_rules_match_over_a_cut(spark, part_rows):
     rows = [(i, sid, "USER_QUERY", 1000 + i, t) for sid in ("a", "b") for i, t in enumerate(said if sid == "a" else said[:3])]
     ev = complete(spark.createDataFrame(rows, "event_id long, session_id string, event_type string, s long, content string")
                   .withColumn("timestamp", F.timestamp_seconds("s")).drop("s"))
-    text = eventlog.session_text(ev, part_rows=part_rows, ahead=2)
+    text = eventlog.session_text(ev, part_rows=part_rows)
     patterns = {"over": r"please\s+now", "far": r"the\nbill\nend$", "cut": r"now$", "start": r"^please", "head": r"^hello\s", "tail": r"bill$"}
     plan = {"signals_required": [{"name": "pays", "method": "rule_based", "spec": {"keywords": ["pay the\nbill"]}}],
             "classical_signals_required": [{"name": n, "kind": "regex_on_transcript", "pattern": p} for n, p in patterns.items()]}
@@ -142,6 +144,46 @@ def test_rules_match_over_a_cut(spark, part_rows):
     assert got == {"a": ["match", True, True, False, False, True, False], "b": ["other", True, False, True, False, True, False]}
 
 
+CHAINS = [r"a\s+b", r"(?s)a.*b.*c", r"a[^c]*b[^a]*c$", r"^a\s*b", r"(?:a|b\s)c", r"a\n{1,3}b", r"a(\s+x)?\s*c", r"b\W?a\Wc", r"\ba\b[\s\S]+?\bc\b", r"c\s*$", r"^\s*b", r"x.x", r"a\n\nb",
+          r"(a\s+b|c)\s+(x|a)", r"[^a]{2,4}b", r"x$", r"\Aa[\sx]*c\Z", r"a.b", r"ab\D+a"]
+
+
+def test_rules_over_parts_equal_the_whole_text(spark):
+    rng = random.Random(4)
+    said = {f"s{k}": [rng.choice(["a", "b", "c", "x", "ab", "a b", "x c", " ", "a ", " b", "c\nx", "a\n", "b\n\na"]) for _ in range(rng.randrange(1, 9))] for k in range(120)}
+    rows = [(1000 + i, sid, "USER_QUERY", i, t) for sid, turns in said.items() for i, t in enumerate(turns)]
+    ev = complete(spark.createDataFrame(rows, "event_id long, session_id string, event_type string, s long, content string")
+                  .withColumn("timestamp", F.timestamp_seconds("s")).drop("s"))
+    words = ["a\nb", "c\nx\na", "x", "b\n"]
+    for size in (1, 2, 3, 100):
+        text = parts_of(eventlog.session_text(ev, part_rows=size))
+        own, pieces = F.col("searchable_text"), F.col("pieces")
+        cols = [pattern_found(p, own, pieces).alias(f"p{i}") for i, p in enumerate(CHAINS)] + [text_found(w, own).alias(f"w{i}") for i, w in enumerate(words)]
+        for r in text.groupBy("session_id").agg(*cols, opening_of(own, 7).alias("opening")).collect():
+            whole = "\n".join(said[r.session_id])
+            for i, p in enumerate(CHAINS):
+                assert r[f"p{i}"] == bool(re.search(p, whole, re.I)), (size, p, whole)
+            assert [r[f"w{i}"] for i in range(len(words))] == [w in whole for w in words]
+            assert r.opening == whole[:7]
+
+
+def test_a_match_spans_any_number_of_events(spark):
+    rows = [(i, "s", "USER_QUERY", i, "transfer" if i == 0 else "refund" if i == 299 else f"line {i}") for i in range(300)]
+    ev = complete(spark.createDataFrame(rows, "event_id long, session_id string, event_type string, s long, content string")
+                  .withColumn("timestamp", F.timestamp_seconds("s")).drop("s"))
+    own, pieces = F.col("searchable_text"), F.col("pieces")
+    for size in (2, 10_000):
+        got = eventlog.session_text(ev, part_rows=size).groupBy("session_id").agg(
+            pattern_found(r"(?s)transfer.*refund", own, pieces).alias("over"), pattern_found(r"(?s)refund.*transfer", own, pieces).alias("back"),
+            pattern_found(r"line 5(?=\nline)", own, pieces).alias("per_event")).first()
+        assert tuple(got)[1:] == (True, False, False)
+
+
+def test_patterns_of_another_form_are_searched_per_event():
+    assert all(chains_of(p) is None for p in (r"a(?=b)", r"(a\s)+b", r"(?m)^a", r"(a)\1", r"\s{1,40}", "("))
+    assert all(chains_of(p) for p in CHAINS)
+
+
 @pytest.mark.parametrize("limit", [20, 10_000])
 def test_mann_whitney_u_sums(spark, limit):
     rows = [(k, c, float(RNG.randrange(40))) for k in ("x", "y") for c, n in (("before", 60), ("after", 45)) for _ in range(n)]

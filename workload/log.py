@@ -68,14 +68,14 @@ def _(spark, sf):
   string_agg(lower(props), chr(10) ORDER BY us, event_id) AS searchable_text FROM ev GROUP BY session_id""")
 def _(spark, sf):
     t = eventlog.session_text(events(spark, sf))
-    return t.withColumn("part", F.col("part").cast("long"))
+    return t.select("session_id", F.col("part").cast("long").alias("part"), "searchable_text")
 
 
 @add("d20_searchable_text_chat", f"""WITH {CHAT} SELECT session_id, CAST(0 AS BIGINT) AS part,
   string_agg(lower(content), chr(10) ORDER BY us) AS searchable_text FROM chat WHERE content <> '' GROUP BY session_id""")
 def _(spark, sf):
     t = eventlog.session_text(chat_events(spark, sf))
-    return t.withColumn("part", F.col("part").cast("long"))
+    return t.select("session_id", F.col("part").cast("long").alias("part"), "searchable_text")
 
 
 AUDIT = """SELECT session_id, shown AS events_shown, raw AS raw_event_count, types AS active_types,

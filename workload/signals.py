@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions.predicates import predicate
 from parley.functions.text import normal_name, slug
 from parley.operators import digest as D, eventlog, intent as I, primitives as P, sampling, signals as S
 from workload.binding import EV, chat_events, events, price, table
@@ -25,7 +26,7 @@ LEXICON = {
 
 def _documents(spark, sf):
     d = table(spark, sf, "documents")
-    text = d.select("doc_id", F.lit(0).alias("part"), F.lower("text").alias("searchable_text"))
+    text = d.select("doc_id", F.lit(0).alias("part"), F.lit(True).alias("last"), F.lower("text").alias("searchable_text"))
     none = F.array().cast("array<string>")
     tool = F.regexp_replace("source", "src", "src_").alias("t")
     hits = d.select("doc_id", F.struct(
@@ -114,10 +115,15 @@ PLAN = {
         {"name": "asks", "method": "rule_based", "spec": {"keywords": ["on", "zzz"], "regex": ["[?]"], "min_hits": 1}},
         {"name": "turn_count", "method": "rule_based", "spec": {"keywords": ["on"]}},
         {"name": "agent_path", "method": "rule_based", "spec": {}},
+        {"name": "single", "method": "rule_based", "spec": {"keywords": ["zzz", "?"], "labels": ["asks"]}},
+        {"name": "early", "method": "rule_based", "spec": {"regex": ["[?]"], "scope": "opening_turns"}},
     ],
     "classical_signals_required": [
         {"name": "path_label", "kind": "agent_path_label"},
         {"name": "has_re", "kind": "regex_on_transcript", "pattern": "RE\\w"},
+        {"name": "later", "kind": "regex_on_transcript", "pattern": "(?s)[?].*ing.*on\\s"},
+        {"name": "plain", "kind": "regex_on_transcript", "pattern": "ing[^?]*[.][^?]*re\\s+[a-z]"},
+        {"name": "closes", "kind": "regex_on_transcript", "pattern": "[?]\\s*$"},
         {"name": "first_on", "kind": "turn_index", "contains": "on"},
         {"name": "gap", "kind": "duration_between", "event_type_a": "USER_QUERY", "event_type_b": "RESPONSE.FINAL"},
         {"name": "first_agent", "kind": "conditional_metadata", "event_type": "RESPONSE.FINAL", "field": "agent_name"},
@@ -130,13 +136,18 @@ PLAN = {
     (max(us) FILTER (event_type = 'RESPONSE.FINAL') - min(us) FILTER (event_type = 'USER_QUERY')) // 1000 AS gap FROM chat GROUP BY session_id),
   f AS (SELECT session_id, min(idx) FILTER (contains(lower(text), 'on')) AS first_on FROM tr GROUP BY 1)
   SELECT session_id, turn_count, CASE WHEN contains(txt, 'on')::INT + contains(txt, 'zzz')::INT + contains(txt, '?')::INT >= 1 THEN 'match' ELSE 'other' END AS asks,
+    CASE WHEN contains(txt, 'zzz') OR contains(txt, '?') THEN 'asks' ELSE 'false' END AS single, NOT (contains(txt, 'zzz') OR contains(txt, '?')) AS quiet,
+    CASE WHEN contains(substr(txt, 1, 800), '?') THEN 'match' ELSE 'other' END AS early,
+    regexp_matches(txt, '(?s)[?].*ing.*on\\s') AS later, regexp_matches(txt, 'ing[^?]*[.][^?]*re\\s+[a-z]') AS plain, regexp_matches(txt, '[?]\\s*$') AS closes,
     regexp_matches(txt, 're\\w') AS has_re, coalesce(agent, '') AS path_label, coalesce(first_on, -1) AS first_on, gap, agent AS first_agent
   FROM x LEFT JOIN f USING (session_id)""")
 def _(spark, sf):
     ev = chat_events(spark, sf)
     fv = P.primitives(ev, price(spark)).select("session_id", "turn_count", "agent_path")
-    out = S.with_signals(fv, PLAN, eventlog.session_text(ev), ev, eventlog.transcript(eventlog.turns(ev)))
-    return out.select("session_id", "turn_count", "asks", "has_re", "path_label", "first_on", "gap", "first_agent")
+    # two events to a part: rules must find what lies over any number of them
+    out = S.with_signals(fv, PLAN, eventlog.session_text(ev, part_rows=2), ev, eventlog.transcript(eventlog.turns(ev)))
+    out = out.withColumn("quiet", predicate({"op": "CMP", "name": "single", "cmp": "==", "value": False}, out))
+    return out.select("session_id", "turn_count", "asks", "single", "quiet", "early", "later", "plain", "closes", "has_re", "path_label", "first_on", "gap", "first_agent")
 
 
 @add("f5_turn_index", f"""WITH {TURNS} SELECT session_id, coalesce(min(idx) FILTER (contains(lower(text), 'en')), -1) AS turn_index FROM tr GROUP BY session_id""")
@@ -241,6 +252,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_type", normal_name(F.col("p_type")).alias("name")).distinct()
 
 
-@add("k2_slug", """SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'study') AS slug FROM documents""")
+@add("k2_slug", """SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'study') AS slug FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", slug(F.col("text")).alias("slug"))
