@@ -82,39 +82,45 @@ def _found(terms: list[tuple[int, str]], value: Column, test) -> Column:
     return F.get(hits, F.lit(0))
 
 
-#: Characters of a gram, terms from which on they are looked up by gram, and terms sent to every executor at most.
-GRAM, INDEXED_TERMS, BROADCAST_TERMS = 3, 256, 1_000_000
+#: Terms from which on they are looked up by gram, and sent to every executor at most.
+INDEXED_TERMS, BROADCAST_TERMS = 256, 1_000_000
+#: Characters of a gram, at most, and letters a gram is reckoned to have: grams are to outnumber the terms by far.
+LONGEST_GRAM, LETTERS, SPARE = 6, 26, 8
 
 
-def term_index(terms: list[tuple[int, str]]) -> list[tuple[str, int, str]]:
+def gram_length(terms: int, most: int = LONGEST_GRAM) -> int:
+    return next((q for q in range(2, most) if LETTERS ** q >= SPARE * terms), most)
+
+
+def term_index(terms: list[tuple[int, str]], q: int) -> list[tuple[str, int, str]]:
     """(gram, number, term): each term under the one of its grams that the fewest terms have."""
-    grams = {t: sorted({t[i:i + GRAM] for i in range(len(t) - GRAM + 1)}) for _, t in terms}
+    grams = {t: sorted({t[i:i + q] for i in range(len(t) - q + 1)}) for _, t in terms}
     common = Counter(g for own in grams.values() for g in own)
     return [(min(grams[t], key=lambda g: (common[g], g)), n, t) for n, t in terms]
 
 
-def _grams(text: Column) -> Column:
+def _grams(text: Column, q: int) -> Column:
     """The distinct grams of a text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
-def _in_text(rows: DataFrame, key: str, value: str, terms: list[tuple[int, str]]) -> DataFrame:
+def _in_text(rows: DataFrame, key: str, value: str, terms: list[tuple[int, str]], most: int = LONGEST_GRAM) -> DataFrame:
     """(key, n): terms that the text ``value`` of a row holds.
 
     Of many terms only those are compared that share their rarest gram with the text, so the
-    work grows with the text and with what it shares, not with the number of terms.
+    work grows with the text and with what it shares, not with the number of terms. Terms
+    shorter than a gram go by shorter ones.
     """
-    indexed = [(n, t) for n, t in terms if len(t) >= GRAM] if len(terms) > INDEXED_TERMS else []
-    plain = [(n, t) for n, t in terms if len(t) < GRAM] if indexed else terms
-    # the arrays are built in their own projection, where shared parts are computed once;
-    # an inner explode would add a filter that computes them a second time
-    out = rows.select(key, _found(plain, F.col(value), F.contains).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
-    if indexed:
-        index = rows.sparkSession.createDataFrame(term_index(indexed), "gram string, n int, term string")
-        index = F.broadcast(index) if len(indexed) <= BROADCAST_TERMS else index
-        shared = rows.select(key, value, F.explode(_grams(F.col(value))).alias("gram")).join(index, "gram")
-        out = out.unionByName(shared.where(F.contains(value, "term")).select(key, "n"))
-    return out
+    if len(terms) <= INDEXED_TERMS or most < 1:
+        # the arrays are built in their own projection, where shared parts are computed once;
+        # an inner explode would add a filter that computes them a second time
+        return rows.select(key, _found(terms, F.col(value), F.contains).alias("_n")).select(key, F.explode_outer("_n").alias("n"))
+    q = gram_length(len(terms), most)
+    index = rows.sparkSession.createDataFrame(term_index([(n, t) for n, t in terms if len(t) >= q], q), "gram string, n int, term string")
+    index = F.broadcast(index) if len(terms) <= BROADCAST_TERMS else index
+    shared = rows.select(key, value, F.explode(_grams(F.col(value), q)).alias("gram")).join(index, "gram")
+    rest = _in_text(rows, key, value, [(n, t) for n, t in terms if len(t) < q], q - 1)
+    return shared.where(F.contains(value, "term")).select(key, "n").unionByName(rest)
 
 
 def term_hits(text: DataFrame, hits: DataFrame, lexicon: Lexicon, key: str = "session_id") -> DataFrame:

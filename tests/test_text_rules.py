@@ -49,7 +49,8 @@ def test_many_terms_are_found_as_few_are(spark, monkeypatch, indexed):
 
 
 def test_a_term_lies_under_its_rarest_gram():
-    index = {t: g for g, _, t in intent.term_index([(0, "abcd"), (1, "abce"), (2, "xabc"), (3, "bcd")])}
+    index = {t: g for g, _, t in intent.term_index([(0, "abcd"), (1, "abce"), (2, "xabc"), (3, "bcd")], 3)}
+    assert [intent.gram_length(n) for n in (50, 500, 50_000, 10**9)] == [2, 3, 4, 6]
     assert index == {"abcd": "bcd", "abce": "bce", "xabc": "xab", "bcd": "bcd"}
 
 
