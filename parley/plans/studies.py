@@ -20,6 +20,7 @@ from parley.operators.primitives import SESSION_ROWS, primitives, session_rollup
 from parley.operators.scope import cohorts, events_for
 from parley.operators.signals import Scorer, enrich, hypothesis_flags, with_signals
 from parley.operators.vectors import embed
+from parley.plans.feature_store import FeatureStore
 from parley.session import stage
 
 
@@ -52,21 +53,37 @@ def _n_eval(study: Mapping[str, Any]) -> int | None:
 
 
 def build_cohorts(s: DataFrame, ev: DataFrame, study: Mapping[str, Any], lexicon: Lexicon, price: DataFrame,
-                  vec_dim: int | None = None, encoder: Callable[[Column], Column] | None = None) -> StudyCohorts:
+                  vec_dim: int | None = None, encoder: Callable[[Column], Column] | None = None,
+                  store: FeatureStore | None = None) -> StudyCohorts:
     """Scope, clean, measure, classify, filter and sample the sessions of a study.
 
     Intent is scored before filtering, so a filter and the sample's strata see
     it. ``n_eval`` sessions per cohort are drawn from those that pass the filters.
-    Opening vectors are added after filtering, and only when ``vec_dim`` is given.
+    Opening vectors are added after filtering, and only when ``vec_dim`` is given. With a
+    ``store``, only sessions whose log has changed since they were stored are read whole and
+    measured; its signature should name the lexicon and the prices.
     """
     raw = cohorts(s, study).select("session_id", "cohort")
     n = _n_eval(study)
     raw = stage(raw)
-    # the study's share of the log is read and cleaned once, then kept
-    clean = stage(eventlog.dedupe_session_end(events_for(complete(ev), raw)))
-    large = large_keys(clean, ["session_id"], SESSION_ROWS)
-    text = eventlog.session_text(clean, large=large)
-    fv = with_intent(primitives(clean, price, large=large), text, lexicon)
+    share = events_for(complete(ev), raw)
+
+    def measure(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        # read and cleaned once, then kept
+        clean = stage(eventlog.dedupe_session_end(part))
+        large = large_keys(clean, ["session_id"], SESSION_ROWS)
+        text = eventlog.session_text(clean, large=large)
+        return with_intent(primitives(clean, price, large=large), text, lexicon), clean, text
+
+    if store is None:
+        fv, clean, text = measure(share)
+    else:
+        store.refresh(share, lambda part: measure(part)[0], whole=False)
+        fv = store.read()
+        if fv is None:  # no session in scope has events
+            fv = measure(share)[0]
+        clean = eventlog.dedupe_session_end(share)
+        text = eventlog.session_text(clean)
     rows = _fill(raw.join(fv, "session_id", "left"))
     split = (study.get("traffic_split") or {}).get("value")
     kept = rows.where(traffic_split(split) & cohort_filter(study.get("cohort_filters")))

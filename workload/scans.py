@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parley.functions.events import micros
 from parley.operators import eventlog, scope
+from parley.operators.primitives import primitives
+from parley.plans.feature_store import FeatureStore
+from parley.session import shared_folder
 from parley.sources.sinks import missing_only
-from workload.binding import S, events, sessions, table
+from workload.binding import EV, S, events, price, sessions, table
+from workload.measures import TURN_COUNT
 from workload.registry import add, joined
 
 SCOPE = dict(tenant="t1", origin_id="o1", start="2024-01-03 00:00:00", end="2024-01-24 00:00:00")
@@ -107,6 +113,28 @@ def _(spark, sf):
     return missing_only(ids, have)
 
 
+LOG = "count(*) AS n, min(us) AS lo, max(us) AS hi, arg_max(event_id, CAST(us AS HUGEINT) * 10000000000 + event_id) AS last"
+
+
+@add("a9_incremental", f"""WITH {EV}, a AS (SELECT session_id, {LOG} FROM ev WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+  b AS (SELECT session_id, {LOG}, {TURN_COUNT} AS turn_count, (max(us) - min(us)) // 1000 AS session_duration_ms FROM ev WHERE user_id % 11 <> 0 GROUP BY 1)
+  SELECT coalesce(a.session_id, b.session_id) AS session_id, CASE WHEN b.n IS NULL THEN 'gone' WHEN a.n IS NULL THEN 'added'
+    WHEN (a.n, a.lo, a.hi, a.last) IS DISTINCT FROM (b.n, b.lo, b.hi, b.last) THEN 'changed' ELSE 'kept' END AS status, turn_count, session_duration_ms
+  FROM a FULL JOIN b ON a.session_id = b.session_id""")
+def _(spark, sf):
+    """The store after a first log, then after a later one in which sessions grew, came and went."""
+    ev = events(spark, sf)
+    store = FeatureStore(spark, f"{shared_folder(spark)}/features-{uuid.uuid4().hex}", buckets=16)
+
+    def measure(log):
+        return primitives(log, price(spark)).select("session_id", "turn_count", "session_duration_ms")
+
+    store.refresh(ev.where("timestamp < TIMESTAMP '2024-01-16'"), measure)
+    later = store.refresh(ev.where(F.substring_index("session_id", "-", 1).cast("long") % 11 != 0), measure)
+    out = store.read().join(later.touched, "session_id", "full")
+    return out.withColumn("status", F.coalesce("status", F.lit("kept")))
+
+
 @add("a17_preview_count", f"WITH {S} SELECT count(*) AS session_count FROM s WHERE {IN_SCOPE} AND voice_session_id IS NULL AND external_chat_session IS NOT NULL")
 def _(spark, sf):
     return scope.preview_count(sessions(spark, sf), channel="chat", **SCOPE)
