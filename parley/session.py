@@ -57,4 +57,13 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table of ``stage`` whose successor is written and that nothing reads any more."""
+    jvm, conf = staged.sparkSession._jvm, staged.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(staged._staged_at)
+    path.getFileSystem(conf).delete(path, True)
