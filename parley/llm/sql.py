@@ -100,14 +100,14 @@ edges AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM links UNION
     for name, seed, a, b in (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src")):
         parts.append(f"{name}_s AS (SELECT h.host, coalesce(o.{seed}, 0)::DOUBLE / greatest((SELECT sum({seed}) FROM own), 1) AS restart FROM hosts h LEFT JOIN own o ON o.host = h.host)")
         parts.append(f"{name}_e AS (SELECT {a} AS a, {b} AS b, weight / sum(weight) OVER (PARTITION BY {a}) AS share FROM edges)")
-        parts.append(f"{name}_0 AS (SELECT host, restart AS rank FROM {name}_s)")
-        for k in range(url_filter.ROUNDS):
-            parts.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT s.host, {1.0 - url_filter.DAMPING} * s.restart + {url_filter.DAMPING} * coalesce(g.given, 0) AS rank FROM {name}_s s
-  LEFT JOIN (SELECT b, sum(r.rank * e.share) AS given FROM {name}_e e JOIN {name}_{k} r ON r.host = e.a GROUP BY b) g ON g.b = s.host)""")
-    n = url_filter.ROUNDS
-    return ",\n".join(parts) + f"""
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN d.rank * c.n >= {url_filter.THRESHOLD} AND d.rank > t.rank THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN trust_{n} t ON t.host = j.host LEFT JOIN distrust_{n} d ON d.host = j.host CROSS JOIN (SELECT count(*) AS n FROM hosts) c"""
+        # what is pending at a host, round by round; after 200 rounds 10^-14 of it is left
+        parts.append(f"""{name}_p(k, host, pending) AS (SELECT 0, host, {1.0 - url_filter.DAMPING} * restart FROM {name}_s WHERE restart > 0
+  UNION ALL SELECT k + 1, b, {url_filter.DAMPING} * sum(pending * share) FROM {name}_p JOIN {name}_e ON a = host WHERE k < 200 GROUP BY k, b)""")
+        parts.append(f"{name} AS (SELECT host, sum(pending) AS rank FROM {name}_p GROUP BY host)")
+    t, d = "coalesce(t.rank, 0) * c.n", "coalesce(d.rank, 0) * c.n"
+    return ",\n".join(parts).replace("WITH u AS", "WITH RECURSIVE u AS", 1) + f"""
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN {d} >= {url_filter.THRESHOLD} AND {d} > {t} + {url_filter.TOLERANCE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN trust t ON t.host = j.host LEFT JOIN distrust d ON d.host = j.host CROSS JOIN (SELECT count(*) AS n FROM hosts) c"""
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -10,27 +10,27 @@ as a multiple of the mean share, reaches a threshold and exceeds its trust.
 Pages of a null url, or one without "://", have an empty host and path; no rule fits, and
 the empty host is allowed. Null html has no links. Repeated rows count as often as they
 occur. An empty table gives no rows. All of it is built-in column functions and joins; the
-iteration runs over hosts, not pages, every few rounds are written to the shared folder, and
-it goes on until the ranks have settled.
+iteration runs over hosts, not pages. It adds up what is still pending at the hosts that hold
+any, writes every few rounds to the shared folder in place of the table before, and goes on
+until what may still come can change no host's verdict.
 """
 
 from __future__ import annotations
 
-from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.llm.common import carried, prepare
-from parley.session import stage
+from parley.session import discard, stage
 
 DAMPING = 0.85
-#: Rounds where a fixed number is asked for, as in the SQL twin; too few to settle.
-ROUNDS = 8
-#: How far a settled rank is from its limit at most, in multiples of an equal share.
-TOLERANCE = 1e-3
+#: Ranks that differ by no more, in multiples of an equal share, are equal.
+TOLERANCE = 1e-6
 #: Rounds between two written tables.
 WRITTEN = 4
+#: Rows of ranks and edges meant for one task.
+TASK_ROWS = 200_000
 #: Distrust, in multiples of an equal share, that blocks a host.
 THRESHOLD = 0.5
 #: Weight of the edge between a host and its parent, beside links of weight 1 each.
@@ -108,55 +108,75 @@ def host_graph(pages: DataFrame, url_col: str = "url", html_col: str = "html", r
     return stage(hosts.join(own, "host", "left").fillna(0, ["allowed", "blocked"])), stage(edges)
 
 
-def spread(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def _blocked(trust: Column, distrust: Column, threshold: float) -> Column:
+    return (distrust >= threshold) & (distrust > trust + TOLERANCE)
+
+
+def _is_open(ranks: DataFrame, damping: float, threshold: float) -> bool:
+    """Whether what is still to come may change a host's verdict.
+
+    What is pending in all can add at most its sum / (1 - damping) to a rank. Mostly a closer bound holds:
+    all parts are positive, and the sums over one block of rounds follow from those over the block before
+    by one and the same positive linear map, so if no rank's sum is more than r times that of the block
+    before, no later one is, and at most r / (1 - r) times the last sum is still to come.
+    """
+    grown = F.when(F.col("block") > 0, F.coalesce(F.col("block") / F.nullif("last", F.lit(0.0)), F.lit(float("inf"))))
+    of = lambda against, c: F.sum(F.when(F.col("against") == against, c).otherwise(0.0))
+    r, trust_left, distrust_left = ranks.agg(F.coalesce(F.max(grown), F.lit(0.0)), of(False, F.col("pending")), of(True, F.col("pending"))).first()
+    left = F.when(F.col("against"), (distrust_left or 0.0) / (1.0 - damping)).otherwise((trust_left or 0.0) / (1.0 - damping))
+    most = F.least(left, F.col("block") * (r / (1.0 - r))) if r < 1.0 else left
+    hosts = ranks.groupBy("host").agg(of(False, F.col("value")).alias("t"), of(True, F.col("value")).alias("d"), of(False, most).alias("t_more"), of(True, most).alias("d_more"))
+    t, d, t_more, d_more = map(F.col, ("t", "d", "t_more", "d_more"))
+    sure = _blocked(t + t_more, d, threshold) | ~((d + d_more >= threshold) & (d + d_more > t + TOLERANCE))
+    return not hosts.filter(~sure & (t_more + d_more > TOLERANCE)).isEmpty()
+
+
+def spread(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """host, trust and distrust: personalised PageRank from allowed along and from blocked against the edges.
 
     Both are multiples of an equal share, and one table holds both, so a round is one join
     and one sum. What a host without edges holds goes back to the seeds only through the
-    restart. Without ``rounds`` it goes on until no rank can move by more than ``tolerance``:
-    a round's change is at most ``damping`` times the last one's, so all later rounds
-    together move at most the last change times damping / (1 - damping).
+    restart. A round adds what is pending at a host to its rank and passes it on; ranks only grow.
     """
     n, allowed, blocked = hosts.agg(F.count("*"), F.sum("allowed"), F.sum("blocked")).first()
-    seeds = lambda seed, total, against: F.struct(F.lit(against).alias("against"), (F.col(seed) * float(n) / float(max(total or 0, 1))).alias("restart"))
-    start = stage(hosts.select("host", F.inline(F.array(seeds("allowed", allowed, False), seeds("blocked", blocked, True)))))
     ways = edges.select(F.inline(F.array(
         F.struct(F.lit(False).alias("against"), "src", "dst", "weight"),
         F.struct(F.lit(True).alias("against"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))))
     out = ways.groupBy("against", "src").agg(F.sum("weight").alias("all"))
-    share = stage(ways.join(out, ["against", "src"]).select("against", "src", "dst", (damping * F.col("weight") / F.col("all")).alias("share")))
-    nothing = F.lit(0.0).alias("last")
-    restart = start.select("against", "host", ((1.0 - damping) * F.col("restart")).alias("part"), nothing)
-    rank = start.select("against", F.col("host").alias("src"), F.col("restart").alias("rank"))
-    for k in count(1) if rounds is None else range(1, rounds + 1):
-        given = share.join(rank, ["against", "src"]).select("against", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("part"), nothing)
-        written = k % WRITTEN == 0 or k == rounds
-        parts = given.union(restart)
-        if written:
-            parts = parts.union(rank.select("against", "src", F.lit(0.0), "rank"))
-        rank = parts.groupBy("against", F.col("host").alias("src")).agg(F.sum("part").alias("rank"), F.sum("last").alias("last"))
-        if written:
-            rank = stage(rank)
-            moved = rank.agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0 if rounds is None else None
-            if moved is not None and moved * damping <= tolerance * (1.0 - damping):
-                break
-        rank = rank.drop("last")
-    of = lambda against: F.sum(F.when(F.col("against") == against, F.col("rank")).otherwise(0.0))
-    return rank.groupBy(F.col("src").alias("host")).agg(of(False).alias("trust"), of(True).alias("distrust"))
-
-
-def standing(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+    few = lambda rows: max(1, -(-rows // TASK_ROWS))
+    share = stage(ways.join(out, ["against", "src"]).select("against", "src", "dst", (damping * F.col("weight") / F.col("all")).alias("share")).coalesce(few(2 * edges.count())))
+    seeds = lambda seed, total, against: F.struct(F.lit(against).alias("against"), ((1.0 - damping) * F.col(seed) * float(n) / float(max(total or 0, 1))).alias("pending"))
+    none = F.lit(0.0)
+    ranks = hosts.select("host", F.inline(F.array(seeds("allowed", allowed, False), seeds("blocked", blocked, True)))).select(
+        "against", "host", none.alias("value"), "pending", none.alias("block"), none.alias("last"))
+    ranks = stage(ranks.coalesce(few(2 * n)))
+    while True:
+        before = ranks
+        ranks = ranks.select("against", "host", "value", "pending", none.alias("block"), F.col("block").alias("last"))
+        for _ in range(WRITTEN):
+            passed = ranks.filter("pending > 0").withColumnRenamed("host", "src").join(share, ["against", "src"]).select(
+                "against", F.col("dst").alias("host"), none.alias("value"), (F.col("pending") * F.col("share")).alias("pending"), none.alias("block"), none.alias("last"))
+            taken = ranks.select("against", "host", (F.col("value") + F.col("pending")).alias("value"), none.alias("pending"), (F.col("block") + F.col("pending")).alias("block"), "last")
+            ranks = taken.union(passed).groupBy("against", "host").agg(*[F.sum(c).alias(c) for c in ("value", "pending", "block", "last")]).coalesce(few(2 * n))
+        ranks = stage(ranks)
+        discard(before)
+        if not _is_open(ranks, damping, threshold):
+            break
+    of = lambda against: F.sum(F.when(F.col("against") == against, F.col("value")).otherwise(0.0))
+    return ranks.groupBy("host").agg(of(False).alias("trust"), of(True).alias("distrust"))
+
+
+def standing(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """host, trust, distrust (multiples of an equal share) and whether the host is blocked."""
-    ranks = spread(hosts, edges, damping, rounds)
-    return ranks.withColumn("bad", (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")))
+    return spread(hosts, edges, damping, threshold).withColumn("bad", _blocked(F.col("trust"), F.col("distrust"), threshold))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES,
-                damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+                damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row."""
     prepare(pages.sparkSession)
     hosts, edges = host_graph(pages, url_col, html_col, rules)
-    known = standing(hosts, edges, damping, rounds, threshold).withColumnRenamed("host", "known")
+    known = standing(hosts, edges, damping, threshold).withColumnRenamed("host", "known")
     rows = judged(pages, url_col, rules).select(F.col(f"row.`{id_col}`").alias("page_id"), "host", "path", "rule", "ruled")
     bad = F.coalesce("bad", F.lit(False))
     return rows.join(known, rows["host"] == known["known"], "left").select(
