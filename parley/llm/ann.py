@@ -6,11 +6,13 @@ levels, and for every level a table of neighbour numbers. Query blocks are dealt
 shards, each answers with its nearest points, and the answers are merged. Points stand
 for all their vectors again when ranks are given, smaller ids first.
 
-Vectors that are null, all zero, or hold null or non-finite components take no part, nor
-do vectors of another length than the most common one. A query's own row is no candidate;
-rows that repeat its vector under another id are. Rows with a null id take no part; of
-rows that repeat an id the least vector stands. A shard of few points is searched whole.
-An empty table gives no rows.
+Ties go to the point with the smallest id: a search widens until it has seen all points as
+far as its last one, and sums distances in the order of the components, as the score does.
+
+Vectors that are null, all zero, or hold null or non-finite components take no part. Vectors
+of different lengths have no distance; each length is searched by itself. Every row is a row
+of its own: a query's own row is no candidate, rows that repeat its vector or its id are. A
+null id asks nothing and comes last in ties. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,18 +31,20 @@ K = 10
 LINKS, BUILD, SEARCH = 16, 96, 128
 SHARD_POINTS = 4_096
 QUERY_BLOCK = 512
-WHOLE = 512
 SEED = 7
 
-INDEX = "shard int, n int, dim int, entry int, vectors binary, top binary, ground binary, upper_at binary, upper binary"
+INDEX = "dim int, shard long, n int, entry int, vectors binary, least binary, top binary, ground binary, upper_at binary, upper binary"
+#: What stands for a null id in ties.
+LAST = np.iinfo(np.int64).max
 
 
 class Graph:
-    """Flat arrays: vectors (n, dim), ground (n, 2*LINKS), upper rows of LINKS from ``upper_at[i]`` on, -1 for none."""
+    """Flat arrays: vectors (n, dim), the smallest id of each, ground (n, 3*LINKS), upper rows of LINKS from ``upper_at[i]`` on, -1 for none."""
 
-    def __init__(self, vectors: np.ndarray, links: int = LINKS, build: int = BUILD) -> None:
+    def __init__(self, vectors: np.ndarray, least: np.ndarray | None = None, links: int = LINKS, build: int = BUILD) -> None:
         self.v, self.links, self.build = vectors, links, build
         n = len(vectors)
+        self.least = np.arange(n, dtype=np.int64) if least is None else least
         draw = np.random.default_rng(SEED).random(n)
         self.top = np.minimum((-np.log(1.0 - draw) / np.log(links)).astype(np.int32), 12)
         self.upper_at = np.concatenate([[0], np.cumsum(self.top)[:-1]]).astype(np.int32) if n else np.zeros(0, np.int32)
@@ -51,12 +55,14 @@ class Graph:
         self._mark, self._round = np.zeros(n, np.int64), 0
         for i in range(1, n):
             self._insert(i)
+        self._join_up()
 
     @classmethod
     def stored(cls, row) -> Graph:
         g = cls.__new__(cls)
         n, links = row.n, LINKS
         g.v = np.frombuffer(row.vectors, np.float64).reshape(n, row.dim)
+        g.least = np.frombuffer(row.least, np.int64)
         g.top, g.upper_at = np.frombuffer(row.top, np.int32), np.frombuffer(row.upper_at, np.int32)
         g.ground = np.frombuffer(row.ground, np.int32).reshape(n, -1)
         g.upper = np.frombuffer(row.upper, np.int32).reshape(-1, links)
@@ -81,7 +87,7 @@ class Graph:
         mark, now = self._mark, self._round
         for _, i in start:
             mark[i] = now
-        todo, best = list(start), [(-d, -i) for d, i in start]
+        todo, best = sorted(start), [(-d, -i) for d, i in start]
         heapq.heapify(todo)
         heapq.heapify(best)
         while todo:
@@ -157,55 +163,88 @@ class Graph:
             table[at, used[at]] = j
             used[at] += 1
 
+    def _join_up(self) -> None:
+        """Links on the ground level to points that no walk from the entry reaches."""
+        seen, extra = np.zeros(len(self.v), bool), {}
+
+        def walk(todo: list[int]) -> None:
+            while todo:
+                near = self.neighbours(todo.pop(), 0)
+                near = near[~seen[near]]
+                seen[near] = True
+                todo += near.tolist()
+
+        for i in [self.entry, *range(len(self.v))] if len(self.v) else []:
+            if not seen[i]:
+                seen[i] = True
+                if i != self.entry:
+                    near = [j for j in self.neighbours(i, 0).tolist() if seen[j]] or [self.entry]
+                    extra.setdefault(min(near, key=lambda j: len(extra.get(j, ()))), []).append(i)
+                walk([i])
+        if extra:
+            wide = np.full((len(self.v), max(map(len, extra.values()))), -1, np.int32)
+            for j, more in extra.items():
+                wide[j, :len(more)] = more
+            self.ground = np.concatenate([self.ground, wide], axis=1)
+
     def search(self, q: np.ndarray, k: int, ef: int = SEARCH) -> list[tuple[float, int]]:
-        """The k nearest points found; all points are compared where the graph is small."""
-        if len(self.v) <= max(WHOLE, k):
-            d = self.distances(q, np.arange(len(self.v)))
-            order = np.argsort(d, kind="stable")[:k]
-            return [(float(d[i]), int(i)) for i in order]
-        return self.layer(q, self._descend(q, 0), max(ef, k), 0)[:k]
+        """The k nearest points found, as (distance, point); of equally far ones those of the smallest ids."""
+        start, ef = self._descend(q, 0), max(ef, k)
+        if start[0][1] != self.entry:  # from where every point can be reached
+            start.append((float(self.distances(q, np.array([self.entry]))[0]), self.entry))
+        while True:
+            found = self.layer(q, start, ef, 0)
+            # a hair above the k-th, as sums in another order differ in the last digit
+            if len(found) < ef or found[-1][0] > found[k - 1][0] * (1.0 + 1e-9):
+                break
+            ef *= 2
+        ids = np.array([i for _, i in found], np.int64)
+        score = np.sqrt(np.cumsum(np.square(self.v[ids] - q), axis=1)[:, -1])
+        order = np.lexsort((self.least[ids], score))[:k]
+        return [(float(score[i]), int(ids[i])) for i in order]
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and ``v`` of doubles, only rows that take part; -0.0 is 0.0."""
     v = F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda x: x + F.lit(0.0))
-    rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).filter("v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(finite & F.exists("v", lambda x: x != 0.0))
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    return rows.filter(F.size("v") == (sizes[0].dim if sizes else 0))
+    return rows.filter(finite & F.exists("v", lambda x: x != 0.0))
 
 
-def build_index(points: DataFrame, shards: int) -> DataFrame:
-    """One row of flat arrays per shard, written to the shared folder; ``points`` has distinct ``v``."""
+def build_index(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """One row of flat arrays per length and shard, written to the shared folder; ``points`` has distinct ``v`` and their ``least`` ids."""
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(sorted(map(tuple, group["v"])), np.float64)
-        g = Graph(v)
-        raw = [x.tobytes() for x in (g.v, g.top, g.ground, g.upper_at, g.upper)]
-        return pd.DataFrame([[int(group["shard"].iloc[0]), *v.shape, g.entry, *raw]], columns=[c.split()[0] for c in INDEX.split(", ")])
+        group = group.assign(v=[tuple(x) for x in group["v"]]).sort_values("v")
+        g = Graph(np.array(group["v"].tolist(), np.float64), group["least"].to_numpy(np.int64))
+        raw = [x.tobytes() for x in (g.v, g.least, g.top, g.ground, g.upper_at, g.upper)]
+        return pd.DataFrame([[int(group["dim"].iloc[0]), int(group["shard"].iloc[0]), len(g.v), g.entry, *raw]], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    return stage(points.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v").groupBy("shard").applyInPandas(build, INDEX))
+    sized = points.withColumn("dim", F.size("v"))
+    shards = sized.groupBy("dim").agg(F.ceil(F.count("*") / float(shard_points)).cast("long").alias("shards"))
+    dealt = sized.join(shards, "dim").select("dim", F.pmod(F.xxhash64("v"), "shards").alias("shard"), "v", "least")
+    return stage(dealt.groupBy("dim", "shard").applyInPandas(build, INDEX))
 
 
-def search(index: DataFrame, shards: int, queries: DataFrame, k: int, ef: int = SEARCH) -> DataFrame:
-    """(query_id, v, d): for every query (query_id, q) the k nearest points of each shard."""
+def search(index: DataFrame, queries: DataFrame, k: int, ef: int = SEARCH) -> DataFrame:
+    """(query, v, d, least): for every query (query, q) the k nearest points of each shard of its length."""
     blocks = F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))
-    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), blocks).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    work = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).join(index, "shard")
+    asked = queries.groupBy(F.size("q").alias("dim"), F.pmod(F.xxhash64("query"), blocks).alias("block")).agg(F.collect_list(F.struct("query", "q")).alias("queries"))
+    work = asked.join(index, "dim").drop("block")
 
     def answer(batches):
         held, graph = None, None
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
-                if row.shard != held:
-                    held, graph = row.shard, Graph.stored(row)
+                if (row.dim, row.shard) != held:
+                    held, graph = (row.dim, row.shard), Graph.stored(row)
                 for ask in row.queries:
                     for d, i in graph.search(np.array(ask["q"], np.float64), k, ef):
-                        out.append((ask["query_id"], graph.v[i].tolist(), d))
-            yield pd.DataFrame(out, columns=["query_id", "v", "d"])
+                        out.append((ask["query"], graph.v[i].tolist(), d, int(graph.least[i])))
+            yield pd.DataFrame(out, columns=["query", "v", "d", "least"])
 
-    return work.mapInPandas(answer, "query_id bigint, v array<double>, d double")
+    return work.mapInPandas(answer, "query bigint, v array<double>, d double, least bigint")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -215,18 +254,18 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     ``is_query`` tells from ``vec_id`` which rows ask.
     """
     prepare(vectors.sparkSession)
-    rows = stage(valid(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))
-    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    points = stage(rows.select("v").distinct())
-    shards = max(1, -(-points.count() // shard_points))
-    found = search(build_index(points, shards), shards, queries, k + 1, ef)
+    rows = stage(valid(vectors, id_col, vector_col).withColumn("key", F.monotonically_increasing_id()))
+    queries = rows.filter(is_query).select(F.col("key").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    points = stage(rows.groupBy("v").agg(F.min(F.coalesce("vec_id", F.lit(LAST))).alias("least")))
+    found = search(build_index(points, shard_points), queries.select("query", "q"), k + 1, ef)
     # of equal vectors a query needs no more than the k + 1 smallest ids
-    place = Window.partitionBy("v").orderBy("vec_id")
-    ids = rows.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k + 1).select("vec_id", "v")
-    near = Window.partitionBy("query_id").orderBy("d", "v")
+    by_id = [F.col("vec_id").asc_nulls_last(), "key"]
+    place = Window.partitionBy("v").orderBy(*by_id)
+    ids = rows.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k + 1).select("key", "vec_id", "v")
+    near = Window.partitionBy("query").orderBy("d", "least", "v")
     best = found.withColumn("place", F.row_number().over(near)).filter(F.col("place") <= k + 1)
-    pairs = stage(best.select("query_id", "v", "d")).join(ids, "v").filter("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    scored = pairs.join(queries, "query_id").withColumn(
+    pairs = stage(best.select("query", "v")).join(ids, "v").filter("key <> query")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", *by_id))
+    scored = pairs.join(queries, "query").withColumn(
         "score", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -119,17 +119,63 @@ def test_recall_on_hard_vectors(spark):
     check_recall(df, vectors, 0.9, shard_points=1600)
 
 
+def exact(rows, asks, k=10):
+    """(query_id, rank, vec_id, score) of every row that asks; rows are (id, vector)."""
+    ok = [(i, [float(x) + 0.0 for x in v]) for i, v in rows if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    out = []
+    for a, (q, v) in enumerate(ok):
+        if q is None or not asks(q):
+            continue
+        near = []
+        for b, (i, w) in enumerate(ok):
+            if b != a and len(w) == len(v):
+                d = 0.0
+                for x, y in zip(w, v):
+                    d += (x - y) * (x - y)
+                near.append((math.sqrt(d), i is None, i or 0, b, i))
+        out += [(q, r + 1, n[4], n[0]) for r, n in enumerate(sorted(near)[:k])]
+    return sorted(out, key=repr)
+
+
+def found(df, every=100, **options):
+    return sorted(map(tuple, ann.nearest(df, F.col("vec_id") % every == 0, **options).collect()), key=repr)
+
+
+@pytest.mark.parametrize("shard_points", [ann.SHARD_POINTS, 30])
+def test_ties_go_to_the_smallest_ids(spark, shard_points):
+    rng = np.random.default_rng(6)
+    one_hot = [(int(i), [float(j == p) for j in range(60)]) for p, i in enumerate(rng.permutation(60))]
+    grid = [(int(i), [float(p % 12), float(p // 12) + 1]) for p, i in enumerate(rng.permutation(240))]
+    for rows in (one_hot, grid):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        assert found(df, 20, shard_points=shard_points) == exact(rows, lambda i: i % 20 == 0)
+
+
 def test_vectors_of_odd_rows(spark):
     hot = [1.0, 2.0]
-    vectors = [(i, hot) for i in range(0, 300)] + [(300, [1.5, 2.0]), (301, None), (400, [0.0, 0.0]), (401, [None, 1.0]), (402, [float("nan"), 1.0]),
-                                                   (403, [float("inf"), 1.0]), (None, hot), (500, [-0.0, 3.0]), (501, [0.0, 3.0])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "q", "shard", "rank")})
-    check_recall(df, vectors, 1.0)
+    rows = [(i, hot) for i in range(0, 300)] + [(300, [1.5, 2.0]), (301, None), (400, [0.0, 0.0]), (401, [None, 1.0]), (402, [float("nan"), 1.0]),
+                                                (403, [float("inf"), 1.0]), (None, hot), (500, [-0.0, 3.0]), (501, [0.0, 3.0]), (500, [0.0, 3.0]), (500, [2.0, 3.0]),
+                                                (600, [1.0, 2.0, 3.0]), (601, [1.0, 2.0, 4.0]), (None, [1.0, 2.0, 3.0]), (700, [5.0]), (800, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "q", "shard", "rank", "key", "dim", "least")})
+    assert found(df) == exact(rows, lambda i: i % 100 == 0)
     few = [(0, [1.0]), (1, [2.0]), (0, [1.0])]
-    check_recall(spark.createDataFrame(few, "vec_id long, embedding array<float>"), few[:2], 1.0)
+    assert found(spark.createDataFrame(few, "vec_id long, embedding array<float>")) == exact(few, lambda i: i == 0)
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_few_points_are_searched_in_the_graph(spark):
+    vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    points = np.array([v for _, v in vectors], float)
+    g = ann.Graph(points)
+    seen = []
+    g.distances, inner = lambda q, ids: seen.append(len(ids)) or inner(q, ids), g.distances
+    hits = 0
+    for q in points[::10]:
+        near = {i for _, i in g.search(q, 11)}
+        hits += len(near & set(np.argsort(((points - q) ** 2).sum(1), kind="stable")[:11].tolist()))
+    assert hits >= 0.97 * 11 * 50 and max(seen) <= g.ground.shape[1]  # a step compares the links of one point
+
+
 def slow_fingerprint(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
