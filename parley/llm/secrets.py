@@ -42,15 +42,35 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,}+)\.([A-Za-z0-9_-]{2,}
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 SSH_MAGIC = b"openssh-key-v1\0"
+#: Fixed value: where the identifiers of password-based encryption begin.
+PKCS5 = b"\x2a\x86\x48\x86\xf7\x0d\x01\x05"
+
+#: Values in one SEQUENCE of a key, and keys in one OpenSSH file, at most.
+MOST_ITEMS, MOST_KEYS = 16, 16
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def _items(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the values that fill ``b[at:end]`` exactly, else None."""
+class Coded:
+    """The bytes that base64 characters stand for from a place on, decoded only where they are read."""
+
+    def __init__(self, chars: str, at: int, size: int) -> None:
+        self.chars, self.at, self.size = chars, at, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, key):
+        a, b, _ = key.indices(self.size) if isinstance(key, slice) else (key, key + 1, 1)
+        quanta = _decode64(self.chars[self.at + a // 3 * 4 : self.at - (-b // 3) * 4])[a % 3 :][: max(b - a, 0)]
+        return quanta if isinstance(key, slice) else quanta[0]
+
+
+def _items(b: bytes | Coded, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the values that fill ``b[at:end]`` exactly, else None; a key has few."""
     out = []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(out) == MOST_ITEMS:
             return None
         tag, n, at = b[at], b[at + 1], at + 2
         if n >= 0x80:
@@ -65,7 +85,7 @@ def _items(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     return out
 
 
-def is_der_key(b: bytes) -> bool:
+def is_der_key(b: bytes | Coded) -> bool:
     """A private key: one SEQUENCE whose nested lengths fit and whose fields are a key's."""
     outer = _items(b, 0, len(b)) if b[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
@@ -85,33 +105,17 @@ def is_der_key(b: bytes) -> bool:
         return False
     if tags == [SEQUENCE, OCTETS]:
         name = _items(b, s, e)
-        return bool(name) and len(name) == 2 and name[0][0] == OID and b[name[0][1] : name[0][2]].startswith(b"\x2a\x86\x48\x86\xf7\x0d\x01\x05")
+        return bool(name) and len(name) == 2 and name[0][0] == OID and b[name[0][1] : min(name[0][2], name[0][1] + len(PKCS5))] == PKCS5
     return False
 
 
-def is_ssh_key(b: bytes) -> bool:
+def is_ssh_key(b: bytes | Coded) -> bool:
     """An OpenSSH key file: magic, then cipher, kdf, options, a count and length-prefixed keys."""
-    if not b.startswith(SSH_MAGIC):
-        return False
-    at, fields = len(SSH_MAGIC), 0
-    while at < len(b):
-        if at + 4 > len(b):
-            return False
-        n = int.from_bytes(b[at : at + 4], "big")
-        at += 4
-        if fields == 3:  # the number of keys
-            if n < 1:
-                return False
-        elif at + n > len(b):
-            return False
-        else:
-            at += n
-        fields += 1
-    return at == len(b) and fields >= 6
+    return ssh_length(b) == len(b)
 
 
 def _decode64(run: str) -> bytes:
-    bare = run.replace("\r", "").replace("\n", "").rstrip("=").replace("-", "+").replace("_", "/")
+    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
     except binascii.Error:
@@ -128,7 +132,7 @@ def is_signed_token(head: str, body: str, signature: str) -> bool:
     return named and isinstance(claims, dict) and len(_decode64(signature)) >= 12
 
 
-def key_kind(b: bytes) -> str | None:
+def key_kind(b: bytes | Coded) -> str | None:
     return "der" if is_der_key(b) else "ssh" if is_ssh_key(b) else None
 
 
@@ -140,23 +144,28 @@ def der_length(b: bytes) -> int:
     return 2 + k + (int.from_bytes(b[2 : 2 + k], "big") if b[1] >= 0x80 else b[1])
 
 
-def ssh_length(b: bytes) -> int:
+def ssh_length(b: bytes | Coded) -> int:
     """The bytes of the OpenSSH key that ``b`` begins: its count says how many keys follow; else 0."""
+    if b[: len(SSH_MAGIC)] != SSH_MAGIC:
+        return 0
     at, fields, last = len(SSH_MAGIC), 0, 5
     while fields < last:
         if at + 4 > len(b):
             return 0
         n = int.from_bytes(b[at : at + 4], "big")
         if fields == 3:
+            if not 1 <= n <= MOST_KEYS:
+                return 0
             last, n = n + 5, 0
         at, fields = at + 4 + n, fields + 1
-    return at
+    return at if at <= len(b) else 0
 
 
 def keys64(run: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the keys in lines of base64 that begin and end with a line.
 
     A key says how long it is, so whatever lines stand before and after it do not matter.
+    Of a candidate only a bounded number of lengths is decoded, however long it claims to be.
     """
     gaps = [m.span() for m in BREAKS.finditer(run)]
     stop = len(run.rstrip("="))
@@ -175,11 +184,11 @@ def keys64(run: str) -> list[tuple[str, int, int]]:
         if bare.startswith("M", at):
             size = der_length(_decode64(bare[at : at + 12]))
         elif bare.startswith("b3BlbnNzaC1rZXktdjEA", at):
-            size = ssh_length(_decode64(bare[at : at + (len(bare) - at) // 4 * 4]))
+            size = ssh_length(Coded(bare, at, (len(bare) - at) * 3 // 4))
         else:
             continue
         end = at + (4 * size + 2) // 3
-        if size and end in ends and (kind := key_kind(_decode64(bare[at:end]))):
+        if size and end in ends and (kind := key_kind(Coded(bare, at, size))):
             out.append((kind, s, len(run) if ends[end] == stop else ends[end]))
             free = end
     return out

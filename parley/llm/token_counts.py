@@ -49,18 +49,20 @@ class Counter:
 
 
 class TokenTree:
-    """Lengths and token counts of a text's blocks, with their sums in a binary tree.
+    """Texts, lengths and token counts of a text's blocks, with the sums in a binary tree.
 
-    ``sums[k]`` is (characters, tokens) of node k; leaves start at ``width``.
+    ``sums[k]`` is (characters, tokens) of node k; leaves start at ``width``. An edit costs
+    what the blocks it touches hold and the logarithm of their number, wherever it is.
     """
 
     def __init__(self, counter: Counter, text: str) -> None:
-        self.counter, self.text, self.recounted = counter, text, 0
+        self.counter, self.recounted = counter, 0
         pieces = counter.pattern.findall(text)
         at = np.arange(0, len(pieces), BLOCK)
         n = max(1, len(at))
         self.width = 1 << (n - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
+        self.blocks = ["".join(pieces[i : i + BLOCK]) for i in at.tolist()] or [""]
         if pieces:
             each = np.array([list(map(len, pieces)), list(map(counter.count, pieces))], np.int64)
             self.sums[self.width : self.width + n] = np.add.reduceat(each, at, axis=1).T
@@ -69,6 +71,10 @@ class TokenTree:
             self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(1)
             level //= 2
 
+    @property
+    def text(self) -> str:
+        return "".join(self.blocks)
+
     @property
     def n_tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -83,9 +89,24 @@ class TokenTree:
                 node += 1
         return node - self.width, start
 
-    def _put(self, block: int, chars: int, tokens: int) -> None:
+    def _next(self, block: int) -> int | None:
+        """The first block after this one that holds text, past subtrees that hold none."""
+        node = block + self.width
+        while node > 1 and (node & 1 or not self.sums[node + 1, 0]):
+            node //= 2
+        if node <= 1:
+            return None
+        node += 1
+        while node < self.width:
+            node *= 2
+            if not self.sums[node, 0]:
+                node += 1
+        return node - self.width
+
+    def _put(self, block: int, text: str, tokens: int) -> None:
         node = block + self.width
-        change = np.array([chars, tokens]) - self.sums[node]
+        self.blocks[block] = text
+        change = np.array([len(text), tokens]) - self.sums[node]
         while node:
             self.sums[node] += change
             node //= 2
@@ -93,27 +114,49 @@ class TokenTree:
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace ``text[start:end]``; the tree then is that of the new text."""
         block, begin = self._block(max(0, start - CONTEXT))
-        text = self.text[:start] + new + self.text[end:]
-        shift, old_end = len(text) - len(self.text), begin
-        last, tokens, at = block, 0, begin
-        old_end += int(self.sums[block + self.width, 0])
-        for m in self.counter.pattern.finditer(text, begin):
-            # old blocks are passed until one ends at or after here, beyond the edit
-            while (old_end < end or old_end + shift < m.start()) and last + 1 < self.width:
-                last += 1
-                old_end += int(self.sums[last + self.width, 0])
-            if old_end >= end and m.start() == old_end + shift and m.start() >= start + len(new):
+        taken, size = [block], len(self.blocks[block])
+        following = self._next(block)
+
+        def take(chars: int) -> None:
+            nonlocal size, following
+            while following is not None and size < chars:
+                taken.append(following)
+                size += len(self.blocks[following])
+                following = self._next(following)
+
+        take(end - begin + 1)
+        wanted = size + 1
+        while True:
+            take(wanted)
+            old = "".join([self.blocks[k] for k in taken])
+            text = old[: start - begin] + new + old[end - begin :]
+            done = self._retake(taken, text, len(text) - len(old), end - begin, start - begin + len(new), following is None)
+            if done:
                 break
+            wanted = 2 * size  # what follows may still change the last pre-tokens
+        kept, tokens, last, recounted = done
+        self.recounted += recounted
+        for k in taken[1 : last + 1]:
+            self._put(k, "", 0)
+        self._put(block, text[:kept], tokens)
+
+    def _retake(self, taken: list[int], text: str, shift: int, old_end: int, new_end: int, whole: bool) -> tuple[int, int, int, int] | None:
+        """Count from the start up to an old border beyond the edit: (characters, tokens, place in ``taken`` of the last
+        block counted in, pre-tokens), or None where the text given ends too soon to tell."""
+        borders, at = {}, 0
+        for place, k in enumerate(taken):
+            at += len(self.blocks[k])
+            if at >= old_end and at + shift >= new_end:
+                borders[at + shift] = place
+        tokens = n = 0
+        for m in self.counter.pattern.finditer(text):
+            if m.start() in borders and m.start() >= new_end and n:
+                return m.start(), tokens, borders[m.start()], n
+            if not whole and m.end() > len(text) - CONTEXT:
+                return None
             tokens += self.counter.count(m[0])
-            self.recounted += 1
-            at = m.end()
-        else:
-            last = self.width - 1
-        self._put(block, at - begin, tokens)
-        for k in range(block + 1, last + 1):
-            if self.sums[k + self.width].any():
-                self._put(k, 0, 0)
-        self.text = text
+            n += 1
+        return (len(text), tokens, len(taken) - 1, n) if whole else None
 
 
 def repeated_lines(text: str) -> list[tuple[int, int, str]]:

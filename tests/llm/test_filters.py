@@ -1,5 +1,6 @@
 """Secrets, quality, urls: planted cases, brute force, odd rows."""
 
+import time
 import base64
 import hashlib
 import json
@@ -251,3 +252,23 @@ def test_urls_with_clashing_columns_and_no_rows(spark):
     same = lambda d: sorted(url_filter.filter_urls(d).select("page_id", "verdict").collect(), key=str)
     assert same(odd) == same(pages)
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head,line", [
+    ("", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUA"), ("", "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC"), ("b3BlbnNzaC1rZXktdjEAAAAAAAAAAAAAAAAA\n", "A" * 32), ("", "MIAwADAAMAAwADAAMAAwADAAMAAwADAA"),
+    ("", "MIQAAAAAAgEAAgEAAgEAAgEAAgEAAgEA")])
+def test_lines_that_look_like_keys_take_linear_time(head, line):
+    text = head + (line + "\n") * (5_000_000 // len(line))
+    start = time.perf_counter()
+    secrets.scan(text)
+    assert time.perf_counter() - start < 5
+
+
+def test_bytes_are_decoded_where_they_are_read():
+    raw = bytes(range(256)) * 3
+    chars = "xy" + base64.b64encode(raw).decode().rstrip("=")
+    coded = secrets.Coded(chars, 2, len(raw))
+    for a in range(0, 40):
+        assert coded[a] == raw[a]
+        for b in (a, a + 1, a + 5, 767, 900):
+            assert coded[a:b] == raw[a:b]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -189,3 +190,16 @@ def test_held_out_texts_score_better_than_the_base(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     out = lm.score(docs, lm.train(docs.filter(~held)), held).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
+
+
+def test_edits_of_repeated_lines_take_linear_time():
+    """Every edit costs the blocks it touches, wherever it is; empty blocks are passed by their sums."""
+    text = "\n".join(["a repeated line of text"] * 32_000)
+    tree, steps = tc.TokenTree(COUNTER, text), []
+    tree._next, inner = lambda k: steps.append(k) or inner(k), tree._next
+    start = time.perf_counter()
+    for edit in reversed(tc.cleaning_edits(text)):
+        tree.edit(*edit)
+    assert time.perf_counter() - start < 5
+    assert tree.text == "a repeated line of text\n" and tree.n_tokens == tc.TokenTree(COUNTER, tree.text).n_tokens
+    assert len(steps) < 4 * 32_000 and tree.recounted < 4 * tc.BLOCK * 32_000
