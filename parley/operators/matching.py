@@ -2,64 +2,83 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.functions.predicates import min_turns
 from parley.functions.vectors import cosine_distance
 from parley.operators.sampling import MIN_TURNS, N_EXPLORE, SEED, explore_sample, ranked_picks, stratum
-from parley.session import stage
+from parley.session import discard, stage
 
 TURN_TOLERANCE = 3  # fixed value
 BROADCAST_PICKS = 5_000
+#: Candidates listed for a pick beyond one for each pick like it, at first.
+SPARE = 16
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best free candidate for each pick in rank order; rows come nearest first."""
-    used: set = set()
-    out = []
-    for rank, near in pdf.sort_values(["rank", "place"]).groupby("rank", sort=True):
-        for row in near.itertuples(index=False):
-            if row.after not in used:
-                used.add(row.after)
-                out.append((rank, row.before, row.after, row.stratum))
-                break
-    return pd.DataFrame(out, columns=["rank", "before", "after", "stratum"])
+def _listed(classes: DataFrame, after: DataFrame, tol: int, few: bool) -> DataFrame:
+    """(class, after, place): the ``want`` nearest candidates of each class of picks."""
+    known = classes.select("stratum").distinct().join(after.select(F.col("_as").alias("stratum")), "stratum", "left_semi")
+    small = F.broadcast if few else (lambda x: x)
+    near = (F.col("_ob") == F.col("outcome_bucket")) & (F.abs(F.col("_at") - F.col("_bt")) <= tol)
+    same = after.join(small(classes.join(known, "stratum", "left_semi")), near & (F.col("_as") == F.col("stratum")))
+    free = after.join(small(classes.join(known, "stratum", "left_anti")), near)
+    scored = same.unionByName(free).select("class", "after", "want", F.round(cosine_distance(F.col("_bv"), F.col("_av")), 12).alias("_d"))
+    place = F.row_number().over(W.partitionBy("class").orderBy("_d", "after"))
+    most = classes.agg(F.max("want")).first()[0] or 1
+    return scored.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= F.col("want")).select("class", "after", "place")
 
 
 def match_pairs(picks: DataFrame, after: DataFrame, tol: int = TURN_TOLERANCE, id_col: str = "session_id",
-                vec: str = "embedding_opening") -> DataFrame:
+                vec: str = "embedding_opening", spare: int = SPARE) -> DataFrame:
     """(rank, before, after, stratum) by greedy choice in rank order.
 
     Candidates share the stratum (any stratum when after-sessions have none of
-    it) and the outcome bucket, and differ by at most ``tol`` turns. A pick can
-    lose a candidate only to the picks before it in its outcome bucket, so the
-    pick in place p there needs no more than its p+1 nearest: that prune is exact
-    and happens on the map side. The sequential choice then sees only those.
+    it) and the outcome bucket, and differ by at most ``tol`` turns.
+
+    Deferred acceptance, a join and two small aggregates a round: free picks propose to
+    their nearest candidates, a candidate keeps the pick of least rank and sets free the one
+    it held. As all candidates prefer lesser ranks, what is stable is the greedy choice.
+    Picks that differ by nothing that decides form a class with one list; the i-th free one
+    of a class proposes to its i-th candidate that is not held by a pick before them all,
+    since those in front go to the others or to picks of still lesser rank. Lists
+    begin short and are made twice as long for the classes that run out of them.
     """
-    place = W.partitionBy("outcome_bucket").orderBy("rank")
-    b = picks.select(
-        F.col("rank"), F.col(id_col).alias("before"), "stratum", "outcome_bucket",
-        F.col("turn_count").alias("_bt"), F.col(vec).alias("_bv"))
-    b = stage(b.withColumn("_need", F.row_number().over(place)))
-    m = b.count()
+    alike = ["stratum", "outcome_bucket", "_bt", "_bv"]
+    b = picks.select("rank", F.col(id_col).alias("before"), "stratum", "outcome_bucket", F.col("turn_count").alias("_bt"), F.col(vec).alias("_bv"))
+    classes = stage(b.groupBy(*alike).agg(F.min("rank").alias("class"), F.collect_list(F.struct("rank", "before")).alias("members")).withColumn(
+        "want", F.size("members") + spare))
+    few = classes.count() <= BROADCAST_PICKS
     a = after.where(min_turns(MIN_TURNS)).select(
         F.col(id_col).alias("after"), stratum().alias("_as"), F.col("outcome_bucket").alias("_ob"),
         F.col("turn_count").alias("_at"), F.col(vec).alias("_av"))
-    known = b.select("stratum").distinct().join(a.select(F.col("_as").alias("stratum")), "stratum", "left_semi")
-    small = F.broadcast if m <= BROADCAST_PICKS else (lambda x: x)
-    near = (F.col("_ob") == F.col("outcome_bucket")) & (F.abs(F.col("_at") - F.col("_bt")) <= tol)
-    same = a.join(small(b.join(known, "stratum", "left_semi")), near & (F.col("_as") == F.col("stratum")))
-    free = a.join(small(b.join(known, "stratum", "left_anti")), near)
-    cols = ["rank", "before", "after", "stratum", "outcome_bucket", "_need"]
-    scored = same.unionByName(free).select(
-        *cols, F.round(cosine_distance(F.col("_bv"), F.col("_av")), 12).alias("_d"))
-    w = W.partitionBy("rank").orderBy("_d", "after")
-    kept = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(m, 1))
-    kept = kept.where(F.col("place") <= F.col("_need")).drop("_d", "_need")
-    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("rank", "before", "after", "stratum"))
-    return kept.groupBy("outcome_bucket").applyInPandas(_greedy, schema)
+    members = stage(classes.select("class", "stratum", F.inline("members")))
+    classes = classes.drop("members")
+    near = stage(_listed(classes, a, tol, few))
+    held = stage(near.join(members, "class").select("after", "rank", F.lit(None).cast("long").alias("old")).limit(0))
+    while True:
+        free = members.join(held.select("rank"), "rank", "left_anti").select(
+            "class", "rank", F.row_number().over(W.partitionBy("class").orderBy("rank")).alias("turn"), F.min("rank").over(W.partitionBy("class")).alias("first"))
+        heads = free.where("turn = 1").select("class", "first")
+        open_ = near.join(heads, "class").join(held.select("after", F.col("rank").alias("holder")), "after", "left").where("holder IS NULL OR holder > first")
+        open_ = open_.select("class", "after", "holder", F.row_number().over(W.partitionBy("class").orderBy("place")).alias("turn"))
+        asked = free.join(open_, ["class", "turn"]).where("holder IS NULL OR holder > rank").select("after", "rank", F.lit(None).cast("long").alias("old"))
+        kept = held.select("after", "rank", F.col("rank").cast("long").alias("old"))
+        now = stage(kept.unionByName(asked).groupBy("after").agg(F.min("rank").alias("rank"), F.min("old").alias("old")))
+        if not now.where("old IS NULL OR old <> rank").isEmpty():
+            discard(held)
+            held = now
+            continue
+        discard(now)
+        # no proposal was left to make: longer lists for classes whose free picks have seen all of theirs
+        full = near.groupBy("class").agg(F.count("*").alias("n")).join(classes, "class").where("n = want").drop("n")
+        short = stage(full.join(heads, "class", "left_semi").withColumn("want", F.col("want") * 2))
+        if short.isEmpty():
+            break
+        classes = stage(classes.join(short, "class", "left_anti").unionByName(short.select(*classes.columns)))
+        longer = stage(near.join(short, "class", "left_anti").unionByName(_listed(short, a, tol, few)))
+        discard(near)
+        near = longer
+    return held.join(members, "rank").select("rank", "before", "after", "stratum")
 
 
 def explore_pairs(fv: DataFrame, n: int = N_EXPLORE, tol: int = TURN_TOLERANCE, id_col: str = "session_id",

@@ -132,6 +132,57 @@ def test_pairs_equal_full_greedy(spark, n, m, tol):
     assert [(r["rank"], r.before, r.after) for r in got] == brute_pairs(before, after, tol)
 
 
+def greedy(picks, after, tol):
+    """The full greedy choice; rows are (id, stratum parts, bucket, turns, vector), picks in rank order."""
+    used, out, strata = set(), [], {a[1] for a in after}
+    for rank, (i, s, bucket, turns, v) in enumerate(picks):
+        fits = [(dist(v, w), j) for j, t, b, n, w in after if j not in used and b == bucket and abs(n - turns) <= tol and (t == s or s not in strata)]
+        if fits:
+            used.add(min(fits)[1])
+            out.append((rank, i, min(fits)[1]))
+    return out
+
+
+def _match(spark, picks, after, **options):
+    schema = "session_id string, opening_intent_class string, outcome_bucket string, length_bucket string, turn_count int, embedding_opening array<double>"
+    row = lambda i, s, b, n, v: (i, s, b, "x", n, v)
+    p = spark.createDataFrame([(*row(*r), k) for k, r in enumerate(picks)], schema + ", rank int").withColumn("stratum", G.stratum())
+    got = M.match_pairs(p, spark.createDataFrame([row(*r) for r in after], schema), 2, **options).collect()
+    return sorted((r["rank"], r.before, r.after) for r in got)
+
+
+@pytest.mark.parametrize("alike,spare", [(False, 16), (True, 16), (True, 1), (False, 0)])
+def test_matching_is_the_greedy_choice(spark, alike, spare):
+    """Also where all sessions say nothing, so that every pick wants the same candidates."""
+    rng = random.Random(9)
+    vectors = [[0.0] * DIM] if alike else [unit() for _ in range(40)]
+    make = lambda name, n: [(f"{name}{i:03}", rng.choice("st"), rng.choice(["ok", "bad"]), rng.randrange(2, 9), rng.choice(vectors)) for i in range(n)]
+    picks, after = make("b", 60), make("a", 50) + [("zz", "other", "ok", 3, vectors[0])]
+    picks += [("lone", "nowhere", "ok", 4, vectors[0]), ("none", "s", "gone", 4, vectors[0])]
+    # a stratum holds the bucket too
+    mine = [(i, (s, b), b, n, v) for i, s, b, n, v in picks]
+    theirs = [(i, (s, b), b, n, v) for i, s, b, n, v in after]
+    assert _match(spark, picks, after, spare=spare) == greedy(mine, theirs, 2)
+
+
+def test_matching_of_many_picks(spark):
+    """50,000 picks: the greedy choice over all of them, stratum by stratum, without one task for a bucket."""
+    rng = random.Random(2)
+    corners = [[math.cos(k), math.sin(k)] for k in range(30)]
+    make = lambda name, n: [(f"{name}{i:05}", f"s{i % 1000}", "ok", rng.randrange(2, 6), rng.choice(corners)) for i in range(n)]
+    picks, after = make("b", 50_000), make("a", 45_000)
+    want, per = [], {}
+    for r in after:
+        per.setdefault(r[1], []).append(r)
+    ranked = {}
+    for k, r in enumerate(picks):
+        ranked.setdefault(r[1], []).append((k, r))
+    for s, own in ranked.items():
+        # no pick of one stratum competes with another's
+        want += [(own[k][0], b, a) for k, b, a in greedy([r for _, r in own], per[s], 2)]
+    assert _match(spark, picks, after) == sorted(want)
+
+
 def test_explore_sample(spark):
     rows, df = _sessions(spark, 90)
     got = G.explore_sample(df, 20).orderBy("rank").collect()
