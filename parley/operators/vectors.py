@@ -7,11 +7,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parley.functions.text import strip
 from parley.functions.vectors import cosine_distance, dot
-from parley.session import stage
+from parley.operators.ordering import with_position
+from parley.session import discard, stage
 
 # The prototype threshold and label without one.
 MIN_SIMILARITY, OTHER = 0.35, "other"
@@ -111,18 +112,32 @@ def nearest_prototype(vec: Column, prototypes: Sequence[Mapping], min_sim: float
 
 
 def nearest_labelled(df: DataFrame, protos: DataFrame, vec: str = "embedding",
-                     min_sim: float = MIN_SIMILARITY) -> DataFrame:
-    """As ``nearest_prototype`` with prototypes in a small table (id, ord, vector).
+                     min_sim: float = MIN_SIMILARITY, block_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """As ``nearest_prototype`` with any number of prototypes in a table (id, ord, vector).
 
-    The table becomes one array read as a scalar subquery, so no join is needed.
+    Prototypes come in blocks of at most ``block_numbers`` vector components. A block is one
+    array, read as a scalar subquery, that rows meet where they are, so there is no join; with
+    several blocks the best so far is written between them, and a task holds one block at a time.
     """
-    listed = protos.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "vector")))).scalar()
-    with_protos = df.withColumn("_protos", listed)
-    scored = F.transform("_protos", lambda p: F.struct(
-        (1 - cosine_distance(F.col(vec), p.vector)).alias("sim"), (-p.ord).alias("order"), p.id.alias("id")))
-    out = with_protos.withColumn("_best", F.array_max(scored))
-    label = F.when(F.col("_best.sim") >= min_sim, F.col("_best.id")).otherwise(F.element_at("_protos", -1).id)
-    return out.withColumn("label_id", label).withColumn("similarity", F.col("_best.sim")).drop("_protos", "_best")
+    n, width, last = protos.agg(F.count("*"), F.max(F.size("vector")), F.max_by("id", "ord")).first()
+    per_block = max(1, block_numbers // max(width or 1, 1))
+    numbered = with_position(protos.select("ord", "id", "vector"), [], ["ord", "id"], "_n")
+    numbered = stage(numbered.withColumn("_block", F.floor(F.col("_n") / per_block))) if n > per_block else numbered.withColumn("_block", F.lit(0))
+    nothing = F.lit(None).cast(T.StructType([
+        T.StructField("sim", T.DoubleType()), T.StructField("order", T.LongType()), T.StructField("id", protos.schema["id"].dataType)]))
+    out, written = df.withColumn("_best", nothing), None
+    for k in range(-(-n // per_block)):
+        listed = numbered.where(F.col("_block") == k).agg(F.sort_array(F.collect_list(F.struct("ord", "id", "vector")))).scalar()
+        scored = F.transform("_protos", lambda p: F.struct(
+            (1 - cosine_distance(F.col(vec), p.vector)).alias("sim"), (-p.ord).cast("long").alias("order"), p.id.alias("id")))
+        out = out.withColumn("_protos", listed).withColumn("_best", F.greatest("_best", F.array_max(scored))).drop("_protos")
+        if (k + 1) * per_block < n:
+            before, out = written, stage(out)
+            written = out
+            if before is not None:
+                discard(before)
+    label = F.when(F.col("_best.sim") >= min_sim, F.col("_best.id")).otherwise(F.lit(last))
+    return out.withColumn("label_id", label).withColumn("similarity", F.col("_best.sim")).drop("_best")
 
 
 def hashed_text(df: DataFrame, text: str, out: str, dim: int = 1536) -> DataFrame:

@@ -255,3 +255,30 @@ def test_embed(spark):
         return texts.map(lambda t: [float(len(t)), 0.0])
 
     assert {r.id: r.embedding_opening for r in V.embed(df, dim=2, encoder=encoder).collect()}[4] == [4.0, 0.0]
+
+
+def test_prototypes_in_blocks_equal_one_array(spark):
+    rows = [(i, unit()) for i in range(40)] + [(40, [0.0] * DIM), (41, None)]
+    protos = [(f"p{i % 30}", i, unit()) for i in range(90)] + [("last", 90, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    table = spark.createDataFrame(protos, "id string, ord int, vector array<double>")
+    want = {}
+    for i, v in rows:
+        best = max((round(sum(a * b for a, b in zip(v, p)), 12) if v else 0.0, -o, n) for n, o, p in protos)
+        want[i] = best[2] if best[0] >= V.MIN_SIMILARITY else "last"
+    for numbers in (V.BROADCAST_NUMBERS, 10 * DIM, DIM):
+        got = V.nearest_labelled(df, table, "v", block_numbers=numbers).collect()
+        assert {r.id: r.label_id for r in got} == want
+    assert [r.label_id for r in V.nearest_labelled(df, table.limit(0), "v").collect()] == [None] * len(rows)
+
+
+def test_many_prototypes_hold_one_block_at_a_time(spark, monkeypatch):
+    """100,000 prototypes: no array of more than the block's numbers is built."""
+    protos = spark.range(100_000).select(F.concat(F.lit("p"), F.col("id")).alias("id"), F.col("id").alias("ord"),
+                                         F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    df = spark.createDataFrame([(k, [math.cos(k), math.sin(k)]) for k in (7, 99_999)], "k int, v array<double>")
+    staged = []
+    inner = V.stage
+    monkeypatch.setattr(V, "stage", lambda d: staged.append(d) or inner(d))
+    got = V.nearest_labelled(df, protos, "v", block_numbers=50_000).collect()
+    assert {r.k: r.label_id for r in got} == {7: "p7", 99_999: "p99999"} and len(staged) == 4
