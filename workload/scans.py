@@ -11,6 +11,7 @@ from parley.operators import eventlog, scope
 from parley.operators.primitives import primitives
 from parley.plans.feature_store import FeatureStore
 from parley.session import shared_folder
+from parley.sources.layout import read_log, write_log
 from parley.sources.sinks import missing_only
 from workload.binding import EV, S, events, price, sessions, table
 from workload.measures import TURN_COUNT
@@ -135,6 +136,16 @@ def _(spark, sf):
     return out.withColumn("status", F.coalesce("status", F.lit("kept")))
 
 
+@add("a5_laid_out_log", f"""WITH {EV} SELECT session_id, count(*) AS n, {TURN_COUNT} AS turn_count, (max(us) - min(us)) // 1000 AS session_duration_ms FROM ev GROUP BY session_id""")
+def _(spark, sf):
+    """Measures from the log stored in buckets, sessions of more than twenty events apart."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    write_log(events(spark, sf), path, 8, limit=20)
+    log = read_log(spark, path, 8)
+    sizes = log.per_session(lambda ev: ev.groupBy("session_id").agg(F.count("*").alias("n")))
+    return log.primitives(price(spark)).select("session_id", "turn_count", "session_duration_ms").join(sizes, "session_id")
+
+
 @add("a17_preview_count", f"WITH {S} SELECT count(*) AS session_count FROM s WHERE {IN_SCOPE} AND voice_session_id IS NULL AND external_chat_session IS NOT NULL")
 def _(spark, sf):
     return scope.preview_count(sessions(spark, sf), channel="chat", **SCOPE)
