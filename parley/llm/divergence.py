@@ -37,8 +37,8 @@ from parley.session import stage
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SMOOTH, UNIT = 30, 5, 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Counts a task holds before it adds them up and hands them on.
-HELD_ROWS = 2_000_000
+#: Bytes of text whose chunks a task counts at once; a single text may be longer.
+TEXT_BYTES = 32 << 20
 #: Bits of the filter in front of the exact join, as a power of two: 4 MB whatever the input.
 FILTER_BITS = 25
 #: Terms a task compares at a time, and sources in a block of them.
@@ -70,27 +70,26 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
 
 
-def _added(parts: Iterable[pa.RecordBatch], value: str) -> Iterator[pa.RecordBatch]:
-    """The rows of a task with ``value`` summed over equal keys."""
-    held, rows = [], 0
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task as few, of about ``TEXT_BYTES``."""
+    held, size = [], 0
 
-    def total() -> list[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        keys = [c for c in table.column_names if c != value]
-        return table.group_by(keys).aggregate([(value, "sum")]).rename_columns([*keys, value]).to_batches()
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    for part in parts:
-        held.append(part)
-        rows += len(part)
-        if rows > HELD_ROWS:
-            yield from total()
-            held, rows = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += batch.column("text").nbytes
+        if size >= TEXT_BYTES:
+            yield whole()
+            held, size = [], 0
     if held:
-        yield from total()
+        yield whole()
 
 
 def _document_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(lang, chunk, docs): documents of each chunk among the rows of a batch."""
+    """(lang, chunk, docs): documents of each chunk among the rows counted at once."""
     row, code, chunks = _encoded(batch)
     lang, n = batch.column("lang").dictionary_encode(), max(len(chunks), 1)
     once = _distinct(row * n + code)
@@ -99,7 +98,7 @@ def _document_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _added(map(_document_batch, batches), "docs")
+    return map(_document_batch, _gathered(batches))
 
 
 def chunk_terms(rows: DataFrame) -> DataFrame:
@@ -132,7 +131,7 @@ def _places(kept: Broadcast):
     """(lang, chunk, doc) of the chunks in the filter; ``doc`` numbers the rows of this scan."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _gathered(batches):
             row, code, chunks = _encoded(batch)
             own, n = kept.value.passing(chunks)[code], max(len(chunks), 1)
             once = _distinct(row[own] * n + code[own])
@@ -143,7 +142,7 @@ def _places(kept: Broadcast):
 
 
 def _occurrences(kept: Broadcast):
-    """(lang, source, chunk, n) of the chunks in the filter, added up in a task."""
+    """(lang, source, chunk, n) of the chunks in the filter, added up over the texts counted at once."""
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, code, chunks = _encoded(batch)
         own, n = kept.value.passing(chunks)[code], max(len(chunks), 1)
@@ -155,7 +154,7 @@ def _occurrences(kept: Broadcast):
             [lang.dictionary.take(pa.array(key // n // m)), source.dictionary.take(pa.array(key // n % m)), chunks.take(pa.array(key % n)), pa.array(counts, pa.int64())],
             names=["lang", "source", "chunk", "n"])
 
-    return lambda batches: _added(map(count, batches), "n")
+    return lambda batches: map(count, _gathered(batches))
 
 
 def _filter(chunks: DataFrame) -> Broadcast:

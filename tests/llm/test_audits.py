@@ -70,7 +70,7 @@ def test_documents_are_told_apart_only_in_doubt(spark, monkeypatch):
 
 
 def test_counts_of_a_task_are_handed_on_whole(spark, monkeypatch):
-    monkeypatch.setattr(dv, "HELD_ROWS", 3)
+    monkeypatch.setattr(dv, "TEXT_BYTES", 3)
     import pyarrow as pa
 
     batch = lambda *texts: pa.record_batch([["en"] * len(texts), list(texts)], names=["lang", "text"])
