@@ -39,6 +39,8 @@ MIN_DOCS, SMOOTH, UNIT = 30, 5, 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text whose chunks a task counts at once; a single text may be longer.
 TEXT_BYTES = 32 << 20
+#: Rows handed on at once.
+OUT_ROWS = 1 << 16
 #: Bits of the filter in front of the exact join, as a power of two: 4 MB whatever the input.
 FILTER_BITS = 25
 #: Terms a task compares at a time, and sources in a block of them.
@@ -88,6 +90,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole()
 
 
+def _sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for at in range(0, max(len(part), 1), OUT_ROWS):
+            yield part.slice(at, OUT_ROWS)
+
+
 def _document_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     """(lang, chunk, docs): documents of each chunk among the rows counted at once."""
     row, code, chunks = _encoded(batch)
@@ -98,7 +106,7 @@ def _document_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return map(_document_batch, _gathered(batches))
+    return _sliced(map(_document_batch, _gathered(batches)))
 
 
 def chunk_terms(rows: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def _occurrences(kept: Broadcast):
             [lang.dictionary.take(pa.array(key // n // m)), source.dictionary.take(pa.array(key // n % m)), chunks.take(pa.array(key % n)), pa.array(counts, pa.int64())],
             names=["lang", "source", "chunk", "n"])
 
-    return lambda batches: map(count, _gathered(batches))
+    return lambda batches: _sliced(map(count, _gathered(batches)))
 
 
 def _filter(chunks: DataFrame) -> Broadcast:
