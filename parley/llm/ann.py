@@ -221,8 +221,10 @@ def build_index(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFram
         return pd.DataFrame([[int(group["dim"].iloc[0]), int(group["shard"].iloc[0]), len(g.v), g.entry, *raw]], columns=[c.split()[0] for c in INDEX.split(", ")])
 
     sized = points.withColumn("dim", F.size("v"))
-    shards = sized.groupBy("dim").agg(F.ceil(F.count("*") / float(shard_points)).cast("long").alias("shards"))
+    shards = stage(sized.groupBy("dim").agg(F.ceil(F.count("*") / float(shard_points)).cast("long").alias("shards")))
     dealt = sized.join(shards, "dim").select("dim", F.pmod(F.xxhash64("v"), "shards").alias("shard"), "v", "least")
+    # few bytes, much work: a task for about every shard, not one for as many as fit
+    dealt = dealt.repartition(shards.agg(F.sum("shards")).first()[0] or 1, "dim", "shard")
     return stage(dealt.groupBy("dim", "shard").applyInPandas(build, INDEX))
 
 
@@ -230,7 +232,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = SEARCH) -> Da
     """(query, v, d, least): for every query (query, q) the k nearest points of each shard of its length."""
     blocks = F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))
     asked = queries.groupBy(F.size("q").alias("dim"), F.pmod(F.xxhash64("query"), blocks).alias("block")).agg(F.collect_list(F.struct("query", "q")).alias("queries"))
-    work = asked.join(index, "dim").drop("block")
+    work = asked.join(index, "dim").drop("block").repartition(max(1, index.count()), "dim", "shard")
 
     def answer(batches):
         held, graph = None, None
