@@ -9,9 +9,9 @@ of no term, so nothing is lost.
 A language keeps the terms that occur in at least ``min_docs`` of its documents. A document
 may hold a term in several chunks ("The", "the,"), so the documents of a term number at least
 those of its most frequent chunk and at most the sum over its chunks. Where these two bounds
-leave doubt, and only there, documents are told apart by rows (language, chunk, document).
-These rows, and the occurrences, come from scans behind a bit filter of fixed size in front of
-an exact join.
+leave doubt, and only there, documents are told apart by their numbers, fewer than ``min_docs``
+to a chunk. These and the occurrences come from one more scan, behind bit filters of fixed size
+and in front of an exact join.
 
 Null text, lang and source count as "". Every row is a document, repeated rows and null ids too.
 Texts without terms, empty ones too, make their (lang, source) group occur. Very long texts are
@@ -129,51 +129,50 @@ class BitFilter:
         for bucket, block in blocks.collect():
             self.bits[(bucket - 1) * len(block):bucket * len(block)] = np.frombuffer(bytes(block), np.uint8)
 
-    def passing(self, chunks: pa.Array) -> np.ndarray:
-        """Whether each chunk is in the filter."""
-        h = np.fromiter(map(crc32, chunks.cast(pa.binary()).to_pylist()), np.int64, len(chunks)) & ((1 << FILTER_BITS) - 1)
-        return self.bits[h >> 3] >> (h & 7) & 1 == 1
+    @staticmethod
+    def places(chunks: pa.Array) -> np.ndarray:
+        return np.fromiter(map(crc32, chunks.cast(pa.binary()).to_pylist()), np.int64, len(chunks)) & ((1 << FILTER_BITS) - 1)
 
+    def passing(self, places: np.ndarray) -> np.ndarray:
+        """Whether each of the chunks at these places is in the filter."""
+        return self.bits[places >> 3] >> (places & 7) & 1 == 1
 
-def _places(kept: Broadcast):
-    """(lang, chunk, doc) of the chunks in the filter; ``doc`` numbers the rows of this scan."""
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 40
-        for batch in _gathered(batches):
-            row, code, chunks = _encoded(batch)
-            own, n = kept.value.passing(chunks)[code], max(len(chunks), 1)
-            once = _distinct(row[own] * n + code[own])
-            at = pa.array(once // n)
-            yield pa.record_batch([batch.column("lang").take(at), chunks.take(pa.array(once % n)), pa.array(first + once // n)], names=["lang", "chunk", "doc"])
-            first += len(batch)
-    return scan
 
+def _filter(chunks: DataFrame) -> Broadcast:
+    return chunks.sparkSession.sparkContext.broadcast(BitFilter(chunks))
 
-def _occurrences(kept: Broadcast):
-    """(lang, source, chunk, n) of the chunks in the filter, added up over the texts counted at once."""
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, code, chunks = _encoded(batch)
-        own, n = kept.value.passing(chunks)[code], max(len(chunks), 1)
-        lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
-        m = max(len(source.dictionary), 1)
-        group = lang.indices.to_numpy().astype(np.int64) * m + source.indices.to_numpy()
-        key, counts = np.unique(group[row[own]] * n + code[own], return_counts=True)
-        return pa.record_batch(
-            [lang.dictionary.take(pa.array(key // n // m)), source.dictionary.take(pa.array(key // n % m)), chunks.take(pa.array(key % n)), pa.array(counts, pa.int64())],
-            names=["lang", "source", "chunk", "n"])
 
-    return lambda batches: _sliced(map(count, _gathered(batches)))
+_SEEN = "lang string, chunk string, groups array<struct<source: string, n: long>>, docs array<long>"
 
 
-def _filter(chunks: DataFrame) -> Broadcast:
-    return chunks.sparkSession.sparkContext.broadcast(BitFilter(chunks))
-
+def _counts(likely: Broadcast, doubtful: Broadcast):
+    """(lang, chunk, groups, docs): occurrences per source of the chunks in the first filter, and the
+    numbers of the documents that hold those in the second."""
+    def count(first: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, code, chunks = _encoded(batch)
+        places, n, rows = BitFilter.places(chunks), max(len(chunks), 1), max(len(batch), 1)
+        own = likely.value.passing(places)[code]
+        row, code = row[own], code[own]
+        lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        m = max(len(source.dictionary), 1)
+        pair = lang.indices.to_numpy().astype(np.int64)[row] * n + code
+        key, counts = np.unique(pair * m + source.indices.to_numpy()[row], return_counts=True)
+        starts = np.flatnonzero(np.diff(key // m, prepend=-1))
+        heads = key[starts] // m
+        groups = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.StructArray.from_arrays(
+            [source.dictionary.take(pa.array(key % m)), pa.array(counts, pa.int64())], names=["source", "n"]))
+        odd = doubtful.value.passing(places)[code]
+        apart = _distinct(pair[odd] * rows + row[odd])
+        ends = np.append(np.searchsorted(apart // rows, heads), len(apart))
+        docs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first + apart % rows, pa.int64()))
+        return pa.record_batch([lang.dictionary.take(pa.array(heads // n)), chunks.take(pa.array(heads % n)), groups, docs], names=["lang", "chunk", "groups", "docs"])
 
-def _document_counts(rows: DataFrame, doubtful: DataFrame) -> DataFrame:
-    """(lang, term, docs) of doubtful (lang, chunk, term) rows: their documents, told apart."""
-    places = rows.select("lang", "text").mapInArrow(_places(_filter(doubtful)), "lang string, chunk string, doc long")
-    met = places.join(doubtful.hint("shuffle_hash"), ["lang", "chunk"])
-    return met.select("lang", "term", "doc").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40  # rows are numbered within this scan
+        for batch in _gathered(batches):
+            yield from _sliced(iter([count(first, batch)]))
+            first += len(batch)
+    return scan
 
 
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -184,11 +183,16 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text
     bounds = each.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).filter(F.col("most") >= min_docs)
     k = F.size(F.filter("terms", lambda t: t == F.col("term")))
     likely = stage(each.join(bounds, ["lang", "term"]).select("lang", "chunk", "term", k.alias("k"), (F.col("least") < min_docs).alias("doubtful")))
-    told = _document_counts(rows, likely.filter("doubtful").drop("k", "doubtful")).filter(F.col("docs") >= min_docs).select("lang", "term")
-    kept = stage(likely.filter("NOT doubtful").drop("doubtful").unionByName(likely.filter("doubtful").drop("doubtful").join(told, ["lang", "term"], "left_semi")))
-    seen = rows.mapInArrow(_occurrences(_filter(kept)), "lang string, source string, chunk string, n long")
-    met = seen.join(kept.hint("shuffle_hash"), ["lang", "chunk"])
-    return stage(met.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")))
+    seen = rows.mapInArrow(_counts(_filter(likely), _filter(likely.filter("doubtful"))), _SEEN)
+    met = seen.join(likely.hint("shuffle_hash"), ["lang", "chunk"])
+    entry = lambda source, n, doc: F.struct(source.cast("string").alias("source"), n.cast("long").alias("n"), doc.cast("long").alias("doc"))
+    none = F.lit(None)
+    told = F.when(F.col("doubtful"), F.transform("docs", lambda d: entry(none, F.lit(0), d))).otherwise(F.array().cast("array<struct<source: string, n: long, doc: long>>"))
+    entries = F.concat(F.transform("groups", lambda g: entry(g["source"], g["n"] * F.col("k"), none)), told)
+    summed = stage(met.select("lang", "term", F.inline(entries)).groupBy("lang", "source", "term", "doc").agg(F.sum("n").alias("n")))
+    enough = summed.filter("doc IS NOT NULL").groupBy("lang", "term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    kept = likely.filter("NOT doubtful").select("lang", "term").distinct().unionByName(enough.select("lang", "term"))
+    return stage(summed.filter("doc IS NULL").join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
