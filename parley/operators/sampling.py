@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.predicates import min_turns
-from parley.operators.ordering import SLICE_ROWS, first_by_hash, with_hash_position, with_place, with_position
+from parley.operators.ordering import SLICE_ROWS, first_by_hash, with_place, with_position
 from parley.operators.vectors import farthest_points
 from parley.session import stage
 
@@ -96,13 +96,14 @@ def diverse_pick(fv: DataFrame, wanted: DataFrame, key: str = "stratum", id_col:
     pool = fv.select(key, id_col, vec).join(some, key)
     whole = pool.where(F.col("size") <= F.col("quota"))
     whole = with_place(whole.select(key, id_col), [key], [id_col], bound, "pick")
-    larger = pool.where(F.col("size") > F.col("quota")).withColumn(
-        "_spread", F.least("quota", F.ceil(F.sqrt("size"))).cast("int"))
+    spread_of = F.least("quota", F.ceil(F.sqrt("size"))).cast("int")
+    larger = pool.where(F.col("size") > F.col("quota")).withColumn("_spread", spread_of)
     spread = farthest_points(larger, key, id_col, vec, "_spread")
     rest = larger.join(spread.select(key, id_col), [key, id_col], "left_anti")
-    filled = with_hash_position(rest.select(key, id_col, "quota", "_spread"), id_col, seed, [key], "_pos")
-    filled = filled.where(F.col("_pos") < F.col("quota") - F.col("_spread")).select(
-        key, id_col, (F.col("_spread") + F.col("_pos")).alias("pick"))
+    # only the head of a stratum's random order is shuffled, not the whole rest
+    need = stage(some.where(F.col("size") > F.col("quota")).select(key, spread_of.alias("_spread"), (F.col("quota") - spread_of).alias("_need")))
+    filled = first_by_hash(rest.select(key, id_col), id_col, seed, F.col("_need"), [key], need.select(key, "_need"), "_pos")
+    filled = filled.join(need, key).select(key, id_col, (F.col("_spread") + F.col("_pos")).alias("pick"))
     picks = whole.withColumn("pick", F.col("pick").cast("long"))
     for part in (spread, filled):
         picks = picks.unionByName(part.withColumn("pick", F.col("pick").cast("long")))
