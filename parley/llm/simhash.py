@@ -194,22 +194,24 @@ def _placed(root, radius: int):
     return place
 
 
-def blocks(placed: DataFrame, member_points: int, visit_points: int) -> DataFrame:
-    """(shard, members, visits, fp, own): every point in its block of members beside each block of visits.
+def blocks(placed: DataFrame, member_points: int, visit_points: int, by: str = "fp") -> DataFrame:
+    """(shard, members, visits, points' columns, own): every point in its block of members beside each block of visits.
 
     Visits, and points as visits to later blocks of their own shard, go to each block of
-    members. The table of shards has at most 2 ** TOP_LEVELS rows, so it is broadcast.
+    members. ``by`` tells points apart. The table of shards has at most 2 ** TOP_LEVELS rows
+    for each fingerprint searched, so it is broadcast.
     """
+    carried = [c for c in placed.columns if c not in ("shard", "own")]
     some = lambda n, size: F.greatest(F.lit(1), F.ceil(F.sum(n.cast("long")) / size)).cast("int")
     cuts = placed.groupBy("shard").agg(some(F.col("own"), member_points).alias("m"), some(~F.col("own"), visit_points).alias("v"))
     dealt = placed.join(F.broadcast(cuts), "shard").withColumns(
-        {"home": F.pmod(F.xxhash64("fp"), "m").cast("int"), "ask": F.pmod(F.xxhash64("fp", F.lit(1)), "v").cast("int")})
+        {"home": F.pmod(F.xxhash64(by), "m").cast("int"), "ask": F.pmod(F.xxhash64(by, F.lit(1)), "v").cast("int")})
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda members, visits, own: F.struct(members.alias("members"), visits.alias("visits"), F.lit(own).alias("own"))
     asked = F.when(F.col("own"), F.filter(every("m"), lambda x: x > F.col("home"))).otherwise(every("m"))
     lives = F.when(F.col("own"), every("v")).otherwise(F.array().cast("array<int>"))
     spots = F.concat(F.transform(lives, lambda x: place(F.col("home"), x, True)), F.transform(asked, lambda x: place(x, F.col("ask"), False)))
-    return dealt.select("shard", "fp", F.explode(spots).alias("at")).select("shard", "at.members", "at.visits", "fp", "at.own")
+    return dealt.select("shard", *carried, F.explode(spots).alias("at")).select("shard", "at.members", "at.visits", *carried, "at.own")
 
 
 def links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS,
@@ -249,11 +251,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least id, all columns kept.
+    """``docs`` with one document of each component, the one with the least id, all columns kept."""
+    return heads_of(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+
+
+def heads_of(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the row of the least id of each component of ``found``, all columns kept.
 
     Of several texts under that id the one of the least hash stays, and of equal rows one.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
     heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_key").agg(
         F.min(F.struct("k1", "k2")).alias("head")).select("head.*")
     bare = identified(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
