@@ -1,14 +1,19 @@
-"""Texts that share most of their word shingles, found with several SimHash fingerprints (operator 6, wider).
+"""Texts that share most of their word shingles: every pair of them links (operator 6, wider).
 
 Two texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or
-more. At that similarity 64-bit fingerprints differ in ten bits on average, too many for
-triangle bounds to prune. So each set has 21 independent 24-bit fingerprints, and a
-vantage-point tree for each finds the pairs within one bit: a pair at 0.8 is met by at
-least one with probability 0.90, at 0.85 with 0.98, at 0.9 with 0.999. The first 128 of
-their bits sketch the similarity; pairs more than ``SKETCH_BITS`` apart or of sizes
-that exclude 0.8 are dropped. Of the pairs a task finds it hands on a forest that spans
-them, nearest pairs first, never all pairs of a group. Each handed-on pair is compared
-exactly, set against set, so no pair below the similarity links; components follow.
+more. Two rounds find the classes of these links. The first is quick and finds most: each
+set has five independent 24-bit SimHash fingerprints, and a vantage-point tree for each
+finds the pairs within one bit. Their 128 bits also sketch the similarity; pairs more than
+``SKETCH_BITS`` apart or of sizes that exclude 0.8 are dropped, and of the pairs a task
+finds it hands on a forest that spans them, nearest pairs first. Each handed-on pair is
+compared exactly, and what links is one class.
+
+The second round leaves no pair out. With all sets in one order of shingles, two sets of
+similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, n the set's
+size. Sets of different classes that meet in such a shingle, and whose sizes and places of
+it allow the similarity, are compared exactly too; pairs inside a class have nothing to
+add, so a large group of near copies is never expanded. The order puts shingles that many
+texts share last, so few sets meet in one; any order gives the same classes.
 
 A text of fewer than five words is one shingle; texts without words (null, empty, blank)
 have the empty set and are one class. Words are as in ``simhash``; equal sets are one point,
@@ -22,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from parley.llm.common import picked, prepare
 from parley.llm.graph import components
@@ -33,11 +38,13 @@ SHINGLE = 5
 #: The least similarity that links, as a fraction.
 SIMILAR = (4, 5)
 #: 24-bit fingerprints searched, bits they may differ in, and bits 128 sketch bits may.
-SLICES, RADIUS, SKETCH_BITS = 21, 1, 38
+SLICES, RADIUS, SKETCH_BITS = 5, 1, 38
 #: Points a shard is meant to hold; points and visits a task holds; pairs before they are thinned to a forest.
 SHARD_POINTS = MEMBER_POINTS = 65_536
 VISIT_POINTS = 1 << 18
 PAIRS = 1 << 21
+#: Shingles a batch of texts names as shared by several of them, and all batches together.
+BATCH_COMMON, COMMON = 1 << 12, 1 << 16
 #: 64-bit words that hold all fingerprints.
 WORDS = SLICES * 24 // 64 + 1
 
@@ -55,6 +62,10 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist())], np.uint64))
 
 
+def key_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63
+
+
 def remixed(hashes: np.ndarray) -> np.ndarray:
     """(n, WORDS): independent 64-bit hashes of 64-bit hashes."""
     x = hashes[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -72,23 +83,55 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for about each hash of a set, turned by every hash that falls on it.
+
+    Two sets differ in at least as many hashes as their bits differ.
+    """
+    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).view(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Hashes, at least, that two sets of these ``parity`` bits do not share; the longer bits are folded."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, the row's identity (k1, k2), its set's ``key`` and size ``n``, and ``bits`` of every row."""
+    """doc_id, the row's identity (k1, k2), its set's ``key`` and size ``n``, ``bits`` and ``turned`` of every row.
+
+    One row of a batch names in ``common`` shingles that several of its sets hold, in so many as ``times`` says.
+    """
     prepare(docs.sparkSession)
     bare = identified(picked(docs, doc_id=id_col, text=text_col)).withColumn("text", F.col("text").cast("binary"))
 
     def made(batches):
         for b in batches:
-            keys, sizes, bits = [], [], []
+            keys, sizes, bits, turned, sets = [], [], [], [], {}
             for t in b.column("text").to_pylist():
                 own = shingle_set(t, shingle)
-                keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63)
+                keys.append(key_of(own))
                 sizes.append(len(own))
                 bits.append(signature(own))
-            columns = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "key", "n", "bits"])
+                turned.append(parity(own))
+                sets[keys[-1]] = own
+            rest = [None] * (len(keys) - 1)
+            tokens, times = ([x, *rest][: len(keys)] for x in shared(list(sets.values())))
+            columns = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()),
+                       pa.array(turned, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "key", "n", "bits", "turned", "common", "times"])
+
+    return bare.mapInArrow(made, f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, key bigint, n bigint, bits binary, "
+                                 "turned binary, common array<bigint>, times array<bigint>")
 
-    return bare.mapInArrow(made, f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, key bigint, n bigint, bits binary")
+
+def shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that most sets hold, two at least, and the number of these sets."""
+    tokens, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+    tokens, times = tokens[times > 1], times[times > 1]
+    most = np.lexsort((tokens, -times))[:BATCH_COMMON]
+    return tokens[most].view(np.int64), times[most]
 
 
 def _unpacked(bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +244,21 @@ def candidates(points: DataFrame, radius: int = RADIUS, shard_points: int = SHAR
 
 
 def similar(pairs: DataFrame, docs: DataFrame, points: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """The ``pairs`` whose sets have the similarity, by the sets themselves, read from one row of each."""
+    """The ``pairs`` whose sets have the similarity, by the sets themselves, read from one row of each.
+
+    Pairs that ``turned`` shows to be too far apart are dropped before the sets are read.
+    """
+    low, high = SIMILAR
+
+    def kept(batches):
+        for b in batches:
+            far = np.array([apart(x, y) for x, y in zip(b.column("turned_a").to_pylist(), b.column("turned_b").to_pylist())], np.int64)
+            sizes = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((low + high) * far <= (high - low) * sizes))
+
+    for c in ("a", "b"):
+        pairs = pairs.join(points.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("turned").alias(f"turned_{c}")), c)
+    pairs = stage(pairs.mapInArrow(kept, "a bigint, b bigint"))
     asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(points, "key").select("key", "head.*"))
     bare = identified(picked(docs, doc_id=id_col, text=text_col)).select("k1", "k2", F.col("text").cast("binary").alias("text"))
 
@@ -214,17 +271,79 @@ def similar(pairs: DataFrame, docs: DataFrame, points: DataFrame, id_col: str, t
     sets = stage(texts.groupBy("key").agg(F.first("own").alias("own")))
     left, right = (sets.select(F.col("key").alias(c), F.col("own").alias(f"of_{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
+    links = stage(pairs.join(left, "a").join(right, "b").filter(high * both >= low * (F.size("of_a") + F.size("of_b") - both)).select("a", "b"))
+    for done in (pairs, asked, sets):
+        discard(done)
+    return links
+
+
+def prefixes(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(token, key, n, at): the first shingles of every set that must hold one of any similar set, ``at`` their places.
+
+    Shingles that one set alone holds there are left out. Copies are told by their key, so no text is moved. Sets of fewer than four shingles have no similar set but themselves.
+    """
+    counted = rows.filter("common IS NOT NULL").select(F.explode(F.arrays_zip("common", "times")).alias("one")).groupBy("one.common").agg(F.sum("one.times").alias("times"))
+    often = np.array(counted.orderBy(F.desc("times"), "common").limit(COMMON).collect(), np.int64).reshape(-1, 2)
+    often = often[np.argsort(often[:, 0].view(np.uint64))]
+    late, rank = often[:, 0].copy().view(np.uint64), often[:, 1].copy()
     low, high = SIMILAR
-    return pairs.join(left, "a").join(right, "b").filter(high * both >= low * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+    def first(own: np.ndarray) -> np.ndarray:
+        if len(late):
+            at = np.minimum(np.searchsorted(late, own), len(late) - 1)
+            held = late[at] == own
+            if held.any():
+                own = own[np.argsort(np.where(held, rank[at], 0), kind="stable")]
+        return own[: len(own) + 1 + -low * len(own) // high]
+
+    def made(batches):
+        for b in batches:
+            sets = {key_of(own): own for own in (shingle_set(t, shingle) for t in b.column("text").to_pylist()) if len(own) >= low}
+            heads = [first(own) for own in sets.values()]
+            counts = np.array([len(h) for h in heads], np.int64)
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64), np.repeat(np.array(list(sets), np.int64), counts),
+                       np.repeat(np.array([len(own) for own in sets.values()], np.int32), counts), at.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "n", "at"])
+
+    placed = picked(docs, text=text_col).select(F.col("text").cast("binary").alias("text")).mapInArrow(made, "token bigint, key bigint, n int, at int")
+    order = Window.partitionBy("token").orderBy("n", "key")
+    beside = placed.withColumns({"before": F.lag("key").over(order), "after": F.lead("key").over(order)})
+    return beside.filter("(before IS NULL AND after IS NOT NULL) OR before <> key").select("token", "key", "n", "at")
+
+
+def across(heads: DataFrame, root: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b, of different classes of ``root`` that meet in a shingle of ``heads`` and may be similar."""
+    classed = heads.join(root.select(F.col("a").alias("key"), F.col("b").alias("up")), "key", "left").withColumn("up", F.coalesce("up", "key"))
+    mixed = classed.groupBy("token").agg(F.min("up").alias("x"), F.max("up").alias("y")).filter("x < y").select("token")
+    met = stage(classed.join(mixed, "token"))
+    classes = met.groupBy("token", "up").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    as_ = lambda t, side, *columns: t.select("token", *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    low, high = SIMILAR
+    x, y = (as_(classes, side, "up", "low", "high") for side in "ab")
+    meet = x.join(y, "token").filter((F.col("up_a") < F.col("up_b")) & (high * F.col("high_a") >= low * F.col("low_b")) & (high * F.col("high_b") >= low * F.col("low_a")))
+    for side in "ab":
+        meet = meet.join(as_(met, side, "up", "key", "n", "at"), ["token", f"up_{side}"])
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    rest = F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))  # what both can share from here on
+    fits = (high * F.least(n_a, n_b) >= low * F.greatest(n_a, n_b)) & ((low + high) * rest >= low * (n_a + n_b))
+    pairs = stage(meet.filter(fits).select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct())
+    discard(met)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **sizes: int) -> DataFrame:
     """doc_id, (k1, k2), ``component_id`` (the least id reachable) and ``component_key`` (never null) of every row."""
     rows = stage(signatures(docs, id_col, text_col, shingle))
     points = stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("head"),
-                                           F.min("n").alias("n"), F.min("bits").alias("bits")))
+                                           F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("turned").alias("turned")))
     pairs = stage(candidates(points, **sizes))
     root = components(similar(pairs, docs, points, id_col, text_col, shingle))
+    discard(pairs)
+    heads = stage(prefixes(docs, rows, text_col, shingle))
+    pairs = across(heads, root)
+    discard(heads)
+    root = components(root.union(similar(pairs, docs, points, id_col, text_col, shingle)))
     keyed = points.join(root.select(F.col("a").alias("key"), F.col("b").alias("up")), "key", "left").withColumn(
         "component_key", F.coalesce("up", "key"))
     ids = keyed.groupBy("component_key").agg(F.min("least").alias("component_id"))

@@ -338,6 +338,35 @@ def test_recall_on_the_given_documents(spark):
     assert pairs and sum(comp[i] == comp[j] for i, j in pairs) >= 0.9 * len(pairs)
 
 
+def test_every_similar_pair_links(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    common = [f"c{w}" for w in range(60)]  # a passage that many texts share
+    for f in range(150):  # pairs that no third text connects, most of them near 0.8
+        base = [f"{f}w{w}" for w in rng.integers(0, 5_000, 90)] + common * (f % 2)
+        for c in range(2):
+            words = base.copy()
+            if c:
+                cut = int(rng.integers(len(base) // 12, len(base) // 9))
+                words[:cut] = [f"{f}x{w}" for w in range(cut)]
+            texts[2 * f + c] = " ".join(words)
+    texts[1_000] = texts[1_001] = " ".join(common)
+    texts[1_002], texts[1_003], texts[1_004] = "a b c d e f g h", "a b c d e f g h i", None
+    pairs, number = similar_classes(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    comp = {r.doc_id: r.component_id for r in near_texts.near_duplicates(docs).collect()}
+    assert len(pairs) > 60 and comp == number
+
+
+def test_turned_bits_never_exceed_what_sets_do_not_share():
+    rng = np.random.default_rng(3)
+    for n in [0, 1, 63, 64, 65, 300]:
+        pool = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+        for m in [0, 5, 70, 400]:
+            a, b = np.unique(pool[:n]), np.unique(pool[n // 3 : n // 3 + m])
+            assert near_texts.apart(near_texts.parity(a), near_texts.parity(b)) <= len(np.setxor1d(a, b))
+
+
 def test_a_forest_spans_all_pairs_within_reach():
     rng = np.random.default_rng(2)
     fp = np.concatenate([rng.integers(0, 1 << 10, 300), np.full(200, 7)]).astype(np.uint32)
