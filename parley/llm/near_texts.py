@@ -8,12 +8,16 @@ finds the pairs within one bit. Their 128 bits also sketch the similarity; pairs
 finds it hands on a forest that spans them, nearest pairs first. Each handed-on pair is
 compared exactly, and what links is one class.
 
-The second round leaves no pair out. With all sets in one order of shingles, two sets of
-similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, n the set's
-size. Sets of different classes that meet in such a shingle, and whose sizes and places of
-it allow the similarity, are compared exactly too; pairs inside a class have nothing to
-add, so a large group of near copies is never expanded. The order puts shingles that many
-texts share last, so few sets meet in one; any order gives the same classes.
+The second round leaves no pair out. Two sets of similarity 0.8 differ in a ninth of their
+sizes' sum at most. All shingles are dealt by hash into some more parts than that, the
+number fixed for each power of two of the size, so most parts of two such sets are equal,
+and of each set the parts that a bounded number of differences cannot all reach are its
+heads: about a quarter of its size, three shingles each, those with most shingles that few
+texts share first. Sets of different classes with a head in common are compared exactly
+too, unless their sizes or a bit for each shingle exclude the similarity: first each with
+the next in size under a head, then, of the classes still apart, all. Pairs inside a class
+have nothing to add, so a large group of near copies is never expanded. A set whose
+shingles lie in too few parts is also met by the first n - ceil(0.8 n) + 1 of its shingles.
 
 A text of fewer than five words is one shingle; texts without words (null, empty, blank)
 have the empty set and are one class. Words are as in ``simhash``; equal sets are one point,
@@ -27,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parley.llm.common import picked, prepare
 from parley.llm.graph import components
@@ -45,6 +49,8 @@ VISIT_POINTS = 1 << 18
 PAIRS = 1 << 21
 #: Shingles a batch of texts names as shared by several of them, and all batches together.
 BATCH_COMMON, COMMON = 1 << 12, 1 << 16
+#: 64-bit words of the bits by which sets that share a head are told apart.
+FOLD = 16
 #: 64-bit words that hold all fingerprints.
 WORDS = SLICES * 24 // 64 + 1
 
@@ -83,12 +89,12 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """A bit for about each hash of a set, turned by every hash that falls on it.
+def parity(hashes: np.ndarray, size: int | None = None) -> bytes:
+    """``size`` bits, two to four for each hash of a set if not given, each turned by every hash that falls on it.
 
     Two sets differ in at least as many hashes as their bits differ.
     """
-    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    size = size or max(64, 2 << max(0, len(hashes) - 1).bit_length())
     return np.packbits(np.bincount((hashes & np.uint64(size - 1)).view(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -99,7 +105,7 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, the row's identity (k1, k2), its set's ``key`` and size ``n``, ``bits`` and ``turned`` of every row.
+    """doc_id, the row's identity (k1, k2), its set's ``key`` and size ``n``, ``bits``, ``turned`` and ``fold`` of every row.
 
     One row of a batch names in ``common`` shingles that several of its sets hold, in so many as ``times`` says.
     """
@@ -108,22 +114,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def made(batches):
         for b in batches:
-            keys, sizes, bits, turned, sets = [], [], [], [], {}
+            keys, sizes, bits, turned, fold, sets = [], [], [], [], [], {}
             for t in b.column("text").to_pylist():
                 own = shingle_set(t, shingle)
                 keys.append(key_of(own))
                 sizes.append(len(own))
                 bits.append(signature(own))
                 turned.append(parity(own))
+                fold.append(np.frombuffer(parity(own, 64 * FOLD), np.int64))
                 sets[keys[-1]] = own
             rest = [None] * (len(keys) - 1)
             tokens, times = ([x, *rest][: len(keys)] for x in shared(list(sets.values())))
             columns = [b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()),
-                       pa.array(turned, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "key", "n", "bits", "turned", "common", "times"])
+                       pa.array(turned, pa.binary()), pa.array(fold, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "key", "n", "bits", "turned", "fold", "common", "times"])
 
     return bare.mapInArrow(made, f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, key bigint, n bigint, bits binary, "
-                                 "turned binary, common array<bigint>, times array<bigint>")
+                                 "turned binary, fold array<bigint>, common array<bigint>, times array<bigint>")
 
 
 def shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -277,78 +284,132 @@ def similar(pairs: DataFrame, docs: DataFrame, points: DataFrame, id_col: str, t
     return links
 
 
+def levels(n: int) -> list[tuple[int, int]]:
+    """(level, most) of a set of ``n`` shingles: the powers of two whose sets it meets, and the shingles, at most, it differs in from a similar one there.
+
+    The smaller set of a pair gives the level.
+    """
+    low, high = SIMILAR
+    level = n.bit_length() - 1
+    own = [(level, (high - low) * (n + high * n // low) // (low + high))]
+    under = (1 << level) - 1  # the largest set of the level below
+    return own + [(level - 1, (high - low) * (n + under) // (low + high))] * (high * under >= low * n)
+
+
+def parts(own: np.ndarray, level: int, common: np.ndarray) -> np.ndarray:
+    """A hash of each part of a set that holds a shingle, parts of most shingles outside the sorted ``common`` first, then of most."""
+    low, high = SIMILAR
+    number = 6 * ((high - low) * (2 << level) // low) // 5 + 2
+    mixed = remixed(own)
+    part = (mixed[:, 0] % np.uint64(number)).view(np.int64)
+    held = np.bincount(part, minlength=number)
+    rare = held
+    if len(common):
+        rare = np.bincount(part[common[np.minimum(np.searchsorted(common, own), len(common) - 1)] != own], minlength=number)
+    some = np.flatnonzero(held)
+    held, rare = held[some], rare[some]
+    sums = np.add.reduceat(mixed[np.argsort(part, kind="stable"), 1], np.cumsum(held) - held)
+    told = remixed(sums ^ remixed((some + (level << 32)).view(np.uint64))[:, 0])[:, 0]
+    return told[np.lexsort((told, -held, -rare))]
+
+
+def heads_of_set(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Hashes of which any set similar to ``own`` has one too; ``times`` says how many sets hold the ``common``."""
+    low, high = SIMILAR
+    found = []
+    for level, most in levels(len(own)):
+        told = parts(own, level, common)
+        found.append(told[: most + 1])
+        if len(told) <= most:  # as many differences could reach every part
+            at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+            rank = np.where(common[at] == own, times[at], 0) if len(common) else np.zeros(len(own), np.int64)
+            found.append(own[np.argsort(rank, kind="stable")][: len(own) + 1 + -low * len(own) // high])
+    return np.unique(np.concatenate(found))
+
+
 def prefixes(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(token, key, n, at): the first shingles of every set that must hold one of any similar set, ``at`` their places.
+    """(token, key): the heads of every set, of which any similar set has one too.
 
-    Shingles that one set alone holds there are left out. Copies are told by their key, so no text is moved. Sets of fewer than four shingles have no similar set but themselves.
+    Heads that one set alone has are left out. Copies are told by their key, so no text is moved. Sets of fewer than four shingles have no similar set but themselves.
     """
     counted = rows.filter("common IS NOT NULL").select(F.explode(F.arrays_zip("common", "times")).alias("one")).groupBy("one.common").agg(F.sum("one.times").alias("times"))
     often = np.array(counted.orderBy(F.desc("times"), "common").limit(COMMON).collect(), np.int64).reshape(-1, 2)
     often = often[np.argsort(often[:, 0].view(np.uint64))]
     late, rank = often[:, 0].copy().view(np.uint64), often[:, 1].copy()
-    low, high = SIMILAR
-
-    def first(own: np.ndarray) -> np.ndarray:
-        if len(late):
-            at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-            held = late[at] == own
-            if held.any():
-                own = own[np.argsort(np.where(held, rank[at], 0), kind="stable")]
-        return own[: len(own) + 1 + -low * len(own) // high]
 
     def made(batches):
         for b in batches:
-            sets = {key_of(own): own for own in (shingle_set(t, shingle) for t in b.column("text").to_pylist()) if len(own) >= low}
-            heads = [first(own) for own in sets.values()]
+            sets = {key_of(own): own for own in (shingle_set(t, shingle) for t in b.column("text").to_pylist()) if len(own) >= SIMILAR[0]}
+            heads = [heads_of_set(own, late, rank) for own in sets.values()]
             counts = np.array([len(h) for h in heads], np.int64)
-            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            columns = [np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64), np.repeat(np.array(list(sets), np.int64), counts),
-                       np.repeat(np.array([len(own) for own in sets.values()], np.int32), counts), at.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "n", "at"])
+            columns = [np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64), np.repeat(np.array(list(sets), np.int64), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key"])
 
-    placed = picked(docs, text=text_col).select(F.col("text").cast("binary").alias("text")).mapInArrow(made, "token bigint, key bigint, n int, at int")
-    order = Window.partitionBy("token").orderBy("n", "key")
+    placed = picked(docs, text=text_col).select(F.col("text").cast("binary").alias("text")).mapInArrow(made, "token bigint, key bigint")
+    order = Window.partitionBy("token").orderBy("key")
     beside = placed.withColumns({"before": F.lag("key").over(order), "after": F.lead("key").over(order)})
-    return beside.filter("(before IS NULL AND after IS NOT NULL) OR before <> key").select("token", "key", "n", "at")
+    return beside.filter("(before IS NULL AND after IS NOT NULL) OR before <> key").select("token", "key")
 
 
-def across(heads: DataFrame, root: DataFrame) -> DataFrame:
-    """Distinct (a, b), a > b, of different classes of ``root`` that meet in a shingle of ``heads`` and may be similar."""
+def meeting(heads: DataFrame, root: DataFrame) -> DataFrame:
+    """``heads`` (token, key, n, fold) that sets of different classes of ``root`` share, with the class as ``up`` and the head's largest one as ``main``."""
     classed = heads.join(root.select(F.col("a").alias("key"), F.col("b").alias("up")), "key", "left").withColumn("up", F.coalesce("up", "key"))
-    mixed = classed.groupBy("token").agg(F.min("up").alias("x"), F.max("up").alias("y")).filter("x < y").select("token")
-    met = stage(classed.join(mixed, "token"))
-    classes = met.groupBy("token", "up").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    as_ = lambda t, side, *columns: t.select("token", *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    sizes = classed.groupBy("token", "up").agg(F.count("*").alias("held"))
+    mixed = sizes.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("held", "up"))["up"].alias("main")).filter("classes > 1").select("token", "main")
+    return stage(classed.join(mixed, "token"))
+
+
+def fits(a: str, b: str) -> Column:
+    """Whether the sizes and ``fold`` bits of the sets at both sides allow the similarity."""
     low, high = SIMILAR
-    x, y = (as_(classes, side, "up", "low", "high") for side in "ab")
-    meet = x.join(y, "token").filter((F.col("up_a") < F.col("up_b")) & (high * F.col("high_a") >= low * F.col("low_b")) & (high * F.col("high_b") >= low * F.col("low_a")))
-    for side in "ab":
-        meet = meet.join(as_(met, side, "up", "key", "n", "at"), ["token", f"up_{side}"])
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    rest = F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))  # what both can share from here on
-    fits = (high * F.least(n_a, n_b) >= low * F.greatest(n_a, n_b)) & ((low + high) * rest >= low * (n_a + n_b))
-    pairs = stage(meet.filter(fits).select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct())
-    discard(met)
-    return pairs
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    far = sum((F.bit_count(F.col(f"fold_{a}")[i].bitwiseXOR(F.col(f"fold_{b}")[i])) for i in range(FOLD)), F.lit(0))
+    return (high * F.least(n_a, n_b) >= low * F.greatest(n_a, n_b)) & ((low + high) * far <= (high - low) * (n_a + n_b))
+
+
+def beside(met: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b: sets of different classes that are next to each other in size under a head and may be similar."""
+    order = Window.partitionBy("token").orderBy("n", "key")
+    names = ["up", "key", "n", "fold"]
+    both = met.select("token", *[F.col(c).alias(f"{c}_a") for c in names], *[F.lag(c).over(order).alias(f"{c}_b") for c in names])
+    return stage(both.filter((F.col("up_a") != F.col("up_b")) & fits("a", "b")).select(
+        F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct())
+
+
+def across(met: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b: all sets of different classes that share a head and may be similar.
+
+    One of them is not of the head's largest class, so that class never meets itself.
+    """
+    small, every = (met.select("token", (F.col("up") != F.col("main")).alias(f"small_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ["up", "key", "n", "fold"]]) for side in "ab")
+    meet = (F.col("up_a") != F.col("up_b")) & (~F.col("small_b") | (F.col("key_a") > F.col("key_b"))) & fits("a", "b")
+    pairs = small.filter("small_a").withColumnRenamed("token", "t").join(every, (F.col("t") == F.col("token")) & meet)
+    return stage(pairs.select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **sizes: int) -> DataFrame:
     """doc_id, (k1, k2), ``component_id`` (the least id reachable) and ``component_key`` (never null) of every row."""
     rows = stage(signatures(docs, id_col, text_col, shingle))
     points = stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("head"),
-                                           F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("turned").alias("turned")))
+                                           F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("turned").alias("turned"), F.first("fold").alias("fold")))
     pairs = stage(candidates(points, **sizes))
     root = components(similar(pairs, docs, points, id_col, text_col, shingle))
     discard(pairs)
     heads = stage(prefixes(docs, rows, text_col, shingle))
-    pairs = across(heads, root)
+    met = meeting(heads.join(points.select("key", "n", "fold"), "key"), root)
     discard(heads)
-    root = components(root.union(similar(pairs, docs, points, id_col, text_col, shingle)))
+    for paired in (beside, across):
+        pairs = paired(met)
+        root = components(root.union(similar(pairs, docs, points, id_col, text_col, shingle)))
+        discard(pairs)
+        if paired is beside:
+            met, former = meeting(met.drop("up", "main"), root), met
+            discard(former)
+    discard(met)
     keyed = points.join(root.select(F.col("a").alias("key"), F.col("b").alias("up")), "key", "left").withColumn(
         "component_key", F.coalesce("up", "key"))
     ids = keyed.groupBy("component_key").agg(F.min("least").alias("component_id"))
     found = stage(keyed.select("key", "component_key").join(ids, "component_key"))
-    discard(pairs)
     return rows.join(found, "key").select("doc_id", "k1", "k2", "component_id", "component_key")
 
 

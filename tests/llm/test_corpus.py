@@ -358,6 +358,47 @@ def test_every_similar_pair_links(spark):
     assert len(pairs) > 60 and comp == number
 
 
+def test_texts_that_only_resemble_each_other_make_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base, texts = [f"b{w}" for w in range(300)], {}
+    for i in range(120):  # one family, most of it at 0.71
+        words = base.copy()
+        for w in rng.choice(300, 5, replace=False):
+            words[w] = f"{i}x{w}"
+        texts[i] = " ".join(words)
+    for i in range(120, 300):  # texts over six words, which share shingles by chance
+        texts[i] = " ".join(f"c{w}" for w in rng.integers(0, 6, 200))
+    texts[300] = texts[130].rsplit(" ", 9)[0]
+    _, number = similar_classes(texts)
+    asked, similar = [], near_texts.similar
+    monkeypatch.setattr(near_texts, "similar", lambda pairs, *rest: asked.append(pairs.count()) or similar(pairs, *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = near_texts.signatures(docs)
+    met = near_texts.prefixes(docs, rows, "text", 5).join(rows.filter("doc_id BETWEEN 120 AND 299"), "key").groupBy("token").count()
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in met.collect()) < 1_000
+    comp = {r.doc_id: r.component_id for r in near_texts.near_duplicates(docs).collect()}
+    assert comp == number and number[300] == 130
+    assert sum(asked) < 2 * len(texts)  # of 44,850 pairs
+
+
+def test_similar_sets_share_a_head():
+    rng = np.random.default_rng(8)
+    none = np.zeros(0, np.uint64)
+    for trial in range(4_000):
+        n = int(rng.integers(4, 24 if trial % 2 else 300))
+        m = int(rng.integers(-(-4 * n // 5), 5 * n // 4 + 1))
+        both = -(-4 * (n + m) // 9)  # the fewest that both may hold
+        if both > min(n, m):
+            continue
+        pool = rng.integers(0, 1 << 63, n + m - both).astype(np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(pool[n - both :])
+        common = np.unique(rng.choice(a, n // 2)) if trial % 3 else none
+        times = rng.integers(2, 50, len(common))
+        x, y = (near_texts.heads_of_set(own, common, times) for own in (a, b))
+        assert len(np.intersect1d(x, y))
+        assert max(len(x), len(y)) <= 0.6 * max(n, m) + 3
+
+
 def test_turned_bits_never_exceed_what_sets_do_not_share():
     rng = np.random.default_rng(3)
     for n in [0, 1, 63, 64, 65, 300]:
