@@ -351,12 +351,12 @@ def prefixes(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> D
     return beside.filter("(before IS NULL AND after IS NOT NULL) OR before <> key").select("token", "key")
 
 
-def meeting(heads: DataFrame, root: DataFrame) -> DataFrame:
-    """``heads`` (token, key, n, fold) that sets of different classes of ``root`` share, with the class as ``up`` and the head's largest one as ``main``."""
+def meeting(heads: DataFrame, points: DataFrame, root: DataFrame) -> DataFrame:
+    """(token, key, n, fold): ``heads`` (token, key) that sets of different classes of ``root`` share, with the class as ``up`` and the head's largest one as ``main``."""
     classed = heads.join(root.select(F.col("a").alias("key"), F.col("b").alias("up")), "key", "left").withColumn("up", F.coalesce("up", "key"))
     sizes = classed.groupBy("token", "up").agg(F.count("*").alias("held"))
     mixed = sizes.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("held", "up"))["up"].alias("main")).filter("classes > 1").select("token", "main")
-    return stage(classed.join(mixed, "token"))
+    return stage(classed.join(mixed, "token").join(points.select("key", "n", "fold"), "key"))
 
 
 def fits(a: str, b: str) -> Column:
@@ -396,14 +396,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = components(similar(pairs, docs, points, id_col, text_col, shingle))
     discard(pairs)
     heads = stage(prefixes(docs, rows, text_col, shingle))
-    met = meeting(heads.join(points.select("key", "n", "fold"), "key"), root)
+    met = meeting(heads, points, root)
     discard(heads)
     for paired in (beside, across):
         pairs = paired(met)
         root = components(root.union(similar(pairs, docs, points, id_col, text_col, shingle)))
         discard(pairs)
         if paired is beside:
-            met, former = meeting(met.drop("up", "main"), root), met
+            met, former = meeting(met.select("token", "key"), points, root), met
             discard(former)
     discard(met)
     keyed = points.join(root.select(F.col("a").alias("key"), F.col("b").alias("up")), "key", "left").withColumn(
